@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, chat, exact_dedup, html_text, pii, simhash, winnow
+from . import bpe, chat, exact_dedup, html_text, pii, quality, simhash, winnow
 
 #: The vocabulary of byte-level BPE.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -62,6 +62,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.with_score(docs, machine)
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -140,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_html_text": op4_html_text,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
     "op8_winnow": op8_winnow,
     "op9_chat": op9_chat,
 }
