@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, chat, exact_dedup, html_text, pii, quality, simhash, winnow
+from . import bpe, chat, exact_dedup, html_text, licenses, line_templates, pii, quality, simhash, winnow
 
 #: The vocabulary of byte-level BPE.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -69,6 +69,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.with_licenses(table(spark, sf_dir, "documents"))
+    spans = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["stop"].cast("string")))
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"])))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_notices"), F.array_join(names, ",").alias("licenses"), F.array_join(spans, ",").alias("spans"))
+
+
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.without_recurring(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -148,8 +160,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": op4_html_text,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
+    "op7_licenses": op7_licenses,
     "op8_winnow": op8_winnow,
     "op9_chat": op9_chat,
+    "op10_line_templates": op10_line_templates,
 }
 
 ORACLES: dict[str, str] = {
