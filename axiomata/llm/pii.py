@@ -12,7 +12,7 @@ is personal data. A logistic classifier over votes and shape features is then
 fitted to these soft labels, again on a counted table of bounded size, and
 becomes one SQL expression that decides the added spans where the text is read.
 
-Positions are sums of the lengths of matches and of the gaps between them,
+A secret has at least one digit. Positions are sums of the lengths of matches and of the gaps between them,
 built in blocks so that a text with very many matches costs little more than
 its length. All patterns are anchored and possessive: none goes back over a
 long run, and none recurses.
@@ -35,18 +35,17 @@ from pyspark.sql import functions as F
 #: The base kinds in the order in which equal starts are listed.
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
+    "ip": r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a text must contain before a base pattern is tried; saves passes and changes nothing.
-NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 WIDER = {
-    "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+=*+",
-    "local_phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])",
+    "secret": r"[A-Za-z0-9+/_-]{16,}+=*+",
+    "local_phone": r"(?=[0-9(])(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])",
     "spelled_email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\})\x20?[A-Za-z0-9-]++)++",
 }
-WIDER_NEEDS = {"secret": "", "local_phone": "", "spelled_email": "at"}
+#: Strings of which a text must contain one before a pattern is tried, or None for a digit; saves passes and loses no candidate.
+NEEDS = {"email": ("@",), "ip": None, "card": None, "phone": ("+",), "secret": None, "local_phone": None, "spelled_email": ("(at)", "[at]", "{at}")}
 #: Code points of context on each side.
 AROUND = 32
 BLOCK = 512
@@ -140,10 +139,19 @@ def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     """``keep`` and ``found``: the array of candidates of each row, with votes and features."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(*keep, body.alias("__text"))
-    patterns, needs = BASE | WIDER, NEEDS | WIDER_NEEDS
+    patterns = BASE | WIDER
     none = F.array().cast("array<string>")
-    some = {k: F.lit(True) if k in ("card", "local_phone", "secret") else F.contains("__text", F.lit(needs[k])) for k in KINDS}
-    rows = rows.select(*keep, "__text", *[F.when(some[k], F.regexp_extract_all("__text", F.lit(patterns[k]), F.lit(0))).otherwise(none).alias(f"__m_{k}") for k in KINDS])
+    rows = rows.withColumn("__digit", F.col("__text").rlike("[0-9]"))
+
+    def some(kind: str) -> Column:
+        if NEEDS[kind] is None:
+            return F.col("__digit")
+        out = F.lit(False)
+        for needed in NEEDS[kind]:
+            out = out | F.contains("__text", F.lit(needed))
+        return out
+
+    rows = rows.select(*keep, "__text", *[F.when(some(k), F.regexp_extract_all("__text", F.lit(patterns[k]), F.lit(0))).otherwise(none).alias(f"__m_{k}") for k in KINDS])
     rows = rows.select(*keep, *[f"__m_{k}" for k in KINDS], *[F.when(F.size(f"__m_{k}") > 0, F.split("__text", patterns[k], -1)).otherwise(none).alias(f"__g_{k}") for k in KINDS])
     # gap and match lengths: an element for each match, and the gap alone before it
     rows = rows.withColumns({f"__l_{k}": F.zip_with(F.col(f"__m_{k}"), F.slice(f"__g_{k}", 1, F.size(f"__m_{k}")), lambda m, g: (F.length(m) + F.length(g)).cast("bigint")) for k in KINDS})
