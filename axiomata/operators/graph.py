@@ -136,7 +136,7 @@ def spines(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFra
 def layers(edges: DataFrame, roots: DataFrame, spine: DataFrame, depth: int = 4, per_layer: int = 6) -> DataFrame:
     """G-17, W-08: (root, depth, node): what is shown below each root, at most ``per_layer`` nodes a level.
 
-    A level shows nodes of the spine first, then those of most dependencies,
+    A level shows nodes of the spine first, in its order, then those of most dependencies,
     then of least id.
     """
     degree = out_degrees(edges)
@@ -145,8 +145,8 @@ def layers(edges: DataFrame, roots: DataFrame, spine: DataFrame, depth: int = 4,
     shown = written(level, "layers")
     for d in range(1, depth + 1):
         step = level.join(follow, "node").select("root", F.col("dst").alias("node")).distinct().join(shown.select("root", "node"), ["root", "node"], "left_anti")
-        marked = step.join(spine.select("root", "node", F.lit(1).alias("on")).distinct(), ["root", "node"], "left").join(degree, "node", "left")
-        order = Window.partitionBy("root").orderBy(F.desc(F.coalesce("on", F.lit(0))), F.desc(F.coalesce("degree", F.lit(0))), "node")
+        marked = step.join(spine.groupBy("root", "node").agg(F.min("step").alias("on")), ["root", "node"], "left").join(degree, "node", "left")
+        order = Window.partitionBy("root").orderBy(F.asc_nulls_last("on"), F.desc(F.coalesce("degree", F.lit(0))), "node")
         level = written(marked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_layer).select("root", F.lit(d).alias("depth"), "node"), "layer")
         if level.isEmpty():
             break
