@@ -161,7 +161,8 @@ def sentences(text: str) -> Iterator[tuple[int, int, int, str]]:
         skipped = GAP + 2 if window > at else 0
         for end in _END.finditer(text, window, trigger.start()):
             if end.start() < end.end():
-                begin, skipped = end.end(), skipped + 1
+                skipped += not text[begin : end.start()].isspace() and begin < end.start()  # a blank line ends no second sentence
+                begin = end.end()
         stop = _END.search(text, trigger.end())
         finish = stop.end() if stop else len(text)
         first, last = max(begin, text.rfind("\n", 0, trigger.start()) + 1), text.find("\n", trigger.end(), finish)
