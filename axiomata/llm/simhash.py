@@ -17,15 +17,12 @@ connected components by repeated hooking to the least neighbour, each round a
 written table in the shared folder.
 
 Texts that share four fifths of their five-word shingles differ in about 10 of
-64 bits, beyond what anchors over 46 bits can cover. ``similar_groups`` serves
-that case with the same method on a longer sketch: ``TABLES`` independent
-words of 32 bits, each with the anchors of one [23, 12] code and one bit of
-excess, propose pairs; all 32 * TABLES bits estimate the similarity of a
-proposed pair (standard error about 0.03). A pair of similarity 0.8 shares an
-anchor in some table in 98 of 100 cases, one of 0.9 always but for one in
-100,000. To keep dense groups from proposing all their pairs, each document is
-first compared with the least document at each of its homes; later only pairs
-between the groups found so far are proposed.
+64 bits, far beyond what anchors can cover. ``similar_groups`` serves that case
+with a sketch of 32 * TABLES bits: the nodes are sorted by each of ``LISTS``
+rotated words of it, near copies have long common beginnings in some of them,
+and each row meets the rows next to it. The first bits prune, all bits decide
+(standard error of the similarity about 0.03). The comparisons are linear in
+the nodes, in dense groups too, whose links join them over many lists.
 
 Defined results: a null or empty text has fingerprint zero and is linked like
 any other; texts of fewer words than a shingle are one shingle; texts of any
@@ -187,6 +184,8 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
 
 #: Words of 32 bits in the sketch of ``similar_groups``.
 TABLES = 32
+#: Sorted lists, rows after each row that it meets in a list, and 64-bit words that decide there.
+LISTS, REACH, CHECKED = 40, 6, 4
 
 
 def sketch(data: bytes, width: int) -> tuple[int, np.ndarray]:
@@ -219,48 +218,52 @@ def with_sketch(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFram
                 part = batch.slice(k, 512)
                 done = [sketch((t or "").encode("utf-8", "surrogatepass").lower(), width) for t in part.column(1).to_pylist()]
                 nodes = np.array([n for n, _ in done], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes), pa.array([x.tobytes() for _, x in done], pa.binary())], names=["id", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes), pa.array([x for _, x in done], pa.list_(pa.int64()))], names=["id", "node", "sketch"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, node long, sketch binary")
+    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, node long, sketch array<long>")
 
 
-def _table_anchors(sketches: list[bytes], excess: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket): for each table the anchors of a sketch with up to ``excess`` bits beyond the covering radius."""
-    syndromes, patterns = code_table()
-    words = np.frombuffer(b"".join(sketches), dtype="<u4").reshape(len(sketches), TABLES).astype(np.int64) & 0x7FFFFF
-    near = [np.concatenate(p[: excess + 1]) for p in patterns]
-    size = np.array([len(x) for x in near])
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    flat, which = np.concatenate(near), syndromes[words].astype(np.int64).ravel()
-    many = size[which]
-    at = np.repeat(start[which] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-    cell = np.repeat(np.arange(words.size), many)
-    return cell // TABLES, (words.ravel()[cell] ^ flat[at]) | (cell % TABLES) << 23
-
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: nodes that stand close to each other in some sorted list and agree in their first words.
 
-def _at_anchors(rows: DataFrame, excess: int) -> DataFrame:
-    """(bucket, node, group, word) for each anchor; word is the sketch's first 64 bits."""
+    A list sorts all nodes by one rotated word of the sketch. It is dealt to
+    tasks by ranges of that order, so a dense group spreads over tasks, and
+    each row meets the ``REACH`` rows after it: the number of comparisons is
+    proportional to the nodes.
+    """
+    words = TABLES // 2
+    most = round(64 * CHECKED * 0.1516 + 3.5 * (64 * CHECKED * 0.1516 * 0.8484) ** 0.5)
+    turned = [(k % words, 21 * (k // words) % 64) for k in range(LISTS)]
+    rotated = [F.get("sketch", F.lit(w)) if not r else F.shiftleft(F.get("sketch", F.lit(w)), r).bitwiseOR(F.shiftrightunsigned(F.get("sketch", F.lit(w)), 64 - r)) for w, r in turned]
+    rows = nodes.select("node", *[F.get("sketch", F.lit(k)).alias(f"w{k}") for k in range(CHECKED)], F.posexplode(F.array(*rotated)).alias("list", "place"))
+    ordered = rows.repartitionByRange("list", "place", "node").sortWithinPartitions("list", "place", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: np.ndarray | None = None
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                sketches = part.column(2).to_pylist()
-                row, bucket = _table_anchors(sketches, excess)
-                node, group = (part.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-                word = np.array([int.from_bytes(x[:8], "little", signed=True) for x in sketches], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node[row]), pa.array(group[row]), pa.array(word[row])], names=["bucket", "node", "group", "word"])
-
-    return rows.select("node", "group", "sketch").mapInArrow(run, "bucket long, node long, group long, word long")
-
-
-def _similar(pairs: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
+            own = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "list", *[f"w{k}" for k in range(CHECKED)])])
+            own = own if held is None else np.concatenate([held, own], axis=1)
+            fresh = 0 if held is None else held.shape[1]
+            node, words_ = own[0], own[2:].view(np.uint64)
+            for step in range(1, REACH + 1):
+                first = max(0, fresh - step)  # pairs whose later row is new
+                left, right = slice(first, own.shape[1] - step), slice(first + step, own.shape[1])
+                apart = np.bitwise_count(words_[:, left] ^ words_[:, right]).sum(axis=0, dtype=np.int64)
+                hit = np.flatnonzero((apart <= most) & (own[1, left] == own[1, right]))
+                if len(hit):
+                    x, y = node[left][hit], node[right][hit]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            held = own[:, -REACH:]
+
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     """The pairs (a, b) whose sketches differ in at most ``most`` bits."""
-    left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
-    right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
-    word = "cast(conv(hex(substring({0}, {1}, 8)), 16, -10) as bigint)"
-    apart = " + ".join(f"bit_count({word.format('x', k)} ^ {word.format('y', k)})" for k in range(1, TABLES * 4, 8))
-    return pairs.join(left, "a").join(right, "b").filter(F.expr(apart) <= most).select("a", "b")
+    left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
+    return pairs.join(left, "a").join(right, "b").filter(apart <= most).select("a", "b")
 
 
 def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -269,23 +272,14 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     component_id is the least id of the group.
     """
     shared = 2 * similarity / (1 + similarity)  # cosine of two sets of equal size
-    most = round(TABLES * 32 * float(np.arccos(shared)) / np.pi)
-    word_most = round(64 * most / (TABLES * 32) + 3.5 * (64 * 0.15 * 0.85) ** 0.5)
+    # most of the pairs of just this similarity lie within a standard error of the mean
+    differing = float(np.arccos(shared)) / np.pi
+    most = round(TABLES * 32 * differing + 0.7 * (TABLES * 32 * differing * (1 - differing)) ** 0.5)
     rows = written(with_sketch(docs, text, doc_id, width), "sketches")
-    nodes = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("sketch").alias("sketch")), "nodes")
-    sketches = nodes.select("node", "sketch")
-    homes = _at_anchors(nodes.withColumn("group", F.col("node")), 0)
-    least = homes.groupBy("bucket").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    stars = homes.select("bucket", F.col("node").alias("a")).join(least, "bucket").filter("a <> b").select("a", "b").distinct()
-    first = written(_similar(stars, sketches, most), "star-links")
-    found = written(connected_components(first, "a", "b"), "star-groups")
-    grouped = written(nodes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).select("node", "group", "sketch"), "grouped")
-    own = _at_anchors(grouped, 0).toDF("bucket", "a", "ga", "wa")
-    near = _at_anchors(grouped, 1).toDF("bucket", "b", "gb", "wb")
-    meet = own.join(near, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= word_most))
-    second = _similar(meet.select("a", "b").distinct(), sketches, most)
-    final = connected_components(first.union(second), "a", "b")
-    named = nodes.select("node", "least").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.any_value("sketch").alias("sketch")), "nodes")
+    links_ = written(_similar(_candidates(nodes), nodes, most), "links")
+    found = connected_components(links_, "a", "b")
+    named = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return rows.select("id", "node").join(named.join(ids, "component").select("node", "component_id"), "node").select("id", "component_id")
 
