@@ -132,8 +132,9 @@ def theorems(tex: str) -> list[dict]:
 
 def bibitems(tex: str) -> list[tuple[str, str]]:
     """P-11: (key, text) of a bibliography."""
-    parts = re.split(r"\\bibitem(?:\[[^\]]*\])?\{([^}]*)\}", strip_comments(tex))
-    return [(key, " ".join(re.sub(r"\\end\{thebibliography\}.*", "", re.sub(r"\\newblock|[{}]", " ", text), flags=re.S).split())) for key, text in zip(parts[1::2], parts[2::2], strict=True)]
+    body = strip_comments(tex).split("\\end{thebibliography}")[0]
+    parts = re.split(r"\\bibitem(?:\[[^\]]*\])?\{([^}]*)\}", body)
+    return [(key, " ".join(re.sub(r"\\newblock|[{}]", " ", text).split())) for key, text in zip(parts[1::2], parts[2::2], strict=True)]
 
 
 THEOREM = "paper string, order int, kind string, label string, has_proof boolean, proof_match string, depends array<string>, cites array<string>, statement string, line int"
