@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
+from ..operators import hearst, search
 from ..sources import expressions, latex, lean, readers
 from ..session import table
 
@@ -128,7 +129,29 @@ def context_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.join(F.broadcast(small), G.within(F.col("small"), F.col("types"))).select("l_orderkey", F.array_join("types", ",").alias("types"))
 
 
-QUERIES = {f.__name__: f for f in (latex_theorems, theorem_dependencies, bibitem_ids, citation_resolution, lean_declarations, lean_dependencies, expression_forms, equal_up_to_names, html_links, code_levels, text_functions, verdict_parse, context_subset)}
+def hearst_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-04: sentences about part names built from parts; the names are the known phrases."""
+    p = table(spark, sf_dir, "part")
+    links = F.array(*[F.lit(x) for x in (" is a special case of ", ", such as ", " is equivalent to the ", " and also ", " is a ")])
+    text = F.concat(F.lit("Then. Here "), "p_name", F.get(links, (F.col("p_partkey") % 5).cast("int")), F.lit("old anvil. After"))
+    return hearst.hits(p.select(F.col("p_partkey").alias("doc"), text.alias("text")), "doc", "text", p.select(F.col("p_name").alias("phrase")))
+
+
+def tex_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-29."""
+    text = F.concat(F.lit(r"\\int_\\Omega |\\nabla u| \\leq "), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", T.looks_like_tex(text).alias("tex"), T.looks_like_tex(F.col("p_name")).alias("plain"), F.array_join(T.tex_terms(text), " ").alias("terms"))
+
+
+def statement_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V-13, A-18."""
+    p = table(spark, sf_dir, "part")
+    statement = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " ∀ x").otherwise(" x"), F.when(F.col("p_partkey") % 3 == 0, " ∈ ℝ").otherwise(""))
+    score = search.statement_score(statement, F.array(F.lit("red")), F.array(F.lit("∀"), F.lit("∈")), F.array(F.lit(1.0), F.lit(3.0)))
+    return p.select("p_partkey", F.round(score, 6).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (latex_theorems, theorem_dependencies, bibitem_ids, citation_resolution, lean_declarations, lean_dependencies, expression_forms, equal_up_to_names, html_links, code_levels, text_functions, verdict_parse, context_subset, hearst_hits, tex_query_terms, statement_scores)}
 
 _LEAN_SQL = "f AS (SELECT p_brand AS path, p_partkey AS k, lag(p_partkey) OVER w AS b, row_number() OVER w - 1 AS o FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey))"
 ORACLES = {
@@ -152,4 +175,11 @@ ORACLES = {
       SELECT event_id, verdict, CASE WHEN verdict IN ('incorrect', 'malformed') THEN verdict WHEN event_id % 2 = 0 THEN 'correct' ELSE 'malformed' END AS final FROM v""",
     "context_subset": """WITH t AS (SELECT l_orderkey, list_sort(list(p_type)) AS types FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1), s AS (SELECT types[1:2] AS s FROM t ORDER BY l_orderkey LIMIT 1)
       SELECT l_orderkey, array_to_string(types, ',') AS types FROM t, s WHERE len(list_filter(types, lambda x: x = s[1])) >= len(list_filter(s, lambda x: x = s[1])) AND (len(s) < 2 OR len(list_filter(types, lambda x: x = s[2])) >= len(list_filter(s, lambda x: x = s[2])))""",
+    "hearst_hits": """WITH t AS (SELECT p_partkey AS k, p_name, [' is a special case of ', ', such as ', ' is equivalent to the ', ' and also ', ' is a '][p_partkey % 5 + 1] AS l FROM part)
+      SELECT CASE WHEN k % 5 = 1 THEN 'old anvil' ELSE p_name END AS subject, CASE WHEN k % 5 = 1 THEN p_name ELSE 'old anvil' END AS object, CASE WHEN k % 5 = 2 THEN 'equivalent_to' ELSE 'specialization_of' END AS kind,
+      'Here ' || p_name || l || 'old anvil.' AS sentence, k::VARCHAR AS doc FROM t WHERE k % 5 <> 3 AND EXISTS (SELECT 1 FROM part WHERE p_name = 'old anvil')""",
+    "tex_query_terms": """SELECT p_partkey, TRUE AS tex, FALSE AS plain, '∫ ∇ ≤ integral gradient ' || p_name AS terms FROM part""",
+    "statement_scores": """WITH s AS (SELECT p_partkey, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' ∀ x' ELSE ' x' END || CASE WHEN p_partkey % 3 = 0 THEN ' ∈ ℝ' ELSE '' END AS s,
+      (CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 3.0 ELSE 0 END) / 4 AS c, contains(p_name, 'red') AS t FROM part)
+      SELECT p_partkey, round(CASE WHEN t THEN (0.5 + 0.5 * c) / (1 + length(s) / 120) WHEN c > 0 THEN c / (1 + length(s) / 120) END, 6) AS score FROM s""",
 }

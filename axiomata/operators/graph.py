@@ -35,6 +35,18 @@ def representatives(nodes: DataFrame, equivalences: DataFrame) -> DataFrame:
     return nodes.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("rep"))
 
 
+def absorb(reps: DataFrame, fresh: DataFrame) -> DataFrame:
+    """G-04: representatives after new equivalences (src, dst), from the old ones alone.
+
+    Only the classes that the new edges touch are joined; the rest is kept.
+    Taking an equivalence back needs ``representatives`` anew.
+    """
+    a, b = reps.toDF("src", "rs"), reps.toDF("dst", "rd")
+    lifted = fresh.join(a, "src").join(b, "dst").select(F.col("rs").alias("src"), F.col("rd").alias("dst"))
+    moved = connected_components(lifted, "src", "dst").toDF("rep", "to")
+    return reps.join(moved, "rep", "left").select("id", F.coalesce("to", "rep").alias("rep"))
+
+
 def classes(reps: DataFrame) -> DataFrame:
     """G-02: (rep, size, members) of classes with more than one member."""
     return reps.groupBy("rep").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("id")).alias("members")).filter("size > 1")

@@ -185,3 +185,24 @@ def connected(anchors: DataFrame, edges: DataFrame, top_k: int) -> DataFrame:
     fresh = reached.join(anchors.select("qid", F.col("entry").alias("found")).distinct(), ["qid", "found"], "left_anti").join(count, "qid")
     ranked = fresh.withColumn("score", F.col("fan_in") / F.col("n")).withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "found")))
     return ranked.filter(F.col("r") <= top_k).select("qid", F.col("found").alias("entry"), "fan_in", "via", "score")
+
+
+def statement_score(statement: Column, tokens: Column, symbols: Column, weights: Column) -> Column:
+    """V-13: how well a statement matches query tokens (all must occur) and weighed symbols; null if neither does.
+
+    ``weights`` are the weights of ``symbols`` in their order; short statements score higher.
+    """
+    own = T.math_symbols(statement)
+    whole = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
+    hit = F.aggregate(F.zip_with(symbols, weights, lambda s, w: F.when(F.array_contains(own, s), w).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, w: a + w)
+    covered = F.when(whole > 0, hit / whole).otherwise(F.lit(0.0))
+    every = (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(F.lower(statement), t))
+    brevity = 1 / (1 + F.length(statement) / 120)
+    return F.when(every & (F.size(symbols) == 0), brevity).when(every, (0.5 + 0.5 * covered) * brevity).when(covered > 0, covered * brevity)
+
+
+def federated(concepts: DataFrame, judgments: DataFrame, top_k: int = 5) -> DataFrame:
+    """Q-06: (qid, source, rank, entry, score): the best hits of both searches in one list."""
+    both = concepts.select("qid", F.lit("concept").alias("source"), "entry", "score").union(judgments.select("qid", F.lit("judgment").alias("source"), "entry", "score"))
+    best = both.groupBy("qid", "source", "entry").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "source", "entry"))).filter(F.col("rank") <= top_k)

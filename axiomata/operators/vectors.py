@@ -189,3 +189,20 @@ def spectral(matrix: DataFrame, dim: int, extra: int = 10, power: int = 2, seed:
     scaled = times(basis, vectors[:, order] * np.sqrt(np.abs(values[order])))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     return scaled.select(F.col("k").alias("u"), F.transform("v", lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))).alias("vector"))
+
+
+def encoded(df: DataFrame, text: str, encode, dim: int, out: str = "vector") -> DataFrame:
+    """P-16: ``df`` with the vectors of a text column by an encoder from a list of texts to a matrix, a batch at a time.
+
+    The encoder is sent to the workers; an error in it fails the job. Order and rows are kept.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            made = np.asarray(encode(pdf[text].fillna("").tolist()), dtype=np.float32)
+            if made.shape != (len(pdf), dim):
+                raise ValueError(f"the encoder gave {made.shape}, not {(len(pdf), dim)}")
+            yield pdf.assign(**{out: list(made)})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInPandas(run, f"{fields}, `{out}` array<float>")
