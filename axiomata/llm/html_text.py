@@ -47,6 +47,10 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising adbox banner
 ARTICLE = frozenset(["article", "main"])
 #: Elements that can be the region.
 CONTAINERS = ARTICLE | frozenset("html body div section td center".split())
+#: Marks that inside an article belong to it.
+OWN = frozenset(["header", "banner"])
+#: What may stand in a page's head; anything else ends it.
+HEAD = frozenset("base link meta noscript script style template title".split())
 #: Standard deviation of the smoothing, in lines, and share of the content that the region must hold.
 SIGMA, SHARE = 1.0, 0.9
 _WORDS = re.compile(r"[A-Za-z]+")
@@ -66,7 +70,7 @@ def _marked(tag: str, attributes: list[tuple[str, str | None]], in_article: bool
             continue
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and any(set(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", part).lower())) & MARKS for part in value.split()):
+        if name in ("class", "id") and any(set(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", part).lower())) & (MARKS - OWN if in_article else MARKS) for part in value.split()):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
@@ -93,6 +97,8 @@ class Lines(HTMLParser):
         self.text, self.tags = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in HEAD and any(t == "head" for t, _, _ in self.open):
+            self.drop(next(k for k, (t, _, _) in enumerate(self.open) if t == "head"))
         if tag in BLOCKS:
             if tag in CLOSED_BY_OWN:
                 self.close_own(tag)

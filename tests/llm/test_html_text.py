@@ -28,6 +28,11 @@ def test_odd_pages():
     assert html_text.main_text("<script>only</script><!-- c -->") == ""
 
 
+def test_unclosed_head_and_an_article_header():
+    assert html_text.main_text("<html><head><title>t</title><meta x><body><p>text</p>") == "text"
+    assert html_text.main_text("<article><div class='entry-header'><h1>T</h1></div><p>long text of it</p><div class='share-buttons'>x</div></article>") == "T\nlong text of it"
+
+
 def test_parts_of_the_method():
     assert np.allclose(html_text.smoothed(np.ones(20)), 1)
     assert 2 < html_text.threshold(np.array([1, 1.5, 1, 9, 10, 11])) < 9
