@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -37,7 +38,7 @@ CELLS = 1 << 20
 #: Characters of a text from which its pieces are taken one by one, and pieces in a block.
 LONG_TEXT, BLOCK = 1 << 20, 1 << 17
 #: Pieces whose ids a worker keeps; beyond it the store starts anew, which costs time and changes no result.
-KEPT = 300_000
+KEPT = 120_000
 NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -76,7 +77,12 @@ class PairTable:
             rest = np.ones(len(left), dtype=bool)
             rest[put] = False
             left, value, at = left[rest], value[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
-        self.pairs = dict(zip(keys, ranks, strict=True))
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The same ranks as a dictionary, made when the first long piece comes."""
+        taken = self.keys != np.uint64(0xFFFFFFFFFFFFFFFF)
+        return dict(zip(self.keys[taken].tolist(), self.ranks[taken].tolist(), strict=True))
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)

@@ -76,7 +76,7 @@ class Buckets(dict):
     """Word to column; words beyond the bound start the store anew."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = out = zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_BUCKETS
         return out
@@ -221,9 +221,12 @@ def with_score(docs: DataFrame, machine: Machine, text: str = "text", keep: tupl
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
-                made = [extract(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                made = [extract(t) for t in part.column(at).to_pylist()]
                 starts = np.concatenate([[0], np.cumsum([len(c) for c, _ in made])[:-1]]).astype(int)
                 z = own.logits(np.concatenate([c for c, _ in made]), np.concatenate([v for _, v in made]), starts)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(_sigmoid(z).astype(np.float64))], names=[*keep, score])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(_sigmoid(z).astype(np.float64))], names=[*keep, score])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    # a text that is kept is not sent twice
+    at = keep.index(text) if text in keep and docs.schema[text].dataType == T.StringType() else len(keep)
+    sent = docs.select(*keep) if at < len(keep) else docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    return sent.mapInArrow(run, schema)
