@@ -5,7 +5,7 @@
    keys collide stay apart. Copies are combined before the shuffle: a text
    that fills a third of the table costs each task one row.
 2. Directory. Entries are counted in cells of ``MAX_DEPTH`` leading key bits,
-   at most 2 ** MAX_DEPTH counts whatever the input. From depth zero the
+   at most 2 ** MAX_DEPTH counts whatever the input. From MIN_DEPTH bits on the
    directory doubles: while a bucket holds more than ``capacity`` entries it
    splits on the next bit. The leaves are the buckets.
 3. Index. Entries go to the tasks that own their bucket's range of keys, are
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Leading bits of the key that the directory may use.
-MAX_DEPTH = 16
+#: Leading bits of the key that the directory starts with and may use.
+MIN_DEPTH, MAX_DEPTH = 6, 16
 #: Entries of a bucket before it splits.
 CAPACITY = 500_000
 #: White space that normalisation deletes.
@@ -54,7 +54,7 @@ def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     buckets of full depth keep longer chains.
     """
     cells = entries.groupBy(F.shiftrightunsigned("key", 64 - max_depth).alias("cell")).count()
-    depths = F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")
+    depths = F.explode(F.sequence(F.lit(MIN_DEPTH), F.lit(max_depth))).alias("depth")
     at = cells.select("cell", "count", depths).withColumn("bucket", F.expr(f"shiftright(cell, {max_depth} - depth)"))
     fits = at.groupBy("depth", "bucket").agg(F.sum("count").alias("n")).filter((F.col("n") <= capacity) | (F.col("depth") == max_depth))
     return at.join(fits, ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket")).alias("leaf")).select("cell", "leaf.depth", "leaf.bucket")
