@@ -9,6 +9,7 @@ from ..operators import sinks as K
 from ..operators import vectors as V
 from ..session import table
 from ..streaming import events as E
+from .spaces import KNN_SQL
 
 
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,6 +192,7 @@ ORACLES = {
     "taxonomy_export": """WITH m AS (SELECT p_type AS field, p_brand AS cluster, p_name AS phrase, count(*) AS n FROM part GROUP BY ALL), c AS (SELECT field, cluster, sum(n) AS w, string_agg(phrase, ',' ORDER BY n DESC, phrase) AS p FROM m GROUP BY ALL)
       SELECT field, string_agg(cluster || ':' || p, ';' ORDER BY w DESC, cluster) AS clusters FROM c GROUP BY field""",
     "head_shard": "SELECT l_partkey AS entry, count(*) AS doc_freq FROM lineitem GROUP BY 1 ORDER BY doc_freq DESC, entry LIMIT 800",
+    "related_export": f"WITH {KNN_SQL} SELECT i AS source, string_agg(j::VARCHAR, ',' ORDER BY sim DESC, j) AS related FROM knn WHERE rank <= 6 GROUP BY i",
     "papers_export": """WITH l AS (SELECT DISTINCT l_orderkey AS paper, 'Part ' || (l_partkey % 97) AS concept FROM lineitem), n AS (SELECT paper, count(*) AS n FROM l GROUP BY paper)
       SELECT concept, l.paper, row_number() OVER (PARTITION BY concept ORDER BY contains(lower('On part ' || (o_custkey % 97) || ' and more'), lower(concept)) DESC, n, l.paper) AS rank FROM l JOIN n USING (paper) JOIN orders ON o_orderkey = l.paper QUALIFY rank <= 12""",
     "json_export": "SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS value FROM nation",

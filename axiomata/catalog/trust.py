@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import cooccurrence as C
 from ..operators import provenance as P
 from ..session import table
+from .mining import RELATIONS_SQL, _relation_sources
 
 _PREDICATES = "CASE o_orderkey % 9 WHEN 0 THEN 'depends_on' WHEN 1 THEN 'cites' WHEN 2 THEN 'imports' WHEN 3 THEN 'implies' WHEN 4 THEN 'specializes' WHEN 5 THEN 'generalizes' WHEN 6 THEN 'equivalent_to' WHEN 7 THEN 'related_to' ELSE 'uses_concept' END"
 _STATES = "CASE o_custkey % 6 WHEN 0 THEN 'proposed' WHEN 1 THEN 'extracted' WHEN 2 THEN 'observed' WHEN 3 THEN 'reviewed' WHEN 4 THEN 'verified' ELSE 'rejected' END"
@@ -203,9 +205,6 @@ def import_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def import_relation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-04."""
-    from ..operators import cooccurrence as C
-    from .mining import _relation_sources
-
     return P.import_relations(C.merge_relations(*_relation_sources(spark, sf_dir)))
 
 
@@ -312,6 +311,9 @@ ORACLES = {
       CASE WHEN l_returnflag = 'A' THEN 'extracted' WHEN l_returnflag = 'R' THEN 'observed' WHEN l_linestatus = 'O' THEN 'rejected' ELSE 'proposed' END AS state,
       CASE l_returnflag WHEN 'A' THEN 'dependency' WHEN 'R' THEN 'citation' ELSE 'implication' END || ':' || (l_orderkey * 10 + l_linenumber) AS legacy_ref, 'r1' AS release FROM lineitem
       WHERE l_orderkey * 10 + l_linenumber >= 50000""",
+    "import_relation_evidence": f"""WITH {RELATIONS_SQL}, m AS (SELECT *, CASE WHEN kind = 'specialization_of' THEN 'specializes' ELSE 'equivalent_to' END AS predicate, CASE WHEN status = 'proposed' THEN 'proposed' ELSE 'extracted' END AS state FROM merged)
+      SELECT subject, object, predicate, state, 'source_span' AS evidence_kind, evidence_sentence AS locator, NULL::DOUBLE AS metric FROM m WHERE status <> 'proposed'
+      UNION ALL SELECT subject, object, predicate, state, 'model_output', NULL, confidence::DOUBLE FROM m WHERE status <> 'grounded'""",
     "import_manifest_unique_names": """WITH n AS (SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_type AS name FROM part), u AS (SELECT name, min(id) AS id FROM n GROUP BY name HAVING count(*) = 1)
       SELECT DISTINCT a.id AS subject, b.id AS object, l_returnflag AS origin FROM lineitem JOIN n x ON x.id = l_partkey JOIN n y ON y.id + 1 = l_partkey JOIN u a ON a.name = x.name JOIN u b ON b.name = y.name WHERE a.id <> b.id""",
     "import_reference_scope": """WITH p AS (SELECT DISTINCT l_orderkey AS citing, (l_partkey * 7) % 30000 AS cited FROM lineitem WHERE l_orderkey % 2 = 0), k AS (SELECT DISTINCT citing AS w FROM p)

@@ -112,3 +112,26 @@ def test_retraction_leaves_nothing_hanging(spark):
     left = provenance.retract(12, *store(spark))
     assert [df.count() for df in left] == [1, 1, 0, 1]
     assert [df.count() for df in provenance.retract(10, *store(spark))] == [0, 0, 0, 0]
+
+
+def test_encoder_is_called_by_batch_and_checked(spark):
+    df = spark.createDataFrame([(1, "ab", "x"), (2, None, "y")], "id long, text string, extra string")
+    found = vectors.encoded(df, "text", lambda texts: [[len(t), 1.0] for t in texts], 2)
+    assert {r.id: (list(r.vector), r.extra) for r in found.collect()} == {1: ([2.0, 1.0], "x"), 2: ([0.0, 1.0], "y")}
+
+
+def test_incremental_quotient_equals_a_new_one(spark):
+    from axiomata.operators import graph
+
+    nodes = spark.createDataFrame([(k,) for k in range(12)], "id long")
+    old, new = [(1, 2), (3, 4), (6, 7)], [(2, 3), (7, 9), (10, 11)]
+    frame = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    step = graph.absorb(graph.representatives(nodes, frame(old)), frame(new))
+    assert {tuple(r) for r in step.collect()} == {tuple(r) for r in graph.representatives(nodes, frame(old + new)).collect()}
+
+
+def test_federated_hits(spark):
+    a = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.2), (1, 10, 0.5)], "qid int, entry long, score double")
+    b = spark.createDataFrame([(1, 10, 0.6), (2, 5, 0.1)], "qid int, entry long, score double")
+    got = [(r.qid, r.source, r.rank, r.entry) for r in search.federated(a, b, 2).orderBy("qid", "rank").collect()]
+    assert got == [(1, "concept", 1, 10), (1, "judgment", 2, 10), (2, "judgment", 1, 5)]
