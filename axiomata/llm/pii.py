@@ -247,8 +247,10 @@ def train(found: DataFrame) -> dict[str, float]:
     The driver gets counts by kind, votes, size and digit share: at most
     7 * 27 * 5 * 5 rows.
     """
-    c = "c"
-    table = found.select(F.explode("found").alias(c)).groupBy(*[F.col(f"{c}.{x}").alias(x) for x in ("kind", "shape", "known", "words", "size", "digits")]).count().collect()
+    # The outer form infers no filter on the array's size. Pushed below the columns that the
+    # array is built from, that filter would build them anew for every candidate.
+    table = found.select(F.inline_outer("found")).groupBy("kind", "shape", "known", "words", "size", "digits").count().collect()
+    table = [r for r in table if r["kind"] is not None]
     patterns: dict[tuple[str, tuple[int, ...]], int] = {}
     for r in table:
         key = (r["kind"], (r["shape"], r["known"], r["words"]))
