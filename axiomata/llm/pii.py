@@ -282,11 +282,11 @@ def _score(weights: dict[str, float], c: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, ``base`` and ``spans``: arrays of (start, stop, rank, kind), ordered; spans holds base and added ones."""
+    """``keep``, ``base`` and ``spans``: arrays of (start, rank, stop, kind), ordered; spans holds base and added ones."""
     found = candidates(docs, text, keep)
     weights = train(found)
     rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
-    plain = lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.element_at(rank, c["kind"]).alias("rank"), c["kind"].alias("kind"))
+    plain = lambda c: F.struct(c["start"].alias("start"), F.element_at(rank, c["kind"]).alias("rank"), c["stop"].alias("stop"), c["kind"].alias("kind"))
     base = F.array_sort(F.transform(F.filter("found", lambda c: c["valid"]), plain))
     wider = [k for k in WIDER]
     added = F.transform(F.filter("found", lambda c: c["kind"].isin(wider) & (_score(weights, c) >= 0)), plain)

@@ -20,7 +20,7 @@ def brute(text):
 
 
 TEXTS = [
-    None, "", "no data", "a@b.c_d@e.f x@y", "a.b%c@d-e.f.g, @x.y a@.b c@d..e", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4 1.2.3 999999999999.1.1.1",
+    None, "", "no data", "1.2.3.4@x.com 4111111111111111@y.z +14111111111111111", "a@b.c_d@e.f x@y", "a.b%c@d-e.f.g, @x.y a@.b c@d..e", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4 1.2.3 999999999999.1.1.1",
     "4111 1111 1111 1111 4111-1111-1111-1112 41111111111111110000 4111111111111111 5500 0000 0000 0004 378282246310005", "+1 (535) 555-5412 ++1 23 +1234567890123456 +49.30.1234567-",
     "é\U0001f600 a@b.de \U0001f600 +1 (535) 555-5412", "1 " * 40, "4" * 3000, "a" * 5000 + "@", "." * 3000, "+" * 500 + "12345678901", "x@y.z" * 700, "9-" * 200,
     'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and john (at) example (dot) com or call (535) 555-5412',
