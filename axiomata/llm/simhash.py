@@ -20,9 +20,9 @@ Texts that share four fifths of their five-word shingles differ in about 10 of
 64 bits, far beyond what anchors can cover. ``similar_groups`` serves that case
 with a sketch of 32 * TABLES bits: the nodes are sorted by each of ``LISTS``
 rotated words of it, near copies have long common beginnings in some of them,
-and each row meets the rows next to it. The first bits prune, all bits decide
-(standard error of the similarity about 0.03). The comparisons are linear in
-the nodes, in dense groups too, whose links join them over many lists.
+and each row is compared with the rows next to it over all bits (standard error
+of the similarity about 0.03). The comparisons are linear in the nodes, in
+dense groups too, whose links join them over many lists.
 
 Defined results: a null or empty text has fingerprint zero and is linked like
 any other; texts of fewer words than a shingle are one shingle; texts of any
@@ -184,8 +184,8 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
 
 #: Words of 32 bits in the sketch of ``similar_groups``.
 TABLES = 32
-#: Sorted lists, rows after each row that it meets in a list, and 64-bit words that decide there.
-LISTS, REACH, CHECKED = 40, 6, 4
+#: Sorted lists, and rows after each row that it is compared with in a list.
+LISTS, REACH = 40, 6
 
 
 def sketch(data: bytes, width: int) -> tuple[int, np.ndarray]:
@@ -223,49 +223,53 @@ def with_sketch(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFram
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, node long, sketch array<long>")
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: nodes that stand close to each other in some sorted list and agree in their first words.
+def _similar_links(nodes: DataFrame, most: int) -> DataFrame:
+    """(a, b), a < b: links between nodes whose sketches differ in at most ``most`` bits, enough of them to connect what is linked.
 
     A list sorts all nodes by one rotated word of the sketch. It is dealt to
     tasks by ranges of that order, so a dense group spreads over tasks, and
-    each row meets the ``REACH`` rows after it: the number of comparisons is
-    proportional to the nodes.
+    each row is compared with the ``REACH`` rows after it: the number of comparisons is
+    proportional to the nodes. A task leaves out links between nodes that its
+    earlier links connect already.
     """
     words = TABLES // 2
-    most = round(64 * CHECKED * 0.1516 + 3.5 * (64 * CHECKED * 0.1516 * 0.8484) ** 0.5)
     turned = [(k % words, 21 * (k // words) % 64) for k in range(LISTS)]
     rotated = [F.get("sketch", F.lit(w)) if not r else F.shiftleft(F.get("sketch", F.lit(w)), r).bitwiseOR(F.shiftrightunsigned(F.get("sketch", F.lit(w)), 64 - r)) for w, r in turned]
-    rows = nodes.select("node", *[F.get("sketch", F.lit(k)).alias(f"w{k}") for k in range(CHECKED)], F.posexplode(F.array(*rotated)).alias("list", "place"))
+    names = [f"w{k}" for k in range(words)]
+    rows = nodes.select("node", *[F.get("sketch", F.lit(k)).alias(c) for k, c in enumerate(names)], F.posexplode(F.array(*rotated)).alias("list", "place"))
     ordered = rows.repartitionByRange("list", "place", "node").sortWithinPartitions("list", "place", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray | None = None
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
         for batch in batches:
-            own = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "list", *[f"w{k}" for k in range(CHECKED)])])
+            own = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "list", *names)])
             own = own if held is None else np.concatenate([held, own], axis=1)
             fresh = 0 if held is None else held.shape[1]
-            node, words_ = own[0], own[2:].view(np.uint64)
+            bits = own[2:].view(np.uint64)
+            links: list[tuple[int, int]] = []
             for step in range(1, REACH + 1):
                 first = max(0, fresh - step)  # pairs whose later row is new
                 left, right = slice(first, own.shape[1] - step), slice(first + step, own.shape[1])
-                apart = np.bitwise_count(words_[:, left] ^ words_[:, right]).sum(axis=0, dtype=np.int64)
+                apart = np.bitwise_count(bits[:, left] ^ bits[:, right]).sum(axis=0, dtype=np.int64)
                 hit = np.flatnonzero((apart <= most) & (own[1, left] == own[1, right]))
-                if len(hit):
-                    x, y = node[left][hit], node[right][hit]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                for x, y in zip(own[0, left][hit].tolist(), own[0, right][hit].tolist(), strict=True):
+                    if (p := root(x)) != (q := root(y)):
+                        parent[max(p, q)] = min(p, q)
+                        links.append((min(x, y), max(x, y)))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
             held = own[:, -REACH:]
 
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """The pairs (a, b) whose sketches differ in at most ``most`` bits."""
-    left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
-    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
-    return pairs.join(left, "a").join(right, "b").filter(apart <= most).select("a", "b")
-
-
 def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id) of each row: groups linked by ``similarity`` or more of their shingles.
 
@@ -277,7 +281,7 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     most = round(TABLES * 32 * differing + 0.7 * (TABLES * 32 * differing * (1 - differing)) ** 0.5)
     rows = written(with_sketch(docs, text, doc_id, width), "sketches")
     nodes = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.any_value("sketch").alias("sketch")), "nodes")
-    links_ = written(_similar(_candidates(nodes), nodes, most), "links")
+    links_ = written(_similar_links(nodes, most), "links")
     found = connected_components(links_, "a", "b")
     named = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
