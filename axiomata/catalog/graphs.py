@@ -181,9 +181,9 @@ WITH {NAMED_SQL},
 last AS (SELECT name, max(id) AS id FROM n GROUP BY name),
 s AS (SELECT n.id AS self, m, string_split(name, m)[1] AS l, substr(name, instr(name, m) + length(m)) AS r FROM n, (SELECT unnest(['_implies_', '_of_']) AS m) WHERE instr(name, m) > 1 AND instr(name, m) + length(m) <= length(name)),
 x AS (SELECT self, m, a.id AS li, b.id AS ri FROM s JOIN last a ON a.name = l JOIN last b ON b.name = r WHERE a.id <> b.id)
-SELECT DISTINCT li AS src, ri AS dst, 'implication' AS kind, 0.55 AS confidence FROM x WHERE m = '_implies_' UNION
-SELECT DISTINCT ri, li, 'implication', 0.4 FROM x WHERE m = '_of_' AND li <> self AND ri <> self UNION
-SELECT DISTINCT last.id, n.id, 'implication', 0.3 FROM n JOIN last ON last.name = regexp_extract(n.name, '^(corollary|coroll|cor)_(.+)$', 2) WHERE last.id <> n.id
+SELECT DISTINCT li AS src, ri AS dst, 'implication' AS kind, 0.55::DOUBLE AS confidence FROM x WHERE m = '_implies_' UNION
+SELECT DISTINCT ri, li, 'implication', 0.4::DOUBLE FROM x WHERE m = '_of_' AND li <> self AND ri <> self UNION
+SELECT DISTINCT last.id, n.id, 'implication', 0.3::DOUBLE FROM n JOIN last ON last.name = regexp_extract(n.name, '^(corollary|coroll|cor)_(.+)$', 2) WHERE last.id <> n.id
 """
 
 
@@ -240,11 +240,11 @@ ORACLES = {
     "spine_outline": f"WITH RECURSIVE {SPINE_SQL} SELECT root, step, node, CASE WHEN node % 100 > 0 THEN node - 1 END AS next, CASE WHEN node % 100 > 1 THEN (node - 2)::VARCHAR ELSE '' END AS sides, 0 AS remaining FROM spine",
     "one_hop_neighborhood": f"WITH {EDGES_SQL}, n AS (SELECT DISTINCT 'depends_on' AS direction, dst AS node FROM edges WHERE src = 7 UNION SELECT DISTINCT 'used_by', src FROM edges WHERE dst = 7) SELECT direction, node, greatest(0, count(*) OVER (PARTITION BY direction) - 12) AS omitted FROM n QUALIFY row_number() OVER (PARTITION BY direction ORDER BY node) <= 12",
     "concept_map": MAP_SQL,
-    "equal_statement_pairs": f"WITH {JUDGMENTS_SQL} SELECT CASE WHEN eq OR up THEN i ELSE j END AS src, CASE WHEN eq OR up THEN j ELSE i END AS dst, CASE WHEN eq THEN 'equivalence' ELSE 'specialization' END AS kind, CASE WHEN eq THEN 0.9 ELSE 0.75 END AS confidence FROM pr WHERE eq OR up OR down",
+    "equal_statement_pairs": f"WITH {JUDGMENTS_SQL} SELECT CASE WHEN eq OR up THEN i ELSE j END AS src, CASE WHEN eq OR up THEN j ELSE i END AS dst, CASE WHEN eq THEN 'equivalence' ELSE 'specialization' END AS kind, CASE WHEN eq THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END AS confidence FROM pr WHERE eq OR up OR down",
     "name_pattern_proposals": NAMES_SQL,
     "qualifier_names": f"""WITH {NAMED_SQL}, a AS (SELECT * FROM n UNION ALL VALUES (3000000, 'ring'), (3000001, 'gear'), (3000002, 'widget')), w AS (SELECT id, regexp_split_to_array(name, '[_ ]') AS w FROM a),
       r AS (SELECT id, array_to_string(w[i:i + n - 1], ' ') AS part, list_concat(w[1:i - 1], w[i + n:len(w)]) AS rest FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT unnest(range(1, 12)) AS n) WHERE len(w) > 1 AND n <= len(w)))
-      SELECT DISTINCT g.id AS src, r.id AS dst, 'specialization' AS kind, 0.35 AS confidence FROM r JOIN w g ON array_to_string(g.w, ' ') = part WHERE list_has_any(rest, [{', '.join(f"'{q}'" for q in G.QUALIFIERS)}]) AND length(part) >= 3 AND g.id <> r.id""",
+      SELECT DISTINCT g.id AS src, r.id AS dst, 'specialization' AS kind, 0.35::DOUBLE AS confidence FROM r JOIN w g ON array_to_string(g.w, ' ') = part WHERE list_has_any(rest, [{', '.join(f"'{q}'" for q in G.QUALIFIERS)}]) AND length(part) >= 3 AND g.id <> r.id""",
     "edge_status_fold": f"WITH {STATES_SQL} SELECT * FROM st",
     "exclusive_kind_conflicts": f"WITH {STATES_SQL} SELECT src, dst, string_agg(kind, ',' ORDER BY kind) AS kinds FROM st WHERE status = 'accepted' GROUP BY src, dst HAVING count(*) > 1",
     "competing_proposals": f"WITH {STATES_SQL} SELECT * FROM st p WHERE status = 'proposed' AND EXISTS (SELECT 1 FROM st a WHERE a.src = p.src AND a.dst = p.dst AND a.status = 'accepted')",

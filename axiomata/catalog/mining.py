@@ -227,7 +227,7 @@ ORACLES = {
     "rake_scores": f"WITH {RAKE_SQL} SELECT doc AS doc_id, phrase, round(score, 6) AS score FROM scores",
     "phrase_candidates": f"""WITH {RAKE_SQL} SELECT phrase, len(string_split(phrase, ' ')) AS word_count, count(*) AS doc_freq, round(avg(score), 6) AS mean_score,
       array_to_string(list_sort(list(doc))[1:3], ',') AS sample_ids FROM scores GROUP BY phrase HAVING count(*) >= 3""",
-    "field_prior": "SELECT source AS label, round(count(*) * 1.0, 6) AS mass, round(count(*) / sum(count(*)) OVER (), 6) AS prior FROM documents GROUP BY source",
+    "field_prior": "SELECT source AS label, count(*)::DOUBLE AS mass, round(count(*) / sum(count(*)) OVER (), 6) AS prior FROM documents GROUP BY source",
     "field_concentration_kl": f"""WITH {PHRASES_SQL},
       prior AS (SELECT source AS label, count(*) / sum(count(*)) OVER () AS q FROM documents GROUP BY source),
       links AS (SELECT DISTINCT doc, phrase, source AS label FROM phrases JOIN documents ON doc = doc_id),
