@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.stages import written
 
 
 def phrase_rows(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -16,8 +17,7 @@ def phrase_rows(docs: DataFrame, doc: str, text: str) -> DataFrame:
 def rake_scores(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """T-07, A-05: (doc, phrase, score); a phrase scores the sum of degree over frequency of its words in the document.
 
-    Both sums are taken inside the document's row, over the map of its words,
-    so scoring a corpus needs no shuffle.
+    The ratios are by (document, word) and meet the distinct phrases' words again on that key.
     """
     rows = docs.select(F.col(doc).alias("doc"), T.phrases(F.col(text)).alias("phrases")).filter(F.size("phrases") > 0)
     exploded = rows.select("doc", F.posexplode("phrases").alias("at", "phrase")).select("doc", "at", "phrase", F.split("phrase", " ").alias("words"))
@@ -32,7 +32,9 @@ def accumulate(scored: DataFrame, min_docs: int = 3, samples: int = 3) -> DataFr
     """A-04: (phrase, word_count, doc_freq, mean_score, sample_ids) of phrases in enough documents.
 
     The first ids are taken by rank before they are collected, so no list grows with the corpus.
+    The scores are written once and read twice.
     """
+    scored = written(scored.select("doc", "phrase", "score"), "scored-phrases")
     stats = scored.groupBy("phrase").agg(F.count(F.lit(1)).alias("doc_freq"), F.avg("score").alias("mean_score")).filter(F.col("doc_freq") >= min_docs)
     ranked = scored.join(stats.select("phrase"), "phrase", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("phrase").orderBy("doc"))).filter(F.col("n") <= samples)
     first = ranked.groupBy("phrase").agg(F.array_sort(F.collect_list("doc")).alias("sample_ids"))
