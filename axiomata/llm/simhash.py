@@ -18,11 +18,11 @@ written table in the shared folder.
 
 Texts that share four fifths of their five-word shingles differ in about 10 of
 64 bits, far beyond what anchors can cover. ``similar_groups`` serves that case
-with a sketch of 32 * TABLES bits: the nodes are sorted by each of ``LISTS``
-rotated words of it, near copies have long common beginnings in some of them,
-and each row is compared with the rows next to it over all bits (standard error
-of the similarity about 0.03). The comparisons are linear in the nodes, in
-dense groups too, whose links join them over many lists.
+without fingerprints: by prefix filtering on the distinct shingles, in one order
+of all shingles with the frequent ones last, every pair that can be similar
+meets at a shingle, and a link is made by the exact similarity of the two sets
+only. Pairs that other links connect already aren't compared. In a group
+whose texts share rare shingles and are not similar all pairs are compared.
 
 Defined results: a null or empty text has fingerprint zero and is linked like
 any other; texts of fewer words than a shingle are one shingle; texts of any
@@ -40,7 +40,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
@@ -182,108 +182,121 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     return rows.join(named.join(least, "component").select("fingerprint", "component_id"), "fingerprint").select("id", "fingerprint", "component_id")
 
 
-#: Words of 32 bits in the sketch of ``similar_groups``.
-TABLES = 32
-#: Sorted lists, and rows after each row that it is compared with in a list.
-LISTS, REACH = 40, 6
+#: Bits of a shingle's hash that choose its counter, one row in SAMPLE is counted.
+COUNTER_BITS, SAMPLE = 20, 8
 
 
 def sketch(data: bytes, width: int) -> tuple[int, np.ndarray]:
-    """(hash of the words, sketch of TABLES * 32 bits as 64-bit words) of a lower-cased text."""
-    mixers = (np.arange(1, TABLES // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
-    lanes = np.uint64(0x0101010101010101)
-    counts, total = np.zeros((TABLES // 2, 8, 8), dtype=np.int64), 0
+    """(hash of the words, sorted distinct hashes of the shingles) of a lower-cased text."""
     whole = xxhash.xxh64(seed=SEED)
+    parts = [np.zeros(0, dtype=np.uint64)]
     for hashes, words in shingle_hashes(data, width):
         whole.update(words)
-        for k in range(0, len(hashes), 255):  # a lane of eight bits holds sums up to 255
-            x = hashes[k : k + 255] + mixers
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            for bit in range(8):
-                sums = ((x >> np.uint64(bit)) & lanes).sum(axis=1, dtype=np.uint64)
-                counts[:, :, bit] += np.ascontiguousarray(sums).view(np.uint8).reshape(-1, 8)
-        total += len(hashes)
-    bits = (counts.reshape(TABLES // 2, 64) * 2 > total).astype(np.uint8)
-    return whole.intdigest(), np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
+        parts.append(hashes)
+    return whole.intdigest(), np.unique(np.concatenate(parts))
+
 
+def _lowered(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").lower()
 
-def with_sketch(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """(id, node, sketch) of each row; rows with the same words share a node."""
+
+def _frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counter, level): the counters far above the mean in a sample of the rows; at most a quarter of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                done = [sketch((t or "").encode("utf-8", "surrogatepass").lower(), width) for t in part.column(1).to_pylist()]
-                nodes = np.array([n for n, _ in done], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes), pa.array([x for _, x in done], pa.list_(pa.int64()))], names=["id", "node", "sketch"])
+                for t in batch.slice(k, 512).column(0).to_pylist():
+                    np.add.at(counts, (sketch(_lowered(t), width)[1] >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+        full = np.flatnonzero(counts)
+        if len(full):
+            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], names=["counter", "n"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, node long, sketch array<long>")
+    own = F.col(text).cast("string")
+    counted = docs.select(own.alias("text")).filter(F.xxhash64("text") % SAMPLE == 0).mapInArrow(run, "counter long, n long")
+    sums = written(counted.groupBy("counter").agg(F.sum("n").alias("n")), "counters")
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = sums.filter(F.col("n") >= max(8, 4 * total >> COUNTER_BITS)).collect()
+    return np.array([r.counter for r in rows], dtype=np.int64), np.array([r.n.bit_length() for r in rows], dtype=np.uint8)
 
 
-def _similar_links(nodes: DataFrame, most: int) -> DataFrame:
-    """(a, b), a < b: links between nodes whose sketches differ in at most ``most`` bits, enough of them to connect what is linked.
+def with_shingles(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
+    """(id, node, shingles) of each row; rows with the same words share a node.
 
-    A list sorts all nodes by one rotated word of the sketch. It is dealt to
-    tasks by ranges of that order, so a dense group spreads over tasks, and
-    each row is compared with the ``REACH`` rows after it: the number of comparisons is
-    proportional to the nodes. A task leaves out links between nodes that its
-    earlier links connect already.
+    The distinct shingles of all rows are in one order, the frequent ones last.
+    Which counters are frequent decides how many pairs meet, never which are found.
     """
-    words = TABLES // 2
-    turned = [(k % words, 21 * (k // words) % 64) for k in range(LISTS)]
-    rotated = [F.get("sketch", F.lit(w)) if not r else F.shiftleft(F.get("sketch", F.lit(w)), r).bitwiseOR(F.shiftrightunsigned(F.get("sketch", F.lit(w)), 64 - r)) for w, r in turned]
-    names = [f"w{k}" for k in range(words)]
-    rows = nodes.select("node", *[F.get("sketch", F.lit(k)).alias(c) for k, c in enumerate(names)], F.posexplode(F.array(*rotated)).alias("list", "place"))
-    ordered = rows.repartitionByRange("list", "place", "node").sortWithinPartitions("list", "place", "node")
+    counters, found = _frequent(docs, text, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: np.ndarray | None = None
-        parent: dict[int, int] = {}
+        levels = np.zeros(1 << COUNTER_BITS, dtype=np.uint8)
+        levels[counters] = found
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                nodes, sets = [], []
+                for t in part.column(1).to_pylist():
+                    node, own = sketch(_lowered(t), width)
+                    nodes.append(node)
+                    order = np.argsort(levels[(own >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")
+                    sets.append(own[order].view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["id", "node", "shingles"])
 
-        def root(x: int) -> int:
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent[up]
-            return x
+    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, node long, shingles array<long>")
 
-        for batch in batches:
-            own = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "list", *names)])
-            own = own if held is None else np.concatenate([held, own], axis=1)
-            fresh = 0 if held is None else held.shape[1]
-            bits = own[2:].view(np.uint64)
-            links: list[tuple[int, int]] = []
-            for step in range(1, REACH + 1):
-                first = max(0, fresh - step)  # pairs whose later row is new
-                left, right = slice(first, own.shape[1] - step), slice(first + step, own.shape[1])
-                apart = np.bitwise_count(bits[:, left] ^ bits[:, right]).sum(axis=0, dtype=np.int64)
-                hit = np.flatnonzero((apart <= most) & (own[1, left] == own[1, right]))
-                for x, y in zip(own[0, left][hit].tolist(), own[0, right][hit].tolist(), strict=True):
-                    if (p := root(x)) != (q := root(y)):
-                        parent[max(p, q)] = min(p, q)
-                        links.append((min(x, y), max(x, y)))
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
-            held = own[:, -REACH:]
-
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+def _comparable(n: str, m: str, similarity: float) -> Column:
+    """Whether sets of so many shingles can be similar at all."""
+    return F.least(n, m) >= similarity * F.greatest(F.col(n), F.col(m)) - 1e-9
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose shingles have at least this similarity."""
+    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
+    return met.filter(F.col("both") >= similarity * (F.size("of_a") + F.size("of_b") - F.col("both")) - 1e-9).select("a", "b")
+
+
+def _similar_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: links of exact similarity that connect all nodes connected by such pairs.
+
+    A node of n shingles is present at its first n - ceil(similarity * n) + 1;
+    similar nodes meet at one at least, as in their one order more than that
+    many can't be missing from either. At each shingle every node is first
+    compared with the one before it, in an order that differs between
+    shingles; then all pairs there that these links don't connect already.
+    """
+    first = F.expr(f"slice(shingles, 1, cast(size(shingles) - ceil({similarity!r}D * size(shingles) - 1e-9) + 1 as int))")
+    placed = rows.filter("size(shingles) > 0").select("node", F.size("shingles").alias("n"), F.explode(first).alias("s"))
+    there = placed.repartition("s").dropDuplicates(["s", "node"])
+    order = Window.partitionBy("s").orderBy(F.xxhash64("s", "node"), "node")
+    near = there.select("s", "node", "n", F.lag("node").over(order).alias("before"), F.lag("n").over(order).alias("m"), F.lead("node").over(order).alias("after"))
+    met = written(near.filter("before is not null or after is not null").drop("after"), "shared-shingles")
+
+    sets = written(rows.select("node", "shingles").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+    next_ = met.filter(F.col("before").isNotNull() & _comparable("n", "m", similarity)).select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct()
+    known = written(_similar(next_, sets, similarity), "links")
+
+    groups = connected_components(known, "a", "b")
+    named = written(met.select("s", "node", "n").join(groups, "node", "left").select("s", F.coalesce("component", "node").alias("c"), "node", "n"), "shared-by-group")
+    mixed = named.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("s")
+    parts = named.join(mixed, "s", "left_semi").groupBy("s", "c").agg(F.collect_list(F.struct("node", "n")).alias("members"))
+    across = parts.select("s", F.col("c").alias("c1"), F.col("members").alias("x")).join(parts.select("s", F.col("c").alias("c2"), F.col("members").alias("y")), "s").filter("c1 < c2")
+    pairs = across.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y")).select(F.col("x.node").alias("a"), F.col("x.n").alias("n"), F.col("y.node").alias("b"), F.col("y.n").alias("m"))
+    rest = pairs.filter(_comparable("n", "m", similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return known.union(written(_similar(rest, sets, similarity), "links"))
 
 
 def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id) of each row: groups linked by ``similarity`` or more of their shingles.
+    """(id, component_id) of each row: groups linked by ``similarity`` or more of their distinct shingles.
 
     component_id is the least id of the group.
     """
-    shared = 2 * similarity / (1 + similarity)  # cosine of two sets of equal size
-    # most of the pairs of just this similarity lie within a standard error of the mean
-    differing = float(np.arccos(shared)) / np.pi
-    most = round(TABLES * 32 * differing + 0.7 * (TABLES * 32 * differing * (1 - differing)) ** 0.5)
-    rows = written(with_sketch(docs, text, doc_id, width), "sketches")
-    nodes = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.any_value("sketch").alias("sketch")), "nodes")
-    links_ = written(_similar_links(nodes, most), "links")
-    found = connected_components(links_, "a", "b")
-    named = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = written(with_shingles(docs, text, doc_id, width), "shingles")
+    nodes = written(rows.groupBy("node").agg(F.min("id").alias("least")), "nodes")
+    found = connected_components(_similar_links(rows, similarity), "a", "b")
+    named = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return rows.select("id", "node").join(named.join(ids, "component").select("node", "component_id"), "node").select("id", "component_id")
 

@@ -103,3 +103,34 @@ def test_similar_groups_find_edited_copies_and_leave_others(spark):
         first.setdefault(g, k)
     assert set(first.values()) <= set(ids)
     assert len(ids) <= len(first) + 2
+
+
+def test_similar_groups_are_those_of_exact_similarity(spark):
+    random.seed(8)
+    text = lambda n: [f"t{random.randrange(10**6)}" for _ in range(n)]
+    line, footer = text(12), text(10)
+    texts = [text(200) + line * 40 for _ in range(2)]  # a repeated line makes no copies
+    body = text(200)
+    texts += [body + footer * 2, body + footer * 40]  # but counts once
+    base = text(120)
+    for _ in range(80):  # a dense group, most pairs of it on either side of the threshold
+        own = list(base)
+        for k in random.sample(range(120), random.randrange(4)):
+            own[k] = f"e{random.randrange(4)}"
+        texts.append(own)
+    texts += [[], ["One"], ["one"], ["one", "two"]]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} or {tuple(w.lower() for w in t)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root(i) != root(j):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    got = simhash.similar_groups(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.id: r.component_id for r in got} == {k: root(k) for k in range(len(texts))}
+    assert root(1) == 1 and root(3) == 2
