@@ -184,6 +184,8 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
 
 #: Bits of a shingle's hash that choose its counter, one row in SAMPLE is counted.
 COUNTER_BITS, SAMPLE = 20, 8
+#: 64-bit words of a node's parities, and bits of the filter of the nodes whose shingles are read.
+PARITIES, FILTER_BITS = 8, 22
 
 
 def sketch(data: bytes, width: int) -> tuple[int, np.ndarray]:
@@ -200,6 +202,16 @@ def _lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
+def _parities(own: np.ndarray) -> np.ndarray:
+    """For each of PARITIES * 64 classes of shingles whether an odd number of them is here.
+
+    A shingle that only one of two sets has changes one bit, so the bits that
+    differ are no more than the shingles that differ.
+    """
+    odd = np.bincount((own & np.uint64(PARITIES * 64 - 1)).astype(np.int64), minlength=PARITIES * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(counter, level): the counters far above the mean in a sample of the rows; at most a quarter of them."""
 
@@ -222,7 +234,7 @@ def _frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.nd
 
 
 def with_shingles(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """(id, node, shingles) of each row; rows with the same words share a node.
+    """(id, node, parities, shingles) of each row; rows with the same words share a node.
 
     The distinct shingles of all rows are in one order, the frequent ones last.
     Which counters are frequent decides how many pairs meet, never which are found.
@@ -235,15 +247,16 @@ def with_shingles(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFr
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                nodes, sets = [], []
+                nodes, odd, sets = [], [], []
                 for t in part.column(1).to_pylist():
                     node, own = sketch(_lowered(t), width)
                     nodes.append(node)
+                    odd.append(_parities(own))
                     order = np.argsort(levels[(own >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")
                     sets.append(own[order].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["id", "node", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(odd, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["id", "node", "parities", "shingles"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, node long, shingles array<long>")
+    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, node long, parities array<long>, shingles array<long>")
 
 
 def _comparable(n: str, m: str, similarity: float) -> Column:
@@ -251,14 +264,38 @@ def _comparable(n: str, m: str, similarity: float) -> Column:
     return F.least(n, m) >= similarity * F.greatest(F.col(n), F.col(m)) - 1e-9
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose shingles have at least this similarity."""
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
-    met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
-    return met.filter(F.col("both") >= similarity * (F.size("of_a") + F.size("of_b") - F.col("both")) - 1e-9).select("a", "b")
+def _sets_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes of ``pairs`` and of few others, by a filter of fixed size."""
+    place = F.shiftrightunsigned("node", 64 - FILTER_BITS)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - FILTER_BITS}) & 63 as int))").alias("bit"))
+    words = [(r.word, r.bits) for r in ends.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+        for word, bits in words:
+            held[word] = bits
+        for batch in batches:
+            at = (batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            yield batch.filter(pa.array((held.view(np.uint64)[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+
+    return written(rows.select("node", "shingles").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]), "shingle-sets")
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose shingles have at least this similarity.
+
+    Pairs whose parities show too many differing shingles need no comparison.
+    """
+    side = lambda df, x, *own: df.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in own])
+    odd = pairs.join(side(nodes, "a", "n", "parities"), "a").join(side(nodes, "b", "n", "parities"), "b")
+    apart = sum((F.bit_count(F.get("parities_a", F.lit(k)).bitwiseXOR(F.get("parities_b", F.lit(k)))) for k in range(PARITIES)), F.lit(0))
+    close = written(odd.filter(apart <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9).select("a", "b"), "close-pairs")
+    sets = _sets_of(close, rows)
+    met = close.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b").withColumn("both", F.size(F.array_intersect("shingles_a", "shingles_b")))
+    return met.filter(F.col("both") >= similarity * (F.size("shingles_a") + F.size("shingles_b") - F.col("both")) - 1e-9).select("a", "b")
 
 
-def _similar_links(rows: DataFrame, similarity: float) -> DataFrame:
+def _similar_links(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: links of exact similarity that connect all nodes connected by such pairs.
 
     A node of n shingles is present at its first n - ceil(similarity * n) + 1;
@@ -274,9 +311,8 @@ def _similar_links(rows: DataFrame, similarity: float) -> DataFrame:
     near = there.select("s", "node", "n", F.lag("node").over(order).alias("before"), F.lag("n").over(order).alias("m"), F.lead("node").over(order).alias("after"))
     met = written(near.filter("before is not null or after is not null").drop("after"), "shared-shingles")
 
-    sets = written(rows.select("node", "shingles").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
     next_ = met.filter(F.col("before").isNotNull() & _comparable("n", "m", similarity)).select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct()
-    known = written(_similar(next_, sets, similarity), "links")
+    known = written(_similar(next_, rows, nodes, similarity), "links")
 
     groups = connected_components(known, "a", "b")
     named = written(met.select("s", "node", "n").join(groups, "node", "left").select("s", F.coalesce("component", "node").alias("c"), "node", "n"), "shared-by-group")
@@ -285,7 +321,7 @@ def _similar_links(rows: DataFrame, similarity: float) -> DataFrame:
     across = parts.select("s", F.col("c").alias("c1"), F.col("members").alias("x")).join(parts.select("s", F.col("c").alias("c2"), F.col("members").alias("y")), "s").filter("c1 < c2")
     pairs = across.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y")).select(F.col("x.node").alias("a"), F.col("x.n").alias("n"), F.col("y.node").alias("b"), F.col("y.n").alias("m"))
     rest = pairs.filter(_comparable("n", "m", similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return known.union(written(_similar(rest, sets, similarity), "links"))
+    return known.union(written(_similar(rest, rows, nodes, similarity), "links"))
 
 
 def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -294,9 +330,9 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     component_id is the least id of the group.
     """
     rows = written(with_shingles(docs, text, doc_id, width), "shingles")
-    nodes = written(rows.groupBy("node").agg(F.min("id").alias("least")), "nodes")
-    found = connected_components(_similar_links(rows, similarity), "a", "b")
-    named = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.any_value("parities").alias("parities"), F.any_value(F.size("shingles")).alias("n")), "nodes")
+    found = connected_components(_similar_links(rows, nodes, similarity), "a", "b")
+    named = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return rows.select("id", "node").join(named.join(ids, "component").select("node", "component_id"), "node").select("id", "component_id")
 
