@@ -29,7 +29,13 @@ from pyspark.sql import types as T
 
 #: Unknown sentences allowed between the sentences of a rule.
 GAP = 3
-TRIGGER = re.compile(r"licen[cs]|copyright|rights? reserved|permission|redistribut|warrant|spdx|as is\b|public domain|neither the name|unlicense|liab", re.I)
+#: What stands for one space of the normalised words.
+_GAP = r"(?-i:[^A-Za-z0-9]+)"
+#: Every known sentence holds one of these.
+TRIGGER = re.compile(
+    r"licen[cs]|copyright|rights? reserved|permission|redistribut|warrant|spdx|as is\b|public domain|neither the name|liab|no event|the hope|gnu|gpl|bsd|cc0|cc by|creative commons|attribution".replace(" ", _GAP),
+    re.I,
+)
 #: Known sentences: identifier and a pattern over normalised words, the first that fits.
 SENTENCES = tuple(
     (name, re.compile(pattern))

@@ -39,3 +39,15 @@ def test_table(spark):
     got = licenses.with_licenses(df, keep=("doc_id", "start")).collect()
     assert sorted((r.doc_id or 0, len(r.licenses), r.start) for r in got) == [(0, 0, "l"), (1, 1, "l"), (1, 1, "l"), (2, 0, "l")]
     assert licenses.with_licenses(df.limit(0)).count() == 0
+
+
+def test_every_known_sentence_holds_a_trigger():
+    samples = {
+        "Released under the GPLv3.": "GPL-3.0", "Released under GPL-2.": "GPL-2.0", "Distributed under AGPL.": "AGPL", "Uses LGPL.": "LGPL", "Code: 3-clause BSD.": "BSD-3-Clause", "Code: BSD 2-clause.": "BSD-2-Clause",
+        "Data: CC0.": "CC0-1.0", "Creative Commons Zero.": "CC0-1.0", "This text is CC BY-SA 4.0.": "CC-BY-SA", "Text: CC-BY-NC-ND.": "CC-BY-NC-ND", "Text: CC BY.": "CC-BY", "Creative Commons Attribution 4.0": "CC-BY",
+        "Attribution-NonCommercial-ShareAlike 4.0": "CC-BY-NC-SA", "Attribution-NoDerivatives": "CC-BY-ND", "released into the public\ndomain": "Public-Domain", "All\nrights\nreserved.": "All-Rights-Reserved",
+    }
+    for text, name in samples.items():
+        assert names(text) == [name], text
+    for text in ("in no event\nshall", "distributed in the\nhope that it will be useful", "You should have received a copy of the\nGNU", 'The software is provided "AS\nIS"'):
+        assert [x for *_, x in licenses.sentences(text)], text
