@@ -1,7 +1,7 @@
 """Licence scans by sentence rules.
 
 A text is cut into sentences; each is normalised (lower case, words only) and
-mapped to the identifier of a known licence sentence, or to none. The sequence
+mapped to the identifiers of the known licence sentences in it. The sequence
 of identifiers is then matched against licence rules, each an ordered list of
 identifiers, the longest first. Between the sentences of one rule up to
 ``GAP`` unknown sentences may stand, so that wrapped or annotated texts still
@@ -36,7 +36,7 @@ TRIGGER = re.compile(
     r"licen[cs]|copyright|rights? reserved|permission|redistribut|warrant|spdx|as is\b|public domain|neither the name|liab|no event|the hope|gnu|gpl|bsd|cc0|cc by|creative commons|attribution".replace(" ", _GAP),
     re.I,
 )
-#: Known sentences: identifier and a pattern over normalised words, the first that fits.
+#: Known sentences: identifier and a pattern over normalised words, of overlapping ones the first.
 SENTENCES = tuple(
     (name, re.compile(pattern))
     for name, pattern in (
@@ -134,7 +134,7 @@ RULES = tuple(
 )
 #: The end of a sentence: a mark before white space, or an empty line, or a line's end after a mark.
 _END = re.compile(r"[.!?](?=\s|$)|\n\s*\n|\n(?=\s*(?:[*#/\-]|\d+\.|\([a-z0-9]\))\s)|$")
-_SPDX = re.compile(r"identifier\W*([\w.+()-]+(?: (?:and|or|with) [\w.+()-]+)*)", re.I)
+_SPDX = re.compile(r"spdx[\W_]+licen[cs]e[\W_]+identifier[\W_]*([\w.+()-]+(?: (?:and|or|with) [\w.+()-]+)*)", re.I)
 _NO_WORD = re.compile(r"[^a-z0-9]+")
 
 
@@ -142,43 +142,58 @@ def normalised(sentence: str) -> str:
     return _NO_WORD.sub(" ", sentence.lower()).strip()
 
 
-def sentence_id(sentence: str) -> str | None:
-    """The identifier of a known sentence; an SPDX line names its licence."""
+def sentence_ids(sentence: str) -> list[str]:
+    """The identifiers in a sentence that don't overlap, each once, in order of position; an SPDX line names its licence."""
     words = normalised(sentence)
+    taken: list[tuple[int, int, str]] = []
     for name, pattern in SENTENCES:
-        if pattern.search(words):
-            return f"spdx:{_SPDX.search(sentence)[1]}" if name == "spdx" else name
-    return None
+        named = _SPDX.finditer(sentence) if name == "spdx" else None
+        for m in pattern.finditer(words):
+            start, stop, known = m.start(), m.end(), name
+            if named:
+                if not (given := next(named, None)):
+                    break
+                known = f"spdx:{given[1]}"
+                stop += len(normalised(given[1]))
+            if all(stop <= a or b <= start for a, b, _ in taken):
+                taken.append((start, stop, known))
+    return list(dict.fromkeys(known for _, _, known in sorted(taken)))
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, int, str]]:
     """(number, start, end, identifier) of the known sentences.
 
-    A line that is a known sentence by itself stands for one; else the
-    sentence around the trigger is taken over its lines. Numbers grow by the
-    sentences between, as far as needed to tell whether more than ``GAP``
-    stand there.
+    Where the lines of a sentence hold all of its identifiers, each such line
+    stands for a sentence by itself. Numbers grow by the sentences between.
     """
     number = at = 0
     for trigger in TRIGGER.finditer(text):
         if trigger.start() < at:
             continue
-        begin = window = max(at, trigger.start() - 2000)
-        skipped = GAP + 2 if window > at else 0
-        for end in _END.finditer(text, window, trigger.start()):
+        begin, finish, skipped = at, len(text), 0
+        for end in _END.finditer(text, at):
+            if end.start() >= trigger.start():
+                finish = end.end()
+                break
             if end.start() < end.end():
-                skipped += not text[begin : end.start()].isspace() and begin < end.start()  # a blank line ends no second sentence
+                skipped += begin < end.start() and not text[begin : end.start()].isspace()  # a blank line ends no second sentence
                 begin = end.end()
-        stop = _END.search(text, trigger.end())
-        finish = stop.end() if stop else len(text)
-        first, last = max(begin, text.rfind("\n", 0, trigger.start()) + 1), text.find("\n", trigger.end(), finish)
-        line = (first, finish if last < 0 else last)
         number += skipped + 1
-        for a, b in (line, (begin, finish)):
-            if known := sentence_id(text[a:b]):
-                yield number, a, b, known
-                break
-        at = line[1] if known and (a, b) == line else finish
+        whole = sentence_ids(text[begin:finish])
+        lines, a = [], begin
+        while whole and a < finish:
+            b = text.find("\n", a, finish)
+            b = finish if b < 0 else b
+            if TRIGGER.search(text, a, b) and (known := sentence_ids(text[a:b])):
+                lines.append((a, b, known))
+            a = b + 1
+        if not set(whole) <= {x for _, _, known in lines for x in known}:
+            lines = [(begin, finish, whole)]
+        for k, (a, b, known) in enumerate(lines):
+            number += k > 0
+            for x in known:
+                yield number, a, b, x
+        at = finish
 
 
 def scan(text: str | None) -> list[tuple[str, int, int]]:

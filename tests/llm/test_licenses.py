@@ -51,3 +51,17 @@ def test_every_known_sentence_holds_a_trigger():
         assert names(text) == [name], text
     for text in ("in no event\nshall", "distributed in the\nhope that it will be useful", "You should have received a copy of the\nGNU", 'The software is provided "AS\nIS"'):
         assert [x for *_, x in licenses.sentences(text)], text
+
+
+def test_several_licences_in_one_sentence():
+    assert names("Licensed under either the MIT License or the Apache License, Version 2.0.") == ["Apache-2.0", "MIT"]
+    assert names("Licensed under either the MIT License or the Apache\nLicense, Version 2.0.") == ["Apache-2.0", "MIT"]
+    assert names("SPDX-License-Identifier: GPL-2.0 OR BSD-3-Clause") == ["GPL-2.0 OR BSD-3-Clause"]
+    assert names("Under the GNU General Public License,\nversion 3.") == ["GPL-3.0"]
+
+
+def test_long_sentences_between():
+    grant, rest = MIT.split("\n\n")[1], "\n\n".join(MIT.split("\n\n")[2:])
+    for n in (1, 3):
+        assert names(grant + "\n\n" + ("word " * 800 + "end. ") * n + "\n\n" + rest) == ["MIT"]
+    assert names(grant + "\n\n" + ("word " * 800 + "end. ") * 4 + "\n\n" + rest) == []
