@@ -18,17 +18,18 @@ written table in the shared folder.
 
 Texts that share four fifths of their five-word shingles differ in about 10 of
 64 bits, far beyond what anchors can cover. ``similar_groups`` serves that case
-without fingerprints: by prefix filtering on the distinct shingles, in one order
-of all shingles with the frequent ones last, every pair that can be similar
-meets at a shingle, and a link is made by the exact similarity of the two sets
-only. Pairs that other links connect already aren't compared. In a group
-whose texts share rare shingles and are not similar all pairs are compared.
+without fingerprints. A text's shingles are put in ``BANDS`` * ``ROWS`` random
+orders, and the least ones of a band of orders make one key. A pair that is
+similar shares a key but for one pair in twenty million, in a table of any
+size and in a group of any density, as each pair's chance is its own. All
+pairs that share a key and that other links don't connect are compared by the
+exact similarity of their sets, which alone decides.
 
 Defined results: a null or empty text has fingerprint zero and is linked like
 any other; texts of fewer words than a shingle are one shingle; texts of any
 length are read whole, block by block; repeated rows fall into one component;
 a null id never is a component's name unless all of its ids are null; an empty
-table gives an empty table.
+table gives an empty table; the input may have any further columns.
 """
 
 from __future__ import annotations
@@ -40,11 +41,11 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from .common import written
+from .common import free_name, written
 
 SEED = 42
 #: Differing bits of linked fingerprints.
@@ -182,10 +183,13 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     return rows.join(named.join(least, "component").select("fingerprint", "component_id"), "fingerprint").select("id", "fingerprint", "component_id")
 
 
-#: Bits of a shingle's hash that choose its counter, one row in SAMPLE is counted.
-COUNTER_BITS, SAMPLE = 20, 8
-#: 64-bit words of a node's parities, and bits of the filter of the nodes whose shingles are read.
+#: Bands of a text's minima and minima in a band: a pair at 0.8 shares no band once in twenty million.
+BANDS, ROWS = 32, 4
+#: Rounds in which each text is compared with one text that it shares most bands with, before all pairs that are left.
+ROUNDS = 2
+#: 64-bit words of a node's parities, and bits of the filter of the texts whose shingles are read.
 PARITIES, FILTER_BITS = 8, 22
+_FACTORS = np.array([xxhash.xxh64_intdigest(str(k), SEED) | 1 for k in range(BANDS * ROWS)], dtype=np.uint64)
 
 
 def sketch(data: bytes, width: int) -> tuple[int, np.ndarray]:
@@ -202,6 +206,18 @@ def _lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
+def bands(own: np.ndarray) -> np.ndarray:
+    """A hash for each band of the least values of the shingles under BANDS * ROWS orders.
+
+    Two sets have one order's least value in common with the probability of
+    their similarity, whatever the sets and however many there are.
+    """
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(own), 1024):
+        np.minimum(low, (own[k : k + 1024, None] * _FACTORS).min(axis=0), out=low)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, ROWS))], dtype=np.uint64)
+
+
 def _parities(own: np.ndarray) -> np.ndarray:
     """For each of PARITIES * 64 classes of shingles whether an odd number of them is here.
 
@@ -212,76 +228,65 @@ def _parities(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(counter, level): the counters far above the mean in a sample of the rows; at most a quarter of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                for t in batch.slice(k, 512).column(0).to_pylist():
-                    np.add.at(counts, (sketch(_lowered(t), width)[1] >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
-        full = np.flatnonzero(counts)
-        if len(full):
-            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], names=["counter", "n"])
-
-    own = F.col(text).cast("string")
-    counted = docs.select(own.alias("text")).filter(F.xxhash64("text") % SAMPLE == 0).mapInArrow(run, "counter long, n long")
-    sums = written(counted.groupBy("counter").agg(F.sum("n").alias("n")), "counters")
-    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = sums.filter(F.col("n") >= max(8, 4 * total >> COUNTER_BITS)).collect()
-    return np.array([r.counter for r in rows], dtype=np.int64), np.array([r.n.bit_length() for r in rows], dtype=np.uint8)
-
+def _text_key(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
 
-def with_shingles(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """(id, node, parities, shingles) of each row; rows with the same words share a node.
 
-    The distinct shingles of all rows are in one order, the frequent ones last.
-    Which counters are frequent decides how many pairs meet, never which are found.
-    """
-    counters, found = _frequent(docs, text, width)
+def with_bands(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
+    """(id, key, node, n, parities, bands) of each row: key is a hash of the text, node of its words, n the distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = np.zeros(1 << COUNTER_BITS, dtype=np.uint8)
-        levels[counters] = found
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                nodes, odd, sets = [], [], []
-                for t in part.column(1).to_pylist():
+                nodes, sizes, odd, marks = [], [], [], []
+                for t in part.column(2).to_pylist():
                     node, own = sketch(_lowered(t), width)
                     nodes.append(node)
+                    sizes.append(len(own))
                     odd.append(_parities(own))
-                    order = np.argsort(levels[(own >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")
-                    sets.append(own[order].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(odd, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["id", "node", "parities", "shingles"])
+                    marks.append(bands(own).view(np.int64) if len(own) else [])
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(odd, longs), pa.array(marks, longs)], names=["id", "key", "node", "n", "parities", "bands"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, node long, parities array<long>, shingles array<long>")
+    rows = docs.select(F.col(doc_id).cast("long"), _text_key(text), F.col(text).cast("string"))
+    return rows.mapInArrow(run, "id long, key long, node long, n int, parities array<long>, bands array<long>")
 
 
-def _comparable(n: str, m: str, similarity: float) -> Column:
+def _comparable(n: Column, m: Column, similarity: float) -> Column:
     """Whether sets of so many shingles can be similar at all."""
-    return F.least(n, m) >= similarity * F.greatest(F.col(n), F.col(m)) - 1e-9
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
 
-def _sets_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, shingles) of the nodes of ``pairs`` and of few others, by a filter of fixed size."""
-    place = F.shiftrightunsigned("node", 64 - FILTER_BITS)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - FILTER_BITS}) & 63 as int))").alias("bit"))
-    words = [(r.word, r.bits) for r in ends.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()]
+def _sets_of(wanted: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
+    """(node, shingles) of ``wanted`` (node, key): the texts are read again, and those outside a filter of fixed size left out."""
+    place = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+    marked = wanted.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - FILTER_BITS}) & 63 as int))").alias("bit"))
+    words = [(r.word, r.bits) for r in marked.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
         for word, bits in words:
             held[word] = bits
+        done: set[int] = set()  # a copy is read once in a task
         for batch in batches:
-            at = (batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            yield batch.filter(pa.array((held.view(np.uint64)[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
-
-    return written(rows.select("node", "shingles").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]), "shingle-sets")
-
-
-def _similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+            keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = (keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            near = np.flatnonzero(held.view(np.uint64)[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            for k in range(0, len(near), 256):
+                found, sets = [], []
+                for row in near[k : k + 256].tolist():
+                    if (key := int(keys[row])) not in done:
+                        done.add(key)
+                        found.append(key)
+                        sets.append(sketch(_lowered(batch.column(1)[row].as_py()), width)[1].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    read = docs.select(_text_key(text).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, shingles array<long>")
+    return written(wanted.join(read.dropDuplicates(["key"]), "key").select("node", "shingles"), "shingle-sets")
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The (a, b) of ``pairs`` whose shingles have at least this similarity.
 
     Pairs whose parities show too many differing shingles need no comparison.
@@ -289,39 +294,55 @@ def _similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: fl
     side = lambda df, x, *own: df.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in own])
     odd = pairs.join(side(nodes, "a", "n", "parities"), "a").join(side(nodes, "b", "n", "parities"), "b")
     apart = sum((F.bit_count(F.get("parities_a", F.lit(k)).bitwiseXOR(F.get("parities_b", F.lit(k)))) for k in range(PARITIES)), F.lit(0))
-    close = written(odd.filter(apart <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9).select("a", "b"), "close-pairs")
-    sets = _sets_of(close, rows)
+    close = odd.filter(apart <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9).select("a", "b")
     met = close.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b").withColumn("both", F.size(F.array_intersect("shingles_a", "shingles_b")))
-    return met.filter(F.col("both") >= similarity * (F.size("shingles_a") + F.size("shingles_b") - F.col("both")) - 1e-9).select("a", "b")
+    return written(met.filter(F.col("both") >= similarity * (F.size("shingles_a") + F.size("shingles_b") - F.col("both")) - 1e-9).select("a", "b"), "links")
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _similar_links(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: links of exact similarity that connect all nodes connected by such pairs.
+def _similar_links(nodes: DataFrame, docs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
+    """(a, b), a < b: links of exact similarity that connect all nodes connected by such pairs that share a band.
 
-    A node of n shingles is present at its first n - ceil(similarity * n) + 1;
-    similar nodes meet at one at least, as in their one order more than that
-    many can't be missing from either. At each shingle every node is first
-    compared with the one before it, in an order that differs between
-    shingles; then all pairs there that these links don't connect already.
+    First each node is compared with one other, of the nodes that stand for
+    its bands the one it shares most bands with. Components then stand for
+    what is linked: within them nothing needs comparing. All pairs of nodes
+    of different components that share a band are compared at last; in a
+    band, the largest component meets the others only.
     """
-    first = F.expr(f"slice(shingles, 1, cast(size(shingles) - ceil({similarity!r}D * size(shingles) - 1e-9) + 1 as int))")
-    placed = rows.filter("size(shingles) > 0").select("node", F.size("shingles").alias("n"), F.explode(first).alias("s"))
-    there = placed.repartition("s").dropDuplicates(["s", "node"])
-    order = Window.partitionBy("s").orderBy(F.xxhash64("s", "node"), "node")
-    near = there.select("s", "node", "n", F.lag("node").over(order).alias("before"), F.lag("n").over(order).alias("m"), F.lead("node").over(order).alias("after"))
-    met = written(near.filter("before is not null or after is not null").drop("after"), "shared-shingles")
-
-    next_ = met.filter(F.col("before").isNotNull() & _comparable("n", "m", similarity)).select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct()
-    known = written(_similar(next_, rows, nodes, similarity), "links")
-
-    groups = connected_components(known, "a", "b")
-    named = written(met.select("s", "node", "n").join(groups, "node", "left").select("s", F.coalesce("component", "node").alias("c"), "node", "n"), "shared-by-group")
-    mixed = named.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("s")
-    parts = named.join(mixed, "s", "left_semi").groupBy("s", "c").agg(F.collect_list(F.struct("node", "n")).alias("members"))
-    across = parts.select("s", F.col("c").alias("c1"), F.col("members").alias("x")).join(parts.select("s", F.col("c").alias("c2"), F.col("members").alias("y")), "s").filter("c1 < c2")
-    pairs = across.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y")).select(F.col("x.node").alias("a"), F.col("x.n").alias("n"), F.col("y.node").alias("b"), F.col("y.n").alias("m"))
-    rest = pairs.filter(_comparable("n", "m", similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return known.union(written(_similar(rest, rows, nodes, similarity), "links"))
+    placed = nodes.filter("n > 0").select("node", "n", F.explode("bands").alias("s"))
+    full = placed.groupBy("s").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("s")
+    shared = written(placed.join(full, "s"), "shared-bands")
+    sets = _sets_of(shared.select("node").distinct().join(nodes.select("node", "first.key"), "node"), docs, text, width)
+    known = None
+    named = shared.withColumn("c", F.col("node"))
+    for turn in range(ROUNDS):
+        head = named.groupBy("s").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "c")).alias("head"))
+        offered = named.join(head, "s").filter((F.col("c") != F.col("head.c")) & _comparable(F.col("n"), F.col("head.n"), similarity))
+        often = offered.groupBy("node", F.col("head.node").alias("other")).agg(F.count(F.lit(1)).alias("times"))
+        best = often.groupBy("node").agg(F.max(F.struct("times", "other")).alias("best")).select(*_ordered("node", "best.other")).distinct()
+        fresh = _similar(best, nodes, sets, similarity)
+        known = fresh if known is None else known.union(fresh)
+        groups = connected_components(known, "a", "b")
+        named = written(shared.join(groups, "node", "left").select("s", "node", "n", F.coalesce("component", "node").alias("c")), "shared-by-group")
+    parts = named.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m"))
+    main = parts.groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("s", "main")
+    mixed = written(named.join(main, "s"), "mixed-bands")
+    x, y = mixed.filter("c <> main").select("s", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx")), mixed.select("s", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), "main")
+    apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & _comparable(F.col("nx"), F.col("ny"), similarity)
+    rest = x.join(y, "s").filter(apart).select(*_ordered("x", "y")).distinct()
+    return known.union(_similar(rest, nodes, sets, similarity))
+
+
+def _similar_nodes(docs: DataFrame, text: str, doc_id: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(rows with bands, (node, first, component)); first: (absent, id, key) of a node's row of least id."""
+    rows = written(with_bands(docs, text, doc_id, width), "text-bands")
+    first = F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "key")).alias("first")
+    nodes = written(rows.groupBy("node").agg(first, *[F.any_value(c).alias(c) for c in ("n", "parities", "bands")]), "nodes")
+    found = connected_components(_similar_links(nodes, docs, text, width, similarity), "a", "b")
+    return rows, nodes.select("node", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -329,20 +350,22 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     component_id is the least id of the group.
     """
-    rows = written(with_shingles(docs, text, doc_id, width), "shingles")
-    nodes = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.any_value("parities").alias("parities"), F.any_value(F.size("shingles")).alias("n")), "nodes")
-    found = connected_components(_similar_links(rows, nodes, similarity), "a", "b")
-    named = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    rows, named = _similar_nodes(docs, text, doc_id, width, similarity)
+    ids = named.groupBy("component").agg(F.min("first").alias("f")).select("component", F.col("f.id").alias("component_id"))
     return rows.select("id", "node").join(named.join(ids, "component").select("node", "component_id"), "node").select("id", "component_id")
 
 
 def distinct_kept(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of similar texts the row of least id.
+    """The rows of ``docs`` that stay: of each group of similar texts one row, that of least id, then of least hash of its text.
 
-    Rows with a null id stay only where their whole group has none.
+    Rows with a null id stay only where their whole group has none. Of rows
+    repeated with id and text one stays.
     """
-    name = "__component_id"
-    groups = similar_groups(docs, text, doc_id, width, similarity)
-    stay = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias(name)).distinct()
-    return docs.join(stay, F.col(doc_id).cast("long").eqNullSafe(F.col(name)), "left_semi")
+    rows, named = _similar_nodes(docs, text, doc_id, width, similarity)
+    absent, number, key = names = free_name(docs, "absent", "id", "key")
+    f = named.groupBy("component").agg(F.min("first").alias("f"))
+    stay = f.select(F.col("f.absent").alias(absent), F.coalesce("f.id", F.lit(0)).alias(number), F.col("f.key").alias(key))
+    marked = docs.withColumns({absent: F.col(doc_id).cast("long").isNull(), number: F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), key: _text_key(text)})
+    if not rows.groupBy("id", "key").count().filter("count > 1").isEmpty():
+        marked = marked.dropDuplicates(names)
+    return marked.join(stay, names, "left_semi").select(docs.columns)

@@ -134,3 +134,43 @@ def test_similar_groups_are_those_of_exact_similarity(spark):
     got = simhash.similar_groups(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
     assert {r.id: r.component_id for r in got} == {k: root(k) for k in range(len(texts))}
     assert root(1) == 1 and root(3) == 2
+
+
+def test_bands_of_similar_sets_meet_at_any_size():
+    rng = np.random.default_rng(2)
+    missed = pairs = 0
+    for n, times in ((10, 600), (45, 400), (180, 300), (1800, 60)):
+        for _ in range(times):
+            # two sets of n that share 8/9 of their shingles: similarity 0.8
+            own = rng.integers(0, 1 << 63, n + n // 9 or 1, dtype=np.uint64) * np.uint64(2)
+            a, b = own[:n], own[n // 9 :]
+            pairs += 1
+            missed += not (simhash.bands(a) == simhash.bands(b)).any()
+    assert pairs > 1300 and missed == 0
+    apart = rng.integers(0, 1 << 63, (2, 500), dtype=np.uint64)
+    assert not (simhash.bands(apart[0]) == simhash.bands(apart[1])).any()
+
+
+def test_similar_groups_in_tables_of_several_sizes(spark):
+    """Recall against brute force by construction: edited copies at 0.8 or a little more, among ever more other texts."""
+    random.seed(6)
+    for others in (50, 1500):
+        text = lambda n: [f"t{random.randrange(10**7)}" for _ in range(n)]
+        rows = [(10_000 + k, " ".join(text(30))) for k in range(others)]
+        for g in range(200):
+            own = text(94)  # 90 shingles; two edits far apart change 10 of them: 80 of 100
+            edited = list(own)
+            edited[20], edited[70] = "x", "y"
+            rows += [(2 * g, " ".join(own)), (2 * g + 1, " ".join(edited))]
+        got = {r.id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert sum(got[2 * g + 1] == 2 * g for g in range(200)) == 200
+        assert all(got[i] == i for i, _ in rows if i >= 10_000)
+
+
+def test_rows_that_repeat_and_names_that_clash(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a, 0), (1, a, 0), (2, b, 1), (2, a, 2), (None, a, 3), (None, "other words only", 4), (3, None, 5), (4, "", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int").selectExpr("*", "key as id", "key as absent", "key as node", "key as component_id")
+    kept = simhash.distinct_kept(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", a), ("2", b), ("None", "other words only"), ("3", None)], key=lambda x: (x[0], x[1]))
