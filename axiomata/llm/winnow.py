@@ -17,7 +17,8 @@ documents share is combined in each task before its shuffle, and a document
 keeps only its distinct diagonals.
 
 Defined results: a null or empty text has no words, no hits and is clean; an
-item without words is ignored; repeated items count once for each item id;
+item without words is ignored; repeated items count once for each item id; an
+item with a null id is searched like any other and only has no name to list;
 repeated rows of documents get the same result each; rows with a null id are
 handled by their text. Empty tables give an empty result, or one without hits.
 """
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, free_name
 
 WINDOW, GRAM = 13, 5
 #: A string has fewer words than this, so a position and 34 bits of a gram's hash fit in one number.
@@ -74,31 +75,36 @@ def _marks(words: DataFrame, lengths: list[int], whole_items: bool) -> DataFrame
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """(id, key, n_words, n_hit, item_ids) for each row of ``docs``; key is the hash of its text.
+    """(id, key, n_words, n_hit, n_whole, item_ids) for each row of ``docs``; key is the hash of its text.
 
-    n_hit: words inside occurrences of windows; item_ids: sorted distinct ids
-    of the items with occurring windows, as strings.
+    n_hit: words inside occurrences of windows; n_whole: occurrences of windows
+    of ``WINDOW`` words; item_ids: sorted distinct ids of the items with
+    occurring windows, as strings, without nulls.
     """
-    bench = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(item_text)).alias("item_words")).filter("size(item_words) > 0 and item is not null").distinct()
+    bench = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(item_text)).alias("item_words")).filter("size(item_words) > 0").distinct()
+    bench = bench.withColumn("code", F.xxhash64("item", "item_words"))  # an id may be null or stand for several texts
     lengths = sorted(r[0] for r in bench.select(F.size("item_words").alias("n")).filter(F.col("n") < WINDOW).distinct().collect())
 
     hashes = F.transform("words", lambda w: F.xxhash64(w)).alias("h")
-    marks = _marks(bench.select("item", F.transform("item_words", lambda w: F.xxhash64(w)).alias("h")), lengths, whole_items=True).withColumnRenamed("at", "item_at")
+    marks = _marks(bench.select("code", F.transform("item_words", lambda w: F.xxhash64(w)).alias("h")), lengths, whole_items=True).withColumnRenamed("at", "item_at")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     seen = _marks(rows.select("id", "key", words_of(F.col("text")).alias("words")).select("id", "key", hashes), lengths, whole_items=False)
-    hits = seen.join(marks, "gram").select("id", "key", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    found = hits.join(bench, "item").groupBy("id", "key").agg(F.collect_list(F.struct("item", "diagonal", "item_words")).alias("found"))
+    hits = seen.join(marks, "gram").select("id", "key", "code", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    # an item's words come once to a document, however often it occurs there
+    along = hits.groupBy("id", "key", "code").agg(F.collect_list("diagonal").alias("diagonals"))
+    found = along.join(bench, "code").groupBy("id", "key").agg(F.collect_list(F.struct("item", "item_words", "diagonals")).alias("found"))
 
     joined = rows.join(found.withColumnsRenamed({"id": "hit_id", "key": "hit_key"}), F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
     counted = joined.select("id", "key", "found", words_of(F.col("text")).alias("words"))
-    spans = F.flatten(F.transform("found", lambda f: F.transform(_windows(F.col("words"), f), lambda s: F.struct(f["item"].alias("item"), s["start"].alias("start"), s["stop"].alias("stop")))))
+    spans = F.flatten(F.transform("found", lambda f: F.flatten(F.transform(f["diagonals"], lambda d: F.transform(_windows(F.col("words"), f["item_words"], d), lambda s: F.struct(f["item"].alias("item"), s["start"].alias("start"), s["stop"].alias("stop")))))))
     spanned = counted.select("id", "key", F.size("words").cast("long").alias("n_words"), F.when(F.col("found").isNull(), F.array().cast("array<struct<item: string, start: int, stop: int>>")).otherwise(spans).alias("spans"))
-    return spanned.select("id", "key", "n_words", _covered(F.col("spans")).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item"]))).alias("item_ids"))
+    whole = F.size(F.filter("spans", lambda s: s["stop"] - s["start"] == WINDOW)).cast("long")
+    names = F.filter(F.transform("spans", lambda s: s["item"]), lambda x: x.isNotNull())
+    return spanned.select("id", "key", "n_words", _covered(F.col("spans")).cast("long").alias("n_hit"), whole.alias("n_whole"), F.array_sort(F.array_distinct(names)).alias("item_ids"))
 
 
-def _windows(words: Column, found: Column) -> Column:
-    """Document spans (start, stop) along a hit's diagonal where a whole window of the item occurs."""
-    item, diagonal = found["item_words"], found["diagonal"]
+def _windows(words: Column, item: Column, diagonal: Column) -> Column:
+    """Document spans (start, stop) along a diagonal where a whole window of the item occurs."""
     width = F.least(F.lit(WINDOW), F.size(item))
     same = F.transform(item, lambda w, i: F.when((i + diagonal >= 0) & (F.get(words, i + diagonal) == w), F.lit("1")).otherwise(F.lit("0")))
     # inside an array of one, the string of equal and other words is built once
@@ -124,7 +130,11 @@ def contaminated(share: int = 20) -> Column:
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", share: int = 20, **names: str) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their columns."""
-    bad_id, bad_key = "__bad_id", "__bad_key"
-    bad = contamination(docs, items, text, doc_id, **names).filter(contaminated(share)).select(F.col("id").alias(bad_id), F.col("key").alias(bad_key)).distinct()
+    """The rows of ``docs`` that hold no benchmark passage, with their columns.
+
+    One whole window is enough to drop a document of any length; items of
+    fewer words, which may stand in a text by chance, count by their share.
+    """
+    bad_id, bad_key = free_name(docs, "bad_id", "bad_key")
+    bad = contamination(docs, items, text, doc_id, **names).filter((F.col("n_whole") > 0) | contaminated(share)).select(F.col("id").alias(bad_id), F.col("key").alias(bad_key)).distinct()
     return docs.join(bad, F.col(doc_id).cast("long").eqNullSafe(F.col(bad_id)) & (F.xxhash64(F.col(text).cast("string")) == F.col(bad_key)), "left_anti")

@@ -15,13 +15,13 @@ def brute(docs, items):
         for item, t in items:
             w = words(t)
             n = min(13, len(w))
-            if not n or item is None:
+            if not n:
                 continue
             grams = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
             for k in range(len(own) - n + 1):
                 if tuple(own[k : k + n]) in grams:
                     hit |= set(range(k, k + n))
-                    found.add(str(item))
+                    found |= {str(item)} - {"None"}
         out.append((i, len(own), len(hit), sorted(found)))
     return sorted(out, key=str)
 
@@ -36,8 +36,8 @@ def test_random_texts(spark):
     random.seed(11)
     vocabulary = ["a", "b", "c", "d"]  # few words, so that grams repeat and tie
     some = lambda n: " ".join(random.choice(vocabulary) for _ in range(n))
-    items = [(k, some(random.randrange(10, 40))) for k in range(12)] + [(100, "Zebra stripes, ZEBRA!"), (101, "éa b"), (102, ""), (103, None), (104, some(13)), (104, "x1 x2")]
-    docs = [(k, some(random.randrange(0, 80))) for k in range(40)] + [(50, "zebra stripes zebra stripes zebra " + some(20)), (51, "Éa b éa-b"), (52, None), (53, ""), (53, ""), (None, items[3][1]), (54, items[0][1] + " . " + items[1][1] + " end"), (55, "x1,x2 x1 x2")]
+    items = [(k, some(random.randrange(10, 40))) for k in range(12)] + [(100, "Zebra stripes, ZEBRA!"), (101, "éa b"), (102, ""), (103, None), (104, some(13)), (104, "x1 x2"), (None, some(20)), (None, "y1 y2 y3")]
+    docs = [(k, some(random.randrange(0, 80))) for k in range(40)] + [(50, "zebra stripes zebra stripes zebra " + some(20)), (51, "Éa b éa-b"), (52, None), (53, ""), (53, ""), (None, items[3][1]), (54, items[0][1] + " . " + items[1][1] + " end"), (55, "x1,x2 x1 x2"), (56, "y1 y2 y3"), (57, items[-2][1])]
     assert got(spark, docs, items) == brute(docs, items)
 
 
@@ -55,3 +55,14 @@ def test_empty_tables_and_clean(spark):
     item = spark.createDataFrame([(5, "some text")], "item_id long, text string")
     left = winnow.clean(d, item)
     assert left.columns == d.columns and [tuple(r) for r in left.collect()] == [(None, None, "y")]
+
+
+def test_one_passage_drops_a_document_of_any_length(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    filler = " ".join(f"f{k}" for k in range(2000))
+    docs = spark.createDataFrame([(1, f"{filler} {passage} {filler}", "b"), (2, f"{filler} tiny item {filler}", "b"), (3, "tiny item", "b")], "doc_id long, text string, bad_id string")
+    items = spark.createDataFrame([(1, passage), (None, "tiny item")], "item_id long, text string")
+    left = winnow.clean(docs, items)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [2]
+    many = spark.createDataFrame([(1, " , ".join([passage] * 300))], "doc_id long, text string")
+    assert tuple(winnow.contamination(many, items).select("n_words", "n_hit").first()) == (6000, 6000)
