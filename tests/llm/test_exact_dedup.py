@@ -57,7 +57,26 @@ def test_directory_splits_overfull_buckets(spark):
     assert sizes.agg(F.max("count")).first()[0] <= 100
     assert sizes.agg(F.max("depth")).first()[0] >= 6
     wide = exact_dedup.directory(entries, capacity=10_000).select("depth").distinct().collect()
-    assert max(r.depth for r in wide) <= exact_dedup.MAX_DEPTH
+    assert [r.depth for r in wide] == [0]
+
+
+def test_the_directory_doubles_and_marks_repeated_keys(spark):
+    rows = [(k, f"text {k}", "") for k in range(900)] + [(1000 + k, f"text{k}", "") for k in range(0, 900, 30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = exact_dedup.marked_directory(df, "text", capacity=16)
+    assert found.agg(F.max("depth")).first()[0] >= 5
+    sent = exact_dedup.routed(exact_dedup.signed(df, "text", "doc_id"), found, "key", "bucket", "shared").filter("shared")
+    assert {r.id % 1000 for r in sent.collect()} >= set(range(0, 900, 30)) and sent.count() < 80
+    index = exact_dedup.build_index(df, found)
+    assert index.filter("group_size = 2").count() == 30 and index.agg(F.max("chain")).first()[0] == 1
+    assert sorted([tuple(r) for r in exact_dedup.group_copies(df, capacity=16).collect()], key=str) == brute(rows)
+
+
+def test_names_that_clash_pass_through(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA).selectExpr("*", "key as digest", "key as points", "key as `number`", "key as cell", "key as bucket", "key as marks", "key as shared", "key as id")
+    kept = exact_dedup.distinct_kept(df)
+    assert kept.columns == df.columns
+    assert all(r.digest == r.key == r.cell == r.bucket for r in kept.collect()) and kept.count() == 6
 
 
 def test_colliding_keys_stay_apart(spark, monkeypatch):
