@@ -1,18 +1,22 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's parser streams events. They become lines: the text of
-a block element, with its number of tags and the path of the elements that hold
-it. Each line's ratio of text to tags is smoothed with a Gaussian over its
-neighbours, and one-dimensional two-means clustering of the smoothed ratios
-finds the threshold above which lines are content. The content lines choose
-the region: the deepest container that holds nearly all of their text, or the
-article element around it. The region's lines are the article, in page order, short ones too; what stands in
-menus, headers and footers of the page, sidebars, notices, adverts, forms,
-scripts, styles, comments of readers or markup comments is left out wherever
-it stands, by its element, role or class.
+a block element, with its number of tags and the element that holds it. Each
+line's ratio of text to tags is smoothed with a Gaussian over its neighbours,
+and one-dimensional two-means clustering of the smoothed ratios finds the
+threshold above which lines are content. The content lines choose the region:
+the article element that holds nearly all of their text, or without one the
+deepest container that does. Every line of the region belongs to the article,
+short ones too. Without an article element, lines outside the region belong to
+it as well if they are content by the threshold or stand in a heading or a
+paragraph, and are not mostly links. What stands in menus, headers and footers
+of the page, sidebars, notices, adverts, forms, scripts, styles, comments of
+readers or markup comments is left out wherever it stands, by its element,
+role or class.
 
 White space inside a block is one space; ``<br>`` is white space. Character
-references are decoded. Unclosed and unmatched tags are tolerated.
+references are decoded. Unclosed and unmatched tags are tolerated; time and
+memory grow with the length of a page, however deep its elements are.
 
 Defined results: null or empty html has an empty text, as has a page without
 text; a page without any block is one block; repeated rows get the same text
@@ -23,7 +27,9 @@ an empty table gives an empty table. Pages are read whole.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -32,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 #: Elements that start a line.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements without a closing tag.
@@ -49,6 +57,8 @@ ARTICLE = frozenset(["article", "main"])
 CONTAINERS = ARTICLE | frozenset("html body div section td center".split())
 #: Marks that inside an article belong to it.
 OWN = frozenset(["header", "banner"])
+#: Blocks whose text is prose wherever they stand.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figcaption".split())
 #: What may stand in a page's head; anything else ends it.
 HEAD = frozenset("base link meta noscript script style template title".split())
 #: Standard deviation of the smoothing, in lines, and share of the content that the region must hold.
@@ -77,69 +87,82 @@ def _marked(tag: str, attributes: list[tuple[str, str | None]], in_article: bool
     return False
 
 
+@dataclass
+class Line:
+    """The text of a block: its tags, the element that holds it, the block's tag, and its characters inside links."""
+
+    text: str
+    tags: int
+    element: int
+    block: str
+    linked: int
+
+
 class Lines(HTMLParser):
-    """Lines of a page: text, number of tags, path of element numbers."""
+    """Lines of a page, and its elements as a tree in which parents have lesser numbers."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # tag, number, whether it is left out
-        self.number = 0
+        self.count: Counter[str] = Counter()  # of open tags
+        self.blocks: list[int] = []  # places of the blocks among the open elements
+        self.heads: list[int] = []
+        self.parent, self.kind = [0], ["page"]  # of each element; 0 is the page
         self.left_out = 0
         self.text: list[str] = []
-        self.tags = 0
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.kinds: dict[int, str] = {}  # of elements that can be the region
+        self.tags = self.linked = 0
+        self.lines: list[Line] = []
 
     def finish_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.open)))
-        self.text, self.tags = [], 0
+            self.lines.append(Line(text, self.tags, self.open[-1][1] if self.open else 0, self.open[self.blocks[-1]][0] if self.blocks else "", self.linked))
+        self.text, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag not in HEAD and any(t == "head" for t, _, _ in self.open):
-            self.drop(next(k for k, (t, _, _) in enumerate(self.open) if t == "head"))
+        if self.heads and tag not in HEAD:
+            self.drop(self.heads[0])
         if tag in BLOCKS:
-            if tag in CLOSED_BY_OWN:
-                self.close_own(tag)
+            if tag in CLOSED_BY_OWN and self.blocks and self.open[self.blocks[-1]][0] == tag:
+                self.finish_line()  # a new one ends an open one, unless another block stands between
+                self.drop(self.blocks[-1])
             self.finish_line()
         elif tag == "br":
             self.text.append(" ")
         self.tags += 1
         if tag in EMPTY:
             return
-        out = self.left_out > 0 or _marked(tag, attrs, any(t in ARTICLE for t, _, _ in self.open))
-        self.number += 1
-        if tag in CONTAINERS:
-            self.kinds[self.number] = tag
-        self.open.append((tag, self.number, out))
+        out = self.left_out > 0 or _marked(tag, attrs, any(self.count[t] for t in ARTICLE))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        elif tag == "head":
+            self.heads.append(len(self.open))
+        self.parent.append(self.open[-1][1] if self.open else 0)
+        self.kind.append(tag)
+        self.open.append((tag, len(self.kind) - 1, out))
+        self.count[tag] += 1
         self.left_out += out
 
-    def close_own(self, tag: str) -> None:
-        """End an open element that a new one of its kind ends, unless a container stands between."""
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == tag:
-                self.finish_line()
-                self.drop(k)
-                return
-            if name in BLOCKS:
-                return
-
     def drop(self, k: int) -> None:
-        for _, _, out in self.open[k:]:
+        """End the open elements from place ``k`` on."""
+        for tag, _, out in self.open[k:]:
+            self.count[tag] -= 1
             self.left_out -= out
         del self.open[k:]
+        for places in (self.blocks, self.heads):
+            while places and places[-1] >= k:
+                places.pop()
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                if any(t in BLOCKS for t, _, _ in self.open[k:]):
-                    self.finish_line()
-                self.drop(k)
-                return
-        if tag in BLOCKS:
+        if self.count[tag]:
+            k = len(self.open) - 1
+            while self.open[k][0] != tag:  # all above it end too
+                k -= 1
+            if self.blocks and self.blocks[-1] >= k:
+                self.finish_line()
+            self.drop(k)
+        elif tag in BLOCKS:
             self.finish_line()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -150,6 +173,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.left_out:
             self.text.append(data)
+            if self.count["a"]:
+                self.linked += len(data)
 
     def close(self) -> None:
         super().close()
@@ -185,29 +210,33 @@ def main_text(html: str | None) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = parser.lines
+    lines, parent, kind = parser.lines, parser.parent, parser.kind
     if not lines:
         return ""
-    size = np.array([len(t) for t, _, _ in lines], dtype=float)
-    ratio = smoothed(size / np.maximum(1, np.array([n for _, n, _ in lines])))
+    size = np.array([len(x.text) for x in lines], dtype=float)
+    ratio = smoothed(size / np.maximum(1, np.array([x.tags for x in lines])))
     content = ratio >= threshold(ratio) if len(lines) > 1 else np.ones(1, dtype=bool)
-    held: dict[int, float] = {}
-    for (_, _, path), n, good in zip(lines, size, content, strict=True):
-        if good:
-            for element in path:
-                held[element] = held.get(element, 0.0) + n
-    whole = float(size[content].sum())
-    kinds = parser.kinds
-    enough = [e for e, n in held.items() if n >= SHARE * whole and e in kinds]
-    region = max(enough, default=0)  # numbers grow inwards along a path
-    around = next((path for _, _, path in lines if region in path), ())
-    around = around[: around.index(region) + 1] if region else ()
-    region = next((e for e in reversed(around) if kinds.get(e) in ARTICLE), region)
-    return "\n".join(t for t, _, path in lines if not region or region in path)
+    held = np.zeros(len(kind))
+    for x, n, good in zip(lines, size, content, strict=True):
+        held[x.element] += n * good
+    for e in range(len(kind) - 1, 0, -1):
+        held[parent[e]] += held[e]
+    # those that hold so much lie on one path, and numbers grow inwards
+    region = max((e for e in np.flatnonzero(held >= SHARE * size[content].sum()).tolist() if kind[e] in CONTAINERS), default=0)
+    article = region
+    while article and kind[article] not in ARTICLE:
+        article = parent[article]
+    region = article or region
+    inside = [e == region for e in range(len(kind))]
+    for e in range(region + 1, len(kind)):
+        inside[e] = inside[e] or inside[parent[e]]
+    own = lambda x, good: (good or x.block in PROSE) and 2 * x.linked <= len(x.text)
+    return "\n".join(x.text for x, good in zip(lines, content, strict=True) if not region or inside[x.element] or (not article and own(x, good)))
 
 
 def with_main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), text: str = "text") -> DataFrame:
     """``keep`` and the main text of each page."""
+    (own,) = free_name(pages, "html")
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,4 +246,4 @@ def with_main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] =
                 made = [main_text(h) for h in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.string())], names=[*keep, text])
 
-    return pages.select(*keep, F.col(html).cast("string").alias("__html")).mapInArrow(run, schema)
+    return pages.select(*keep, F.col(html).cast("string").alias(own)).mapInArrow(run, schema)

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 
@@ -52,3 +53,26 @@ def test_nulls_repeats_and_extra_columns(spark):
     got = html_text.with_main_text(df, keep=("page_id", "kind")).collect()
     assert sorted((r.page_id or 0, r.text, r.kind) for r in got) == [(0, "", "t"), (1, "a", "t"), (1, "a", "t")]
     assert html_text.with_main_text(df.limit(0)).count() == 0
+
+
+def test_pages_without_an_article_element_keep_title_and_lead():
+    long = "".join(f"<p>{'some long text of a paragraph ' * 8}{k}</p>" for k in range(3))
+    title = f"<body><div><a href=x>one</a> <a href=y>two</a></div><h1>The title</h1><p>Short lead in.</p><div>{long}</div><p><a href=z>More stories of ours</a></p></body>"
+    got = html_text.main_text(title).split("\n")
+    assert got[:2] == ["The title", "Short lead in."] and len(got) == 5 and got[-1].endswith("paragraph 2")
+    split = f"<body><h1>The title</h1><div>{long * 6}</div><div><p>The last part of it.</p></div><footer><p>foot</p></footer></body>"
+    got = html_text.main_text(split).split("\n")
+    assert got[0] == "The title" and got[-1] == "The last part of it." and len(got) == 20
+
+
+def test_time_is_linear_in_unclosed_and_deep_tags():
+    pages = ["<div>x" * 100_000, "<b>x" * 100_000, "<i>" * 50_000 + "<li>y</li>" * 50_000, "<b><head><p>z" * 30_000, "<div>" * 50_000 + "deep" + "</div>" * 50_000 + "</span>" * 50_000]
+    for page in pages:
+        start = time.perf_counter()
+        assert html_text.main_text(page)
+        assert time.perf_counter() - start < 6, page[:20]
+
+
+def test_a_kept_column_may_have_any_name(spark):
+    df = spark.createDataFrame([(1, "<p>a</p>", "k")], "page_id long, html string, __html string")
+    assert [tuple(r) for r in html_text.with_main_text(df, keep=("page_id", "__html")).collect()] == [(1, "k", "a")]
