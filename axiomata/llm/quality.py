@@ -14,7 +14,8 @@ weights (under a megabyte) and is broadcast.
 
 Defined results: a null or empty text is scored by its structure features
 alone; a label row with a null in it is ignored, repeated label rows of a
-document count as their least label; documents with a null id are never used
+document count as their least label, and of rows repeated with an id one is
+learnt from, that of least features; documents with a null id are never used
 for learning; without labels of both classes every score is the share of label
 1 (one half without any); repeated rows get the same score each; an empty table
 gives an empty table; further columns are passed in ``keep``.
@@ -33,6 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 WORD_BUCKETS, RANK = 1 << 14, 4
 #: Labelled rows at most from which the machine is fitted.
 SAMPLE = 4000
@@ -205,8 +208,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     # at most ``sample`` rows of an id and a label are broadcast
     texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text")).join(F.broadcast(chosen), "__id").select(F.col("__id").cast("long").alias("id"), F.col("__label").alias("label"), "__text")
-    rows = texts.mapInArrow(run, "id long, label int, columns binary, values binary").collect()
-    rows = sorted(rows, key=lambda r: (r["id"], r["label"], r["columns"]))[: 2 * sample]
+    made = texts.mapInArrow(run, "id long, label int, columns binary, values binary")
+    # one row for each of at most ``sample`` ids comes to the driver
+    least = made.groupBy("id").agg(F.min(F.struct("label", "columns", "values")).alias("r")).select("id", "r.*")
+    rows = sorted(least.collect(), key=lambda r: r["id"])
     documents = [(np.frombuffer(r["columns"], dtype=np.int32), np.frombuffer(r["values"], dtype=np.float32)) for r in rows]
     return fit(documents, np.array([r["label"] for r in rows], dtype=np.float32))
 
@@ -226,7 +231,8 @@ def with_score(docs: DataFrame, machine: Machine, text: str = "text", keep: tupl
                 z = own.logits(np.concatenate([c for c, _ in made]), np.concatenate([v for _, v in made]), starts)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(_sigmoid(z).astype(np.float64))], names=[*keep, score])
 
+    (own_text,) = free_name(docs, "text")
     # a text that is kept is not sent twice
     at = keep.index(text) if text in keep and docs.schema[text].dataType == T.StringType() else len(keep)
-    sent = docs.select(*keep) if at < len(keep) else docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    sent = docs.select(*keep) if at < len(keep) else docs.select(*keep, F.col(text).cast("string").alias(own_text))
     return sent.mapInArrow(run, schema)

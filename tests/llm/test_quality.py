@@ -48,3 +48,12 @@ def test_odd_inputs(spark):
         got = quality.with_score(docs, machine, keep=("doc_id", "score"), score="__score").collect()
         assert len(got) == 4 and all(0 <= r["__score"] <= 1 for r in got)
     assert quality.with_score(docs.limit(0), machine).count() == 0
+
+
+def test_repeated_ids_send_one_row_each(spark):
+    once = [(k, "good words here again" if k % 2 else "x | x | x | x") for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    a, b = (quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels) for rows in (once, once * 30))
+    assert (a.weights == b.weights).all() and a.bias == b.bias
+    df = spark.createDataFrame([(1, "words", "k")], "doc_id long, text string, __text string")
+    assert quality.with_score(df, a, keep=("doc_id", "__text")).first()["__text"] == "k"
