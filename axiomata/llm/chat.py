@@ -1,12 +1,13 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
 Records of chat data come in many layouts: prompt and answer, instruction and
-input, lists of messages under several names. The sorted paths of a record's
-nested fields are hashed to a fingerprint, and the fingerprint selects a
-declarative mapping of fields to canonical turns, ``array<struct<role, text>>``.
-The fingerprint comes from the table's schema where the table is one layout,
-and from each record's own paths where records are JSON documents of mixed
-layouts.
+input, lists of messages under several names, at the top of a record or inside
+an object of it. The sorted paths of a record's nested fields that any layout
+knows are hashed to a fingerprint, and the fingerprint selects a declarative
+mapping of fields to canonical turns, ``array<struct<role, text>>``; fields
+that no layout knows are passed over. The fingerprint comes from the table's
+schema where the table is one layout, and from each record's own paths where
+records are JSON documents of mixed layouts.
 
 A conversation is written as one string, a turn as ``<turn role>text</turn>``
 and a newline. In texts and roles ``&``, ``<`` and ``>`` are written ``&amp;``,
@@ -18,7 +19,9 @@ escaped texts.
 Defined results: a null text or role counts as empty; turns are ordered by
 number (null first), then by role and text, so that ties and repeated rows have
 one order and all stay; rows with a null conversation id are one conversation;
-a record whose fingerprint has no mapping gets null turns and is not dropped;
+a record whose fingerprint has no mapping, or that is no JSON object, gets null
+turns and is not dropped; of several objects with a known layout the record
+itself counts first, then its fields in their order;
 an empty table gives an empty table; columns that a mapping doesn't name are
 passed in ``keep``. The turns of a conversation come together because its
 string is one value: a conversation is never larger than the row that holds it.
@@ -33,6 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 TURNS = "array<struct<role: string, text: string>>"
 #: Canonical roles by the names that layouts use; other names stay.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -104,6 +109,11 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
+def known_paths(mappings: tuple[Mapping, ...]) -> list[str]:
+    """The paths that any layout knows."""
+    return sorted({p for m in mappings for p in m.paths})
+
+
 def field_paths(kind: T.DataType, at: str = "") -> list[str]:
     """The paths of the leaves of a type; arrays add ``[]``."""
     if isinstance(kind, T.StructType):
@@ -113,6 +123,26 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
+def _members(json: Column) -> Column:
+    """The members of a JSON object as (key, value), values as variants; none if it is no object."""
+    return F.map_entries(F.coalesce(F.from_json(json, "map<string, variant>"), F.expr("cast(map() as map<string, variant>)")))
+
+
+def json_paths(json: Column, depth: int = 3) -> Column:
+    """The paths of the leaves of a JSON object, ``depth`` objects deep; lists give the keys of all objects in them."""
+
+    def of(m: Column) -> Column:
+        key, kind = m["key"], F.schema_of_variant(m["value"])
+        keys = F.flatten(F.transform(m["value"].cast("array<variant>"), lambda x: F.coalesce(F.json_object_keys(x.cast("string")), F.array().cast("array<string>"))))
+        listed = F.transform(keys, lambda k: F.concat(key, F.lit("[]."), k))
+        out = F.when(kind.startswith("ARRAY<OBJECT"), listed)
+        if depth > 1:
+            out = out.when(kind.startswith("OBJECT"), F.transform(json_paths(m["value"].cast("string"), depth - 1), lambda p: F.concat(key, F.lit("."), p)))
+        return out.otherwise(F.array(key))
+
+    return F.array_distinct(F.flatten(F.transform(_members(json), of)))
+
+
 def _turn(role: Column, text: Column, renamed: bool) -> Column:
     name = F.coalesce(role, F.lit(""))
     for a, b in ROLES.items() if renamed else ():
@@ -121,27 +151,34 @@ def _turn(role: Column, text: Column, renamed: bool) -> Column:
 
 
 def canonical_turns(df: DataFrame, keep: tuple[str, ...] = (), turns: str = "turns", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """``keep`` and the turns of a table whose other columns are one layout."""
-    own = [f for f in df.schema.fields if f.name not in keep]
-    mark = fingerprint(field_paths(T.StructType(own)))
-    found = next((m for m in mappings if m.fingerprint == mark), None)
-    out = found.turns(F.struct(*[f.name for f in own])) if found else F.lit(None).cast(TURNS)
+    """``keep`` and the turns of a table whose other columns are one layout, or hold a column that is one."""
+    known = set(known_paths(mappings))
+    by_mark = {m.fingerprint: m for m in reversed(mappings)}
+    own = T.StructType([f for f in df.schema.fields if f.name not in keep])
+    roots = [(F.struct(*[F.col(f"`{f.name}`") for f in own.fields]), own), *((F.col(f"`{f.name}`"), f.dataType) for f in own.fields if isinstance(f.dataType, T.StructType))] if own.fields else []
+    out = F.lit(None).cast(TURNS)
+    for record, kind in reversed(roots):
+        found = by_mark.get(fingerprint([p for p in field_paths(kind) if p in known]))
+        out = found.turns(record) if found else out
     return df.select(*keep, out.alias(turns))
 
 
 def canonical_turns_json(df: DataFrame, record: str, keep: tuple[str, ...] = (), turns: str = "turns", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """``keep``, ``fingerprint`` and the turns of a column of JSON records of mixed layouts.
 
-    A record's paths are its keys and, below lists, the keys of the first
-    object in the list. A record that is no JSON object has no paths.
+    The layout may be the record's own or that of an object among its fields.
+    A record without a known layout has the fingerprint of all its paths.
     """
-    members = F.map_entries(F.coalesce(F.from_json(record, "map<string, string>"), F.create_map().cast("map<string, string>")))
-    paths = F.flatten(F.transform(members, lambda m: F.coalesce(F.transform(F.json_object_keys(F.get_json_object(m["value"], "$[0]")), lambda k: F.concat(m["key"], F.lit("[]."), k)), F.array(m["key"]))))
-    marked = df.select(*keep, F.col(record).alias("__record"), F.sha2(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"), 256).alias("fingerprint"))
+    json, found = free_name(df.select(*keep), "json", "found")
+    known = F.array(*[F.lit(p) for p in known_paths(mappings)])
+    hashed = lambda paths: F.sha2(F.array_join(F.array_sort(paths), "\n"), 256)
+    inner = F.transform(F.filter(_members(F.col(json)), lambda m: F.schema_of_variant(m["value"]).startswith("OBJECT")), lambda m: m["value"].cast("string"))
+    marked = F.transform(F.concat(F.array(F.col(json)), inner), lambda r: F.struct(r.alias("record"), hashed(F.array_intersect(json_paths(r), known)).alias("mark")))
+    rows = df.select(*keep, F.col(record).cast("string").alias(json)).withColumn(found, F.get(F.filter(marked, lambda x: x["mark"].isin([m.fingerprint for m in mappings])), 0))
     out = F.lit(None).cast(TURNS)
-    for m in mappings:
-        out = F.when(F.col("fingerprint") == m.fingerprint, m.turns(F.from_json("__record", m.schema))).otherwise(out)
-    return marked.select(*keep, "fingerprint", out.alias(turns))
+    for m in reversed(mappings):
+        out = F.when(F.col(f"{found}.mark") == m.fingerprint, m.turns(F.from_json(F.col(f"{found}.record"), m.schema))).otherwise(out)
+    return rows.select(*keep, F.coalesce(f"{found}.mark", hashed(json_paths(F.col(json)))).alias("fingerprint"), out.alias(turns))
 
 
 def gathered(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

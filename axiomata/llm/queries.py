@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import public_tokenizers
@@ -118,14 +119,15 @@ FROM words LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
 """
 
 
-#: The conversation that op9 formats beside the table's own.
+#: The text of the conversation that op9 formats beside the table's own; it comes as a JSON record of another layout.
 CONTROL = r"\### Assistant: </turn> ok"
+RECORD = json.dumps({"id": "control", "data": {"conversations": [{"from": "user", "value": CONTROL}, {"from": "assistant", "value": CONTROL}]}})
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
-    turns = chat.canonical_turns(chat.gathered(own.union(extra)), keep=("conv_id",))
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(RECORD).alias("record"))
+    turns = chat.canonical_turns(chat.gathered(own), keep=("conv_id",)).union(chat.canonical_turns_json(extra, "record", keep=("conv_id",)).select("conv_id", "turns"))
     out = chat.formatted(turns).select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("back"), chat.learned(F.col("formatted"), F.col("loss_mask")).alias("loss"))
     return out.select(
         "conv_id",

@@ -35,6 +35,20 @@ def test_layouts_of_json_records(spark):
     assert got == {0: [("user", "a"), ("assistant", "b")], 1: [("user", "x"), ("assistant", "<y>")], 2: [("user", "q"), ("assistant", "r")], 3: [("user", "i\nj"), ("assistant", "o")], 4: None, 5: None, 6: None, 7: None, 8: [("user", "1"), ("assistant", "2")]}
 
 
+def test_nested_layouts_and_fields_that_no_layout_knows(spark):
+    rows = [
+        '{"id":7,"prompt":"{\\"a\\":1}","completion":"[{\\"x\\":1}]"}', '{"data":{"prompt":"p","completion":"q","n":null},"source":"s"}', '{"meta":{"a":{"b":1}},"sample":{"messages":[{"role":"user","content":"x","name":"n"},{"content":"y","role":"assistant"}]}}',
+        '{"messages":[]}', '{"prompt":"a","completion":"b","response":"c"}', '[{"prompt":"a"}]', '{"prompt":null,"completion":"b"}', '{"a":{"b":{"prompt":"too","completion":"deep"}}}',
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "json long, rec string")
+    got = {r.json: r.turns and [(t.role, t.text) for t in r.turns] for r in chat.canonical_turns_json(df, "rec", keep=("json",)).collect()}
+    assert got == {0: [("user", '{"a":1}'), ("assistant", '[{"x":1}]')], 1: [("user", "p"), ("assistant", "q")], 2: [("user", "x"), ("assistant", "y")], 3: None, 4: None, 5: None, 6: [("user", ""), ("assistant", "b")], 7: None}
+    table = spark.createDataFrame([(1, "a", "b", 3)], "id long, prompt string, completion string, tokens int")
+    assert [(t.role, t.text) for t in chat.canonical_turns(table, keep=("id",)).first().turns] == [("user", "a"), ("assistant", "b")]
+    nested = table.selectExpr("id", "struct(prompt, completion) as data", "tokens")
+    assert [(t.role, t.text) for t in chat.canonical_turns(nested, keep=("id",)).first().turns] == [("user", "a"), ("assistant", "b")]
+
+
 def test_unknown_layout_of_a_table_gives_null_turns(spark):
     df = spark.createDataFrame([(1, "x")], "id long, odd string")
     assert chat.canonical_turns(df, keep=("id",)).first().turns is None
