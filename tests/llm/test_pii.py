@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from axiomata.llm import pii
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -53,8 +55,46 @@ def test_empty_table_and_kept_columns(spark):
     assert pii.personal_data(df.limit(0)).count() == 0
 
 
+def test_wider_kinds_and_dates_of_nobody(spark):
+    kinds = {
+        "iban": "Bank account IBAN DE89 3704 0044 0532 0130 00 for payment", "national_id": "her SSN 123-45-6789 is", "passport": "passport no C1234567 of", "birth_date": "born 1980-02-03 in",
+        "street_address": "lives at 12 Oak Street now", "person": "signed by Dr. Maria Lopez today",
+    }
+    texts = [t for t in kinds.values() for _ in range(12)] + ["on 1999-01-02 and 3.4.2005 we met", "code AB123456 and part 123-45-6789 in stock", "XX12 3456 7890 1234 of it"] * 12
+    got = found(spark, texts)
+    for k, t in enumerate(texts):
+        want = [kind for kind, x in kinds.items() if x == t]
+        assert [s.kind for s in got[k].spans] == want, (t, got[k].spans)
+
+
+def test_added_spans_that_overlap_base_ones_go(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f96"
+    texts = [f'token = "{key}{k % 10}" ok' for k in range(40)]
+    texts += [f'token = "{key}1@mail.com" x', f'1.2.3.4 token = "{key}2" a@b.com password = "{key}3"', f'token = "{key}4" ' * 900 + "a@b.com " * 900, "Call (535) 555-5412+14155550123 now"]
+    got = found(spark, texts)
+    for k, t in enumerate(texts):
+        base = [(s.start, s.stop) for s in got[k].base]
+        assert all(b <= s.start or s.stop <= a for s in got[k].spans if s.kind not in BASE for a, b in base), t[:60]
+    assert [s.kind for s in got[40].spans] == ["email"] and [s.kind for s in got[41].spans] == ["ip", "secret", "email", "secret"]
+    assert len(got[42].spans) == 1800 and [s.start for s in got[42].spans] == sorted(s.start for s in got[42].spans)
+
+
+def test_running_folds_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 4)
+    for n in (0, 3, 4, 9, 40):
+        xs = [(7 * k) % 11 for k in range(n)]
+        row = spark.createDataFrame([(xs,)], "v array<bigint>").select(pii.prefix_sums("v").alias("s"), pii.prefixes("v", F.lit(-1).cast("bigint"), lambda a, x: F.greatest(a, x)).alias("m")).first()
+        assert row.s == [sum(xs[:k]) for k in range(n)] and row.m == [max(xs[:k], default=-1) for k in range(n)]
+
+
+def test_kept_columns_may_have_any_name(spark):
+    df = spark.createDataFrame([(1, "mail a@b.com")], "doc_id long, text string").selectExpr("*", "doc_id as found", "doc_id as __text", "doc_id as __m_email", "doc_id as every", "doc_id as reach")
+    row = pii.personal_data(df, keep=("doc_id", "found", "__text", "__m_email", "every", "reach")).first()
+    assert row.found == row.__getitem__("__text") == row.every == row.reach == 1 and len(row.spans) == 1
+
+
 def test_reliabilities_tell_good_labelers_from_bad():
     counts = [("k", (1, 1, 0), 400), ("k", (-1, -1, 0), 500), ("k", (1, -1, 1), 10), ("k", (-1, 1, -1), 10), ("k", (1, 1, -1), 60), ("k", (-1, -1, 1), 60)]
     _, model, post = pii.reliabilities(counts)
     assert post["k", (1, 1, 0)] > 0.9 > 0.1 > post["k", (-1, -1, 0)]
-    assert model[0][1][0] > model[0][1][1]
+    assert model["k"][0][1][0] > model["k"][0][1][1]
