@@ -72,7 +72,8 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DE
     depths = F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")
     at = cells.select("cell", "count", depths).withColumn("bucket", F.expr(f"shiftright(cell, {max_depth} - depth)"))
     fits = at.groupBy("depth", "bucket").agg(F.sum("count").alias("n")).filter((F.col("n") <= capacity) | (F.col("depth") == max_depth))
-    return at.join(fits, ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket")).alias("leaf")).select("cell", "leaf.depth", "leaf.bucket")
+    # fewer than 2 ** (max_depth + 1) buckets of all depths
+    return at.join(F.broadcast(fits), ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket")).alias("leaf")).select("cell", "leaf.depth", "leaf.bucket")
 
 
 def marked_directory(docs: DataFrame, text: str, capacity: int = CAPACITY) -> DataFrame:
