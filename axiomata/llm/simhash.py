@@ -39,6 +39,7 @@ from functools import lru_cache
 from itertools import accumulate, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -185,8 +186,8 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
 
 #: Bands of a text's minima and minima in a band: a pair at 0.8 shares no band once in twenty million.
 BANDS, ROWS = 32, 4
-#: Rounds in which each text is compared with one text that it shares most bands with, before all pairs that are left.
-ROUNDS = 2
+#: Nodes of a band up to which its pairs are joined row by row; nodes on each side of a block in larger bands.
+JOINED, BLOCK_NODES = 32, 512
 #: 64-bit words of a node's parities, and bits of the filter of the texts whose shingles are read.
 PARITIES, FILTER_BITS = 8, 22
 _FACTORS = np.array([xxhash.xxh64_intdigest(str(k), SEED) | 1 for k in range(BANDS * ROWS)], dtype=np.uint64)
@@ -303,36 +304,64 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _blocked(large: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of different components in bands of many nodes that the parities don't rule out.
+
+    The nodes outside a band's main component meet all of its nodes, block by
+    block, as matrices: no pair becomes a row before it is compared, and a
+    band of any size is dealt to as many tasks as it needs.
+    """
+    held = large.join(nodes.select("node", "parities"), "node")
+    rests, wholes = F.ceil(F.col("rest") / BLOCK_NODES), F.ceil(F.col("whole") / BLOCK_NODES)
+    i, j = F.pmod(F.xxhash64("node", F.lit(1)), rests), F.pmod(F.xxhash64("node", F.lit(2)), wholes)
+    own = ["s", "node", "n", "c", "parities"]
+    few = held.filter("c <> main").select(*own, F.lit(True).alias("few"), i.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), wholes - 1)).alias("j"))
+    every = held.select(*own, F.lit(False).alias("few"), F.explode(F.sequence(F.lit(0).cast("long"), rests - 1)).alias("i"), j.alias("j"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["few"]], pdf[~pdf["few"]]
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        if len(x) and len(y):
+            bits, n, c, node = np.stack(y["parities"]), y["n"].to_numpy(), y["c"].to_numpy(), y["node"].to_numpy()
+            for p, m, d, k in zip(x["parities"], x["n"], x["c"], x["node"], strict=True):
+                near = np.bitwise_count(bits ^ p).sum(axis=1) <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-9
+                near &= (c != d) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
+                found.append(np.sort(np.stack([node[near], np.full(near.sum(), k)], axis=1), axis=1))
+        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+
+    return few.union(every).groupBy("s", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def _similar_links(nodes: DataFrame, docs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
     """(a, b), a < b: links of exact similarity that connect all nodes connected by such pairs that share a band.
 
-    First each node is compared with one other, of the nodes that stand for
-    its bands the one it shares most bands with. Components then stand for
-    what is linked: within them nothing needs comparing. All pairs of nodes
-    of different components that share a band are compared at last; in a
-    band, the largest component meets the others only.
+    In each band the node with most company stands for the others; each node is
+    first compared with the one of these that it shares most bands with. In a
+    group of copies of one text that is the text itself. Within the components
+    that follow nothing needs comparing; nodes of different components that
+    share a band are all compared.
     """
     placed = nodes.filter("n > 0").select("node", "n", F.explode("bands").alias("s"))
-    full = placed.groupBy("s").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("s")
+    full = placed.groupBy("s").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     shared = written(placed.join(full, "s"), "shared-bands")
-    sets = _sets_of(shared.select("node").distinct().join(nodes.select("node", "first.key"), "node"), docs, text, width)
-    known = None
-    named = shared.withColumn("c", F.col("node"))
-    for turn in range(ROUNDS):
-        head = named.groupBy("s").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "c")).alias("head"))
-        offered = named.join(head, "s").filter((F.col("c") != F.col("head.c")) & _comparable(F.col("n"), F.col("head.n"), similarity))
-        often = offered.groupBy("node", F.col("head.node").alias("other")).agg(F.count(F.lit(1)).alias("times"))
-        best = often.groupBy("node").agg(F.max(F.struct("times", "other")).alias("best")).select(*_ordered("node", "best.other")).distinct()
-        fresh = _similar(best, nodes, sets, similarity)
-        known = fresh if known is None else known.union(fresh)
-        groups = connected_components(known, "a", "b")
-        named = written(shared.join(groups, "node", "left").select("s", "node", "n", F.coalesce("component", "node").alias("c")), "shared-by-group")
+    company = shared.groupBy("node").agg(F.sum("m").alias("company"), F.any_value("n").alias("n"))
+    sets = _sets_of(company.select("node").join(nodes.select("node", "first.key"), "node"), docs, text, width)
+
+    head = shared.select("s", "node").join(company, "node").groupBy("s").agg(F.max(F.struct("company", "node", "n")).alias("head"))
+    offered = shared.join(head, "s").filter((F.col("node") != F.col("head.node")) & _comparable(F.col("n"), F.col("head.n"), similarity))
+    often = offered.groupBy("node", F.col("head.node").alias("other"), F.col("head.company").alias("company")).agg(F.count(F.lit(1)).alias("times"))
+    best = often.groupBy("node").agg(F.max(F.struct("times", "company", "other")).alias("best")).select(*_ordered("node", "best.other")).distinct()
+    known = _similar(best, nodes, sets, similarity)
+
+    groups = connected_components(known, "a", "b")
+    named = written(shared.join(groups, "node", "left").select("s", "node", "n", F.coalesce("component", "node").alias("c")), "shared-by-group")
     parts = named.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m"))
-    main = parts.groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("s", "main")
+    main = parts.groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("whole"), (F.sum("m") - F.max("m")).alias("rest")).filter("rest > 0")
     mixed = written(named.join(main, "s"), "mixed-bands")
-    x, y = mixed.filter("c <> main").select("s", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx")), mixed.select("s", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), "main")
+    small = mixed.filter(F.col("whole") <= JOINED)
+    x, y = small.filter("c <> main").select("s", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx")), small.select("s", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), "main")
     apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & _comparable(F.col("nx"), F.col("ny"), similarity)
-    rest = x.join(y, "s").filter(apart).select(*_ordered("x", "y")).distinct()
+    rest = x.join(y, "s").filter(apart).select(*_ordered("x", "y")).union(_blocked(mixed.filter(F.col("whole") > JOINED), nodes, similarity)).distinct()
     return known.union(_similar(rest, nodes, sets, similarity))
 
 

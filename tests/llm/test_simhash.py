@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from axiomata.llm import simhash
@@ -105,7 +106,10 @@ def test_similar_groups_find_edited_copies_and_leave_others(spark):
     assert len(ids) <= len(first) + 2
 
 
-def test_similar_groups_are_those_of_exact_similarity(spark):
+@pytest.mark.parametrize("joined", [32, 2])
+def test_similar_groups_are_those_of_exact_similarity(spark, monkeypatch, joined):
+    monkeypatch.setattr(simhash, "JOINED", joined)  # 2: bands are compared in blocks
+    monkeypatch.setattr(simhash, "BLOCK_NODES", 16)
     random.seed(8)
     text = lambda n: [f"t{random.randrange(10**6)}" for _ in range(n)]
     line, footer = text(12), text(10)
