@@ -10,11 +10,11 @@ from ..operators import cooccurrence as C
 from ..operators import keyphrases as K
 from ..session import table
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_STOP = ", ".join(f"'{w}'" for w in (*T.STOP_WORDS, *T.CONNECTIVE_WORDS))
 #: Phrases of documents in SQL: (doc, at, phrase).
 PHRASES_SQL = rf"""
-segs AS (SELECT doc_id AS doc, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}\s\-]+')) AS s FROM documents),
-marked AS (SELECT doc, array_to_string(list_transform(regexp_split_to_array(s, '\s+'), lambda w:
+segs AS (SELECT doc_id AS doc, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}\s\p{{Z}}\-]+')) AS s FROM documents),
+marked AS (SELECT doc, array_to_string(list_transform(regexp_split_to_array(s, '[\s\p{{Z}}]+'), lambda w:
     CASE WHEN regexp_matches(w, '^[\p{{L}}\p{{N}}]') AND regexp_matches(w, '[\p{{L}}\p{{N}}]$') AND regexp_matches(w, '\p{{L}}.*\p{{L}}') AND w NOT IN ({_STOP}) THEN w ELSE '|' END), ' ') AS m FROM segs),
 runs AS (SELECT doc, trim(unnest(string_split(m, '|'))) AS phrase FROM marked),
 phrases AS (SELECT doc, phrase FROM runs WHERE phrase <> '' AND len(string_split(phrase, ' ')) <= 6)
@@ -34,7 +34,7 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phrase_doc_freq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-04, T-06, A-04, O-02: the hundred phrases of most documents."""
-    rows = K.phrase_rows(table(spark, sf_dir, "documents"), "doc_id", "text").distinct()
+    rows = K.phrase_rows(table(spark, sf_dir, "documents"), "doc_id", "text")
     return rows.groupBy("phrase").agg(F.count(F.lit(1)).alias("doc_freq")).orderBy(F.desc("doc_freq"), "phrase").limit(100)
 
 
@@ -44,7 +44,7 @@ def rake_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phrase_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = K.accumulate(_scores(spark, sf_dir))
-    return found.select("phrase", "word_count", "doc_freq", F.round("mean_score", 6).alias("mean_score"), F.array_join(F.transform("sample_ids", lambda x: x.cast("string")), ",").alias("sample_ids"))
+    return found.select("phrase", "word_count", "doc_freq", F.round("mean_score", 9).alias("mean_score"), F.array_join(F.transform("sample_ids", lambda x: x.cast("string")), ",").alias("sample_ids"))
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def field_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 def field_concentration_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _labels(spark, sf_dir)
     links = K.phrase_rows(table(spark, sf_dir, "documents"), "doc_id", "text")
-    found = K.field_concentration(links, labels, K.field_prior(labels, "doc", "label"), min_labelled=20)
+    found = K.field_concentration(links, labels, K.field_prior(labels, "doc", "label"))
     return found.select("phrase", "labelled", F.round("concentration", 6).alias("concentration"))
 
 
@@ -89,8 +89,15 @@ def _umlaut_sql(w: str) -> str:
 KEY_SQL = f"array_to_string(list_transform(list_transform(list_filter(regexp_split_to_array({_fold_sql('phrase')}, '[\\s\\-_/]+'), lambda w: w <> ''), lambda w: {_umlaut_sql('w')}), lambda w: {_singular_sql('w')}), ' ')"
 
 
+def boilerplate_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-07: the phrases of the documents and of the list of stock phrases that the filter drops."""
+    found = field_concentration_kl(spark, sf_dir).select("phrase", "concentration")
+    stock = spark.createDataFrame([(p,) for p in K.REGISTER_PHRASES], "phrase string").withColumn("concentration", F.lit(None).cast("double"))
+    return K.boilerplate(found.union(stock), 0.01).select("phrase").distinct()
+
+
 def _phrase_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.phrase_rows(table(spark, sf_dir, "documents"), "doc_id", "text").distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("doc_freq"))
+    return K.phrase_rows(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("phrase").agg(F.count(F.lit(1)).alias("doc_freq"))
 
 
 def canonical_key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,12 +211,22 @@ p AS (SELECT DISTINCT phrase, CASE WHEN phrase LIKE '%s' THEN left(phrase, lengt
 SELECT phrase, coalesce(a.code, b.code) AS code FROM p LEFT JOIN idx a ON a.gram = phrase LEFT JOIN idx b ON b.gram = other WHERE coalesce(a.code, b.code) IS NOT NULL
 """
 
+KL_SQL = f"""{PHRASES_SQL},
+      prior AS (SELECT source AS label, count(*) / sum(count(*)) OVER () AS q FROM documents GROUP BY source),
+      links AS (SELECT DISTINCT doc, phrase, source AS label FROM phrases JOIN documents ON doc = doc_id),
+      tot AS (SELECT phrase, count(*) AS labelled FROM links GROUP BY phrase HAVING count(*) >= 50),
+      dense AS (SELECT t.phrase, t.labelled, q, (SELECT count(*) FROM links l WHERE l.phrase = t.phrase AND l.label = p.label) AS c FROM tot t, prior p),
+      pr AS (SELECT *, (c + 10 * q) / (labelled + 10) AS p FROM dense),
+      kl AS (SELECT phrase, labelled, sum(p * ln(p / q)) AS concentration FROM pr GROUP BY ALL)"""
+_REGISTER = ", ".join(f"'{p}'" for p in K.REGISTER_PHRASES)
+
 QUERIES = {
     "phrase_doc_freq_topk": phrase_doc_freq_topk,
     "rake_scores": rake_scores,
     "phrase_candidates": phrase_candidates,
     "field_prior": field_prior,
     "field_concentration_kl": field_concentration_kl,
+    "boilerplate_phrases": boilerplate_phrases,
     "canonical_key_groups": canonical_key_groups,
     "representative_choice": representative_choice,
     "msc_ngram_grounding": msc_ngram_grounding,
@@ -225,16 +242,11 @@ QUERIES = {
 ORACLES = {
     "phrase_doc_freq_topk": f"WITH {PHRASES_SQL} SELECT phrase, count(DISTINCT doc) AS doc_freq FROM phrases GROUP BY phrase ORDER BY doc_freq DESC, phrase LIMIT 100",
     "rake_scores": f"WITH {RAKE_SQL} SELECT doc AS doc_id, phrase, round(score, 6) AS score FROM scores",
-    "phrase_candidates": f"""WITH {RAKE_SQL} SELECT phrase, len(string_split(phrase, ' ')) AS word_count, count(*) AS doc_freq, round(avg(score), 6) AS mean_score,
+    "phrase_candidates": f"""WITH {RAKE_SQL} SELECT phrase, len(string_split(phrase, ' ')) AS word_count, count(*) AS doc_freq, round(avg(score), 9) AS mean_score,
       array_to_string(list_sort(list(doc))[1:3], ',') AS sample_ids FROM scores GROUP BY phrase HAVING count(*) >= 3""",
     "field_prior": "SELECT source AS label, count(*)::DOUBLE AS mass, round(count(*) / sum(count(*)) OVER (), 6) AS prior FROM documents GROUP BY source",
-    "field_concentration_kl": f"""WITH {PHRASES_SQL},
-      prior AS (SELECT source AS label, count(*) / sum(count(*)) OVER () AS q FROM documents GROUP BY source),
-      links AS (SELECT DISTINCT doc, phrase, source AS label FROM phrases JOIN documents ON doc = doc_id),
-      tot AS (SELECT phrase, count(*) AS labelled FROM links GROUP BY phrase HAVING count(*) >= 20),
-      dense AS (SELECT t.phrase, t.labelled, q, (SELECT count(*) FROM links l WHERE l.phrase = t.phrase AND l.label = p.label) AS c FROM tot t, prior p),
-      pr AS (SELECT *, (c + 10 * q) / (labelled + 10) AS p FROM dense)
-      SELECT phrase, labelled, round(sum(p * ln(p / q)), 6) AS concentration FROM pr GROUP BY ALL""",
+    "field_concentration_kl": f"WITH {KL_SQL} SELECT phrase, labelled, round(concentration, 6) AS concentration FROM kl",
+    "boilerplate_phrases": f"WITH {KL_SQL} SELECT phrase FROM kl WHERE round(concentration, 6) < 0.01 UNION SELECT unnest([{_REGISTER}])",
     "canonical_key_groups": f"""WITH {PHRASES_SQL}, f AS (SELECT phrase, count(DISTINCT doc) AS doc_freq FROM phrases GROUP BY phrase), k AS (SELECT *, {KEY_SQL} AS key FROM f)
       SELECT key, count(*) AS variants, sum(doc_freq)::BIGINT AS doc_freq, string_agg(phrase, ',' ORDER BY phrase) AS phrases FROM k GROUP BY key HAVING count(*) > 1""",
     "representative_choice": f"""WITH {PHRASES_SQL}, f AS (SELECT phrase, count(DISTINCT doc) AS doc_freq FROM phrases GROUP BY phrase), k AS (SELECT *, {KEY_SQL} AS key FROM f)
@@ -245,6 +257,7 @@ ORACLES = {
     "cooccur_ppmi": f"WITH {PPMI_SQL} SELECT i, j, round(w, 6) AS w FROM ppmi",
     "weeds_invcl_classify": CLASSIFY_SQL,
     "relation_merge": f"WITH {RELATIONS_SQL} SELECT * FROM merged",
-    "cycle_removal": f"WITH {RELATIONS_SQL} SELECT subject, object, kind, status FROM merged m WHERE kind <> 'specialization_of' OR NOT EXISTS (SELECT 1 FROM merged r WHERE r.kind = m.kind AND r.subject = m.object AND r.object = m.subject)",
+    "cycle_removal": f"""WITH {RELATIONS_SQL}, m AS MATERIALIZED (SELECT subject, object, kind, status FROM merged), back AS (SELECT DISTINCT object AS s, subject AS o FROM m WHERE kind = 'specialization_of')
+      SELECT subject, object, kind, status FROM m LEFT JOIN back ON s = subject AND o = object AND kind = 'specialization_of' WHERE s IS NULL""",
     "relations_ranked": f"WITH {RELATIONS_SQL} SELECT subject, object, kind, status, confidence, CASE status WHEN 'confirmed' THEN 1 ELSE 2 END AS status_rank FROM merged WHERE status <> 'proposed'",
 }

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from ..plans.stages import written
+from ..plans.stages import Levels, written
 
 EQUIVALENCE, IMPLICATION, SPECIALIZATION, GENERALIZATION = "equivalence", "implication", "specialization", "generalization"
 # What two kinds of edges in sequence amount to; other pairs end a path.
@@ -68,15 +69,15 @@ def collapse(edges: DataFrame, reps: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = 1000) -> DataFrame:
     """G-06: (start, node, depth): the nodes that each start reaches, itself at depth 0."""
-    seen = written(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct(), "reach")
-    frontier = seen
+    levels = Levels(edges.sparkSession, "reach")
+    frontier = levels.add(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct())
+    hop = edges.select(F.col("src").alias("node"), "dst")
     for depth in range(1, max_depth + 1):
-        step = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("start", F.col("dst").alias("node")).distinct()
-        frontier = written(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "reach-level")
+        step = frontier.join(hop, "node").select("start", F.col("dst").alias("node")).distinct()
+        frontier = levels.add(step.join(levels.all(), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            return seen
-        seen = seen.union(frontier)
-    return seen
+            break
+    return levels.all()
 
 
 def derivations(edges: DataFrame, starts: DataFrame, max_depth: int = 50) -> DataFrame:
@@ -90,17 +91,16 @@ def derivations(edges: DataFrame, starts: DataFrame, max_depth: int = 50) -> Dat
     hop = edges.select(F.col("src").alias("node"), F.col("dst"), F.col("kind").alias("next"), "id")
     least = lambda df: df.groupBy("start", "node", "kind").agg(F.min("path").alias("path"))
     first = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct().join(hop, "node")
-    frontier = written(least(first.select("start", F.col("dst").alias("node"), F.col("next").alias("kind"), F.array("id").alias("path"))).withColumn("depth", F.lit(1)), "paths")
-    seen = frontier
+    levels = Levels(spark, "paths")
+    frontier = levels.add(least(first.select("start", F.col("dst").alias("node"), F.col("next").alias("kind"), F.array("id").alias("path"))).withColumn("depth", F.lit(1)))
     for depth in range(2, max_depth + 1):
         # the table of compositions has eleven rows
         step = frontier.join(hop, "node").join(F.broadcast(table), ["kind", "next"])
         step = step.select("start", F.col("dst").alias("node"), F.col("composed").alias("kind"), F.concat("path", F.array("id")).alias("path"))
-        frontier = written(least(step).join(seen, ["start", "node", "kind"], "left_anti").withColumn("depth", F.lit(depth)), "paths-level")
+        frontier = levels.add(least(step).join(levels.all(), ["start", "node", "kind"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-    return seen
+            break
+    return levels.all()
 
 
 def chain_depths(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
@@ -112,15 +112,15 @@ def chain_depths(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """
     own = edges.select("src", "dst").distinct()
     rest = written(own, "chain")
-    known = written(own.select(F.col("dst").alias("node")).union(own.select("src")).distinct().join(own.select(F.col("src").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0)), "chain-depths")
+    known = Levels(edges.sparkSession, "chain-depths")
+    ready = known.add(own.select(F.col("dst").alias("node")).union(own.select("src")).distinct().join(own.select(F.col("src").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0)))
     for _ in range(max_depth):
         if rest.isEmpty():
-            return known
-        joined = rest.join(known.withColumnRenamed("node", "dst"), "dst", "left")
-        ready = written(joined.groupBy("src").agg(F.count_if(F.col("depth").isNull()).alias("open"), (F.max("depth") + 1).alias("depth")).filter("open = 0").select(F.col("src").alias("node"), "depth"), "chain-ready")
+            return known.all()
+        joined = rest.join(known.all().withColumnRenamed("node", "dst"), "dst", "left")
+        ready = known.add(joined.groupBy("src").agg(F.count_if(F.col("depth").isNull()).alias("open"), (F.max("depth") + 1).alias("depth")).filter("open = 0").select(F.col("src").alias("node"), "depth"))
         if ready.isEmpty():
             raise ValueError("the dependencies have a cycle")
-        known = known.union(ready)
         rest = written(rest.join(ready.select(F.col("node").alias("src")), "src", "left_anti"), "chain")
     raise ValueError("the chains are longer than max_depth")
 
@@ -135,14 +135,13 @@ def spines(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFra
     children = edges.select("src", "dst").distinct().join(depth.withColumnRenamed("node", "dst"), "dst").join(degree.withColumnRenamed("node", "dst"), "dst", "left")
     key = F.struct((-(F.col("depth") * 1000 + F.coalesce("degree", F.lit(0)))).alias("k"), F.col("dst"))
     follow = written(children.groupBy(F.col("src").alias("node")).agg(F.min(key).alias("b")).select("node", F.col("b.dst").alias("to")), "spine-next")
-    level = roots.select(F.col("id").alias("root"), F.lit(0).alias("step"), F.col("id").alias("node")).distinct()
-    out = level
+    levels = Levels(edges.sparkSession, "spine")
+    level = levels.add(roots.select(F.col("id").alias("root"), F.lit(0).alias("step"), F.col("id").alias("node")).distinct())
     for step in range(1, max_depth + 1):
-        level = written(level.join(follow, "node").select("root", F.lit(step).alias("step"), F.col("to").alias("node")), "spine")
+        level = levels.add(level.join(follow, "node").select("root", F.lit(step).alias("step"), F.col("to").alias("node")))
         if level.isEmpty():
             break
-        out = out.union(level)
-    return out
+    return levels.all()
 
 
 def layers(edges: DataFrame, roots: DataFrame, spine: DataFrame, depth: int = 4, per_layer: int = 6) -> DataFrame:
@@ -153,17 +152,36 @@ def layers(edges: DataFrame, roots: DataFrame, spine: DataFrame, depth: int = 4,
     """
     degree = out_degrees(edges)
     follow = edges.select(F.col("src").alias("node"), "dst").distinct()
-    level = roots.select(F.col("id").alias("root"), F.lit(0).alias("depth"), F.col("id").alias("node")).distinct()
-    shown = written(level, "layers")
+    levels = Levels(edges.sparkSession, "layers")
+    level = levels.add(roots.select(F.col("id").alias("root"), F.lit(0).alias("depth"), F.col("id").alias("node")).distinct())
     for d in range(1, depth + 1):
-        step = level.join(follow, "node").select("root", F.col("dst").alias("node")).distinct().join(shown.select("root", "node"), ["root", "node"], "left_anti")
+        step = level.join(follow, "node").select("root", F.col("dst").alias("node")).distinct().join(levels.all().select("root", "node"), ["root", "node"], "left_anti")
         marked = step.join(spine.groupBy("root", "node").agg(F.min("step").alias("on")), ["root", "node"], "left").join(degree, "node", "left")
         order = Window.partitionBy("root").orderBy(F.asc_nulls_last("on"), F.desc(F.coalesce("degree", F.lit(0))), "node")
-        level = written(marked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_layer).select("root", F.lit(d).alias("depth"), "node"), "layer")
+        level = levels.add(marked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_layer).select("root", F.lit(d).alias("depth"), "node"))
         if level.isEmpty():
             break
-        shown = shown.unionByName(level)
-    return shown
+    return levels.all()
+
+
+def hidden(edges: DataFrame, shown: DataFrame) -> DataFrame:
+    """G-17: (root, node, unseen): shown nodes with dependencies that are not shown, and how many."""
+    follow = edges.select(F.col("src").alias("node"), F.col("dst").alias("child")).distinct()
+    unseen = shown.select("root", "node").join(follow, "node").join(shown.select("root", F.col("node").alias("child")), ["root", "child"], "left_anti")
+    return unseen.groupBy("root", "node").agg(F.count(F.lit(1)).alias("unseen"))
+
+
+def omitted(edges: DataFrame, shown: DataFrame, depth: int = 4) -> DataFrame:
+    """G-17: (root, omitted): the candidates that found no place in their level, over all levels up to ``depth``."""
+    follow = edges.select(F.col("src").alias("node"), F.col("dst").alias("child")).distinct()
+    asked = shown.filter(F.col("depth") < depth).join(follow, "node").select("root", (F.col("depth") + 1).alias("level"), "child").distinct()
+    placed = asked.join(shown.select("root", F.col("node").alias("child"), F.col("depth").alias("at")), ["root", "child"], "left")
+    return placed.groupBy("root").agg(F.count_if(F.col("at").isNull() | (F.col("at") > F.col("level"))).alias("omitted"))
+
+
+def traversable(edges: DataFrame, trusted_only: bool) -> DataFrame:
+    """G-18: the edges that may be followed: all, or with ``trusted_only`` those whose policy is to follow them by default."""
+    return edges.filter(F.coalesce(F.col("policy") == "default_traversal", F.lit(False))) if trusted_only else edges
 
 
 def spine_outline(edges: DataFrame, spine: DataFrame, sides: int = 6) -> DataFrame:
@@ -260,23 +278,28 @@ def corollaries(judgments: DataFrame) -> DataFrame:
 
 
 # Words that mark a special case inside a name.
-QUALIFIERS = ("comm", "abelian", "finite", "compact", "complete", "normal", "simple", "cyclic", "linear", "bounded", "continuous", "strict", "weak", "strong", "red", "blue", "large", "small")
+QUALIFIERS = (
+    "abelian", "commutative", "comm", "finite", "noetherian", "artinian", "complete", "compact", "linear",
+    "free", "simple", "normal", "local", "graded", "connected", "hausdorff", "metric",
+)
 
 
 def qualified_names(judgments: DataFrame, qualifiers: tuple[str, ...] = QUALIFIERS) -> DataFrame:
-    """J-11: a name with a qualifier word is a special case of the name without it.
+    """J-11: a name that has another inside it, and a qualifier in what is left, is a special case of the other.
 
-    Every name of at least three letters inside another is found by the word
-    runs of the longer name, so the join is on equality and no pair of names
-    is tried in vain. Words end at ``_`` or a space.
+    The names inside a name are found among its substrings, so the join is on
+    equality and costs the square of a name's length, not of the names. Hyphens
+    count as ``_``.
     """
-    named = judgments.filter("name is not null").select("id", F.lower("name").alias("name"))
-    words = F.split("name", "[_ ]")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(F.array_join(F.slice("w", i, n), " ").alias("part"), F.concat(F.slice("w", 1, i - 1), F.slice("w", i + n, F.size("w"))).alias("rest")))))
-    inside = named.select("id", words.alias("w")).filter(F.size("w") > 1).select(F.col("id").alias("dst"), F.explode(runs).alias("r")).select("dst", F.col("r.part").alias("part"), F.col("r.rest").alias("rest"))
-    special = inside.filter(F.arrays_overlap("rest", F.array(*[F.lit(q) for q in qualifiers])) & (F.length("part") >= 3))
-    general = named.select(F.col("id").alias("src"), F.array_join(words, " ").alias("part"))
-    return special.join(general, "part").filter("src <> dst").select("src", "dst", F.lit(SPECIALIZATION).alias("kind"), F.lit(0.35).alias("confidence")).distinct()
+    named = judgments.filter("name is not null and name <> ''").select("id", F.replace(F.lower("name"), F.lit("-"), F.lit("_")).alias("name"))
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substring(F.col("name"), i, n))))
+    inside = named.filter(F.length("name") > 1).select(F.col("id").alias("dst"), "name", F.explode(F.array_distinct(parts)).alias("part"))
+    met = inside.join(named.select(F.col("id").alias("src"), F.col("name").alias("part")), "part").filter("src <> dst")
+    rest = F.replace(F.col("name"), F.col("part"), F.lit(""))
+    special = F.lit(False)
+    for q in qualifiers:
+        special = special | F.contains(rest, F.lit(q))
+    return met.filter(special).select("src", "dst", F.lit(SPECIALIZATION).alias("kind"), F.lit(0.35).alias("confidence")).distinct()
 
 
 def proposals(judgments: DataFrame) -> DataFrame:
@@ -311,27 +334,58 @@ def new_proposals(judgments: DataFrame, last_id: int, existing: DataFrame) -> Da
 # --- edge states -------------------------------------------------------------
 
 
-def edge_states(events: DataFrame) -> DataFrame:
-    """G-08: (src, dst, kind, status) from a log of (id, src, dst, kind, action).
-
-    A rejected edge stays rejected whatever comes later; else an accept makes
-    it accepted and keeps it so until a reject.
+LOG = "src long, dst long, kind string, status string, refused long, suppressed boolean"
+
+
+def _folded(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The edges between two nodes after the events of their log, in order."""
+    edges: dict[tuple[int, int, str], dict] = {}
+    for e in pdf.sort_values("id").itertuples(index=False):
+        src, dst = (min(e.src, e.dst), max(e.src, e.dst)) if e.kind == EQUIVALENCE else (e.src, e.dst)
+        own = edges.setdefault((src, dst, e.kind), {"status": "refused", "refused": 0, "suppressed": False})
+        if e.action == "reject":
+            own["status"] = "rejected"
+        elif e.action == "propose" and own["status"] == "refused":
+            own["status"] = "proposed"
+        elif e.action == "accept" and own["status"] in ("refused", "proposed"):
+            other = [(k, x, a, b) for (a, b, k), x in edges.items() if k != e.kind]
+            if any(x["status"] == "accepted" and ((a, b) == (src, dst) or (k == EQUIVALENCE and (b, a) == (src, dst))) for k, x, a, b in other):
+                own["refused"] += 1
+                continue
+            own["status"] = "accepted"
+            for k, x, a, b in other:
+                if x["status"] == "proposed" and ((a, b) == (src, dst) or (e.kind == EQUIVALENCE and (b, a) == (src, dst))):
+                    x |= {"status": "rejected", "suppressed": True}
+    return pd.DataFrame([{"src": a, "dst": b, "kind": k, **x} for (a, b, k), x in edges.items()])
+
+
+def edge_log(events: DataFrame) -> DataFrame:
+    """G-08: (src, dst, kind, status, refused, suppressed) from a log of (id, src, dst, kind, action).
+
+    A rejected edge stays rejected. An accept is refused while an edge of
+    another kind is accepted from the same node to the same node, or an
+    equivalence between the two; an edge that was only ever refused has that
+    status. An accept rejects the proposals of other kinds that compete with
+    it, an equivalence those of both directions. The log of two nodes is
+    folded in one task; logs of different pairs are independent.
     """
-    key = ["src", "dst", "kind"]
-    folded = events.groupBy(*key).agg(F.min(F.when(F.col("action") == "reject", F.col("id"))).alias("rejected"), F.min(F.when(F.col("action") == "accept", F.col("id"))).alias("accepted"))
-    return folded.select(*key, F.when(F.col("rejected").isNotNull(), "rejected").when(F.col("accepted").isNotNull(), "accepted").otherwise("proposed").alias("status"))
+    pair = events.withColumns({"p": F.least("src", "dst"), "q": F.greatest("src", "dst")})
+    return pair.groupBy("p", "q").applyInPandas(_folded, LOG)
+
+
+def edge_states(events: DataFrame) -> DataFrame:
+    """G-08: (src, dst, kind, status) after the log."""
+    return edge_log(events).select("src", "dst", "kind", "status")
 
 
-def exclusive_conflicts(states: DataFrame) -> DataFrame:
-    """G-08: (src, dst, kinds): pairs with more than one accepted kind."""
-    accepted = states.filter(F.col("status") == "accepted")
-    return accepted.groupBy("src", "dst").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.countDistinct("kind").alias("n")).filter("n > 1").drop("n")
+def exclusive_conflicts(events: DataFrame) -> DataFrame:
+    """G-08: (src, dst, kind, refused): edges whose acceptance was refused, and how often."""
+    return edge_log(events).filter("refused > 0").select("src", "dst", "kind", "refused")
 
 
-def competing(states: DataFrame) -> DataFrame:
-    """G-08: proposed edges whose pair has an accepted edge of another kind."""
-    accepted = states.filter(F.col("status") == "accepted").select("src", "dst").distinct()
-    return states.filter(F.col("status") == "proposed").join(accepted, ["src", "dst"], "left_semi")
+def competing(events: DataFrame) -> DataFrame:
+    """G-08: (src, dst, kind): proposals that an accepted edge of another kind has rejected."""
+    return edge_log(events).filter("suppressed").select("src", "dst", "kind")
 
 
 def dangling(rows: DataFrame, ref: str, targets: DataFrame, key: str) -> DataFrame:

@@ -2,30 +2,108 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..functions import text as T
 from ..plans.stages import written
 
+#: Words of a phrase at most.
+LONGEST = 6
+STOP = frozenset(T.STOP_WORDS) | frozenset(T.CONNECTIVE_WORDS)
+_OLD_ID, _COMMAND, _SEPARATOR, _SPACE = (regex.compile(x) for x in (T.OLD_ID, T.TEX_COMMAND, T.SEPARATOR, T.SPACE))
+_ACCENT = regex.compile(r"\\(.)(?:\{(.)\}?|(.))")
+_LETTERS = {(mark, plain): accented for mark, plain, accented in T.TEX_ACCENTS}
+_CONTENT = regex.compile(r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?")
+
+
+def plain_text(text: str) -> str:
+    """T-01..T-03: a text without old ids and commands of TeX, its accents as letters, in lower case."""
+    if "/" in text:
+        text = _OLD_ID.sub(" ", text)
+    if "\\" in text:
+        text = _ACCENT.sub(lambda m: _LETTERS.get((m[1], m[2] or m[3]), m[0]), text)
+        text = _COMMAND.sub(" ", text)
+    return text.lower()
+
+
+def is_content_word(word: str) -> bool:
+    """T-05: first and last character alphanumeric, two letters at least."""
+    return bool(_CONTENT.fullmatch(word)) and sum(map(str.isalpha, word)) >= 2
+
+
+class _Kept(dict):
+    """Whether a word can stand in a phrase; words beyond the bound start the store anew."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) >= 100_000:
+            self.clear()
+        self[word] = out = word not in STOP and is_content_word(word)
+        return out
+
+
+_kept = _Kept()
 
-def phrase_rows(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, phrase) for each occurrence of a candidate phrase."""
-    return docs.select(F.col(doc).alias("doc"), F.explode(T.phrases(F.col(text))).alias("phrase"))
+
+def candidate_phrases(text: str | None) -> list[tuple[str, ...]]:
+    """T-04, T-06: maximal runs of content words in each segment, of at most ``LONGEST`` words, repeats included."""
+    out = []
+    for segment in _SEPARATOR.split(plain_text(text or "")):
+        run: list[str] = []
+        for word in [*_SPACE.split(segment), ""]:
+            if word and _kept[word]:
+                run.append(word)
+            elif word or run:
+                if 0 < len(run) <= LONGEST:
+                    out.append(tuple(run))
+                run = []
+    return out
+
+
+def scored_phrases(text: str | None) -> dict[str, float]:
+    """T-07: the distinct phrases of a document; a phrase scores the sum of degree over frequency of its words."""
+    found = candidate_phrases(text)
+    degree: Counter[str] = Counter()
+    times: Counter[str] = Counter()
+    for phrase in found:
+        for word in phrase:
+            degree[word] += len(phrase)
+            times[word] += 1
+    return {" ".join(p): sum(degree[w] / times[w] for w in p) for p in dict.fromkeys(found)}
 
 
 def rake_scores(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """T-07, A-05: (doc, phrase, score); a phrase scores the sum of degree over frequency of its words in the document.
+    """T-07, A-05: (doc, phrase, score) of the distinct phrases of each row.
 
-    The ratios are by (document, word) and meet the distinct phrases' words again on that key.
+    A score is a statistic of one document, so the texts are read once, an
+    Arrow batch at a time, and no word is shuffled.
     """
-    rows = docs.select(F.col(doc).alias("doc"), T.phrases(F.col(text)).alias("phrases")).filter(F.size("phrases") > 0)
-    exploded = rows.select("doc", F.posexplode("phrases").alias("at", "phrase")).select("doc", "at", "phrase", F.split("phrase", " ").alias("words"))
-    words = exploded.select("doc", F.size("words").alias("n"), F.explode("words").alias("word"))
-    ratio = words.groupBy("doc", "word").agg((F.sum("n") / F.count(F.lit(1))).alias("ratio"))
-    distinct = exploded.select("doc", "phrase", "words").dropDuplicates(["doc", "phrase"])
-    parts = distinct.select("doc", "phrase", F.explode("words").alias("word")).join(ratio, ["doc", "word"])
-    return parts.groupBy("doc", "phrase").agg(F.sum("ratio").alias("score"))
+    schema = S.StructType([S.StructField("doc", docs.schema[doc].dataType), S.StructField("phrase", S.StringType()), S.StructField("score", S.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                rows, phrases, scores = [], [], []
+                for row, t in enumerate(part.column(1).to_pylist()):
+                    found = scored_phrases(t)
+                    rows += [row] * len(found)
+                    phrases += found.keys()
+                    scores += found.values()
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int32())), pa.array(phrases, pa.string()), pa.array(scores, pa.float64())], names=["doc", "phrase", "score"])
+
+    return docs.select(F.col(doc), F.col(text).cast("string")).mapInArrow(run, schema)
+
+
+def phrase_rows(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, phrase) for each distinct candidate phrase of each row."""
+    return rake_scores(docs, doc, text).select("doc", "phrase")
 
 
 def accumulate(scored: DataFrame, min_docs: int = 3, samples: int = 3) -> DataFrame:
@@ -71,9 +149,23 @@ def field_concentration(links: DataFrame, labels: DataFrame, prior: DataFrame, m
     return part.select("phrase", "labelled", (F.col("kl") + rest).alias("concentration"))
 
 
+# Stock phrases that concentration doesn't tell from concepts.
+REGISTER_PHRASES = (
+    "main theorem", "short proof", "rigorous proof", "mild assumptions", "suitable assumptions", "additional assumptions", "additional assumption", "general assumptions",
+    "simple proof", "simple proofs", "elementary proof", "alternative proof", "easy proof", "shorter proof", "complete proof", "complete proofs", "direct proof", "proof relies",
+    "simplified proof", "detailed proof", "proof involves", "proof follows", "proof consists", "simpler proof",
+    "wide class", "general class", "special class", "special classes", "broad class", "larger class", "wider class", "different classes",
+    "basic properties", "general properties", "main properties", "following properties", "nice properties", "special properties", "interesting properties", "remarkable properties",
+    "revised version", "expanded version", "final version", "effective version", "general version", "simplified version", "refined version", "relative version",
+    "part ii", "part iii", "last section", "final section", "main part", "last part", "third part",
+    "interesting examples", "illustrative examples", "important example", "important examples", "specific example", "typical example",
+    "general conjecture", "conjecture stated", "conjecture made", "conjecture holds",
+)
+
+
 def boilerplate(candidates: DataFrame, most: float = 0.22) -> DataFrame:
-    """Phrases that a known, low concentration marks as belonging to no field."""
-    return candidates.filter(F.col("concentration").isNotNull() & (F.col("concentration") < most))
+    """Phrases that belong to no field: by a known, low concentration, or as known stock phrases."""
+    return candidates.filter((F.col("concentration").isNotNull() & (F.col("concentration") < most)) | F.col("phrase").isin(*REGISTER_PHRASES))
 
 
 def ground(phrases: DataFrame, codes: DataFrame, longest: int = 4) -> DataFrame:

@@ -1,11 +1,13 @@
 """Writes as table rewrites: upserts, interning, pruning, nested exports, manifests.
 
 Spark files are immutable, so a mutation is a new version of a table: made,
-written beside the old one, and then published by ``publish``.
+written beside the old one, and then made current by ``publish``.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,23 +57,51 @@ def insert_or_ignore(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).distinct()
 
 
+#: The file that names a published table's version.
+POINTER = "CURRENT"
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The current version of a published table and the one before it, as far as there are any."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
+    if not file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file):
+        return []
+    return [r.value for r in spark.read.text(f"{path}/{POINTER}").collect()]
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table last published at ``path``, or none."""
+    found = _versions(spark, path)
+    return spark.read.parquet(f"{path}/{found[0]}") if found else None
+
+
+def point(spark: SparkSession, path: str, versions: list[str]) -> None:
+    """Make a version current: one file is written and moved over the pointer in one step."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    made, target = (jvm.org.apache.hadoop.fs.Path(f"{path}/{x}") for x in (f"{POINTER}-{uuid.uuid4().hex}", POINTER))
+    out = made.getFileSystem(conf).create(made)
+    out.write(bytearray("\n".join(versions), "utf-8"))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(made.toUri(), conf).rename(made, target, how)
+
+
 def publish(df: DataFrame, path: str) -> str:
-    """K-02, K-20: replace the table at ``path`` whole: write beside it, then swap by renaming.
+    """K-02, K-20: replace the table at ``path`` whole.
 
-    A failed write leaves the old table as it was.
+    Each version is a folder; readers follow the pointer, which names a whole
+    version at any time. A failure before the pointer moves leaves the old
+    version current. The version before the current one stays for readers that
+    have begun; older ones go.
     """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    staged, old = f"{path}.staged", f"{path}.old"
-    df.write.mode("overwrite").parquet(staged)
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    if fs.exists(target):
-        remove(spark, old)
-        fs.rename(target, jvm.org.apache.hadoop.fs.Path(old))
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staged), target)
-    remove(spark, old)
+    before = _versions(spark, path)
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    point(spark, path, [version, *before[:1]])
+    for old in before[1:]:
+        remove(spark, f"{path}/{old}")
     return path
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as named in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a temporary
-    folder is made, and the setting is then kept for the session.
+    Only where that setting is absent and the master is one machine (tests) a
+    temporary folder is made, and the setting is then kept for the session.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="axiomata-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,6 +41,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Levels:
+    """A table that grows by a written level each round; a plan over it reads one folder, however many rounds there were."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.number, self.schema = spark, new_folder(spark, name), 0, None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write the next level and return it."""
+        path = f"{self.folder}/round={self.number}"
+        df.write.parquet(path)
+        self.number, self.schema = self.number + 1, df.schema
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        """All levels so far."""
+        return self.spark.read.schema(self.schema).parquet(self.folder).select(self.schema.names)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that no later plan reads."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -104,7 +104,7 @@ def verdicts(df: DataFrame, text: str) -> DataFrame:
     """P-15: ``df`` with the verdict of the last JSON object in a model's answer; malformed if there is none."""
     found = F.regexp_extract_all(F.col(text), F.lit(r'\{[^{}]*"verdict"[^{}]*\}'), F.lit(0))
     value = F.get_json_object(F.element_at(F.when(F.size(found) > 0, found), -1), "$.verdict")
-    known = F.lower(value).isin("correct", "incorrect", "malformed", "uncertain")
+    known = F.lower(value).isin("correct", "incorrect", "malformed")
     return df.withColumn("verdict", F.when(known, F.lower(value)).otherwise("malformed"))
 
 

@@ -18,7 +18,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def upsert_stream(rows: DataFrame, path: str, checkpoint: str, key: list[str], version: str, keep: tuple[str, ...] = ()) -> StreamingQuery:
-    """K-01 on a stream: each micro-batch is merged into the table at ``path``, which is swapped whole.
+    """K-01 on a stream: each micro-batch is merged into the table published at ``path``, which is swapped whole.
 
     A batch that runs again after a failure gives the same table, so rows count
     once however often they arrive.
@@ -27,7 +27,8 @@ def upsert_stream(rows: DataFrame, path: str, checkpoint: str, key: list[str], v
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = sinks.upsert(batch.limit(0), batch, key, version, keep)
-        old = spark.read.parquet(path) if exists(spark, path) else new.limit(0)
+        old = sinks.published(spark, path)
+        old = new.limit(0) if old is None else old
         sinks.publish(sinks.upsert(old, new, key, version, keep), path)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -52,12 +52,46 @@ def test_spine_and_layers(spark):
 
 def test_rejected_edges_stay_rejected(spark):
     log = [(1, 1, 2, "k", "propose"), (2, 1, 2, "k", "accept"), (3, 1, 2, "k", "reject"), (4, 1, 2, "k", "accept"), (5, 1, 2, "m", "accept"), (6, 3, 4, "k", "propose"), (7, 3, 4, "m", "accept"), (8, 3, 4, "n", "accept")]
-    states = graph.edge_states(spark.createDataFrame(log, "id long, src long, dst long, kind string, action string"))
-    assert {(r.src, r.kind): r.status for r in states.collect()} == {(1, "k"): "rejected", (1, "m"): "accepted", (3, "k"): "proposed", (3, "m"): "accepted", (3, "n"): "accepted"}
-    assert [(r.src, r.kinds) for r in graph.exclusive_conflicts(states).collect()] == [(3, "m,n")]
-    assert [(r.src, r.kind) for r in graph.competing(states).collect()] == [(3, "k")]
+    events = spark.createDataFrame(log, "id long, src long, dst long, kind string, action string")
+    assert {(r.src, r.kind): r.status for r in graph.edge_states(events).collect()} == {(1, "k"): "rejected", (1, "m"): "accepted", (3, "k"): "rejected", (3, "m"): "accepted", (3, "n"): "refused"}
+    assert [(r.src, r.kind, r.refused) for r in graph.exclusive_conflicts(events).collect()] == [(3, "n", 1)]
+    assert [(r.src, r.kind) for r in graph.competing(events).collect()] == [(3, "k")]
 
 
+def test_an_equivalence_stands_in_both_directions(spark):
+    e, i, s = graph.EQUIVALENCE, graph.IMPLICATION, graph.SPECIALIZATION
+    log = [(1, 1, 2, i, "propose"), (2, 2, 1, s, "propose"), (3, 2, 1, e, "accept"), (4, 2, 1, i, "accept"), (5, 5, 6, i, "accept"), (6, 6, 5, i, "accept"), (7, 6, 5, e, "accept"), (8, 6, 5, i, "reject"), (9, 5, 6, e, "accept"), (10, 5, 6, i, "reject"), (11, 5, 6, e, "accept")]
+    events = spark.createDataFrame(log, "id long, src long, dst long, kind string, action string")
+    got = {(r.src, r.dst, r.kind): (r.status, r.refused, r.suppressed) for r in graph.edge_log(events).collect()}
+    assert got[1, 2, e] == ("accepted", 0, False) and got[1, 2, i][0] == got[2, 1, s][0] == "rejected" and got[1, 2, i][2] and got[2, 1, s][2]
+    assert got[2, 1, i] == ("refused", 1, False)
+    assert got[5, 6, i][0] == got[6, 5, i][0] == "rejected" and got[5, 6, e] == ("accepted", 2, False)
+
+
+def test_long_chains_keep_short_plans(spark):
+    own = spark.createDataFrame([(k, k + 1) for k in range(24)], "src long, dst long")
+    starts = spark.createDataFrame([(0,)], "id long")
+    for found in (graph.reachable(own, starts), graph.chain_depths(own), graph.spines(own, starts)):
+        assert found.count() == 25
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 1
+
+
+def test_qualified_names(spark):
+    rows = [(1, "group"), (2, "abelian_group"), (3, "free-group-action"), (4, "subgroup"), (5, "commring"), (6, "ring"), (7, "Group"), (8, None), (9, "group_action"), (10, "finite_subgroup")]
+    got = {(r.src, r.dst) for r in graph.qualified_names(spark.createDataFrame(rows, "id long, name string")).collect()}
+    assert got == {(1, 2), (7, 2), (1, 3), (7, 3), (9, 3), (6, 5), (1, 10), (7, 10), (4, 10)}
+
+
+def test_hidden_and_omitted(spark):
+    own = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 5), (5, 6), (2, 4)], "src long, dst long")
+    roots = spark.createDataFrame([(1,)], "id long")
+    shown = graph.layers(own, roots, graph.spines(own, roots), depth=2, per_layer=1)
+    assert {(r.depth, r.node) for r in shown.collect()} == {(0, 1), (1, 2), (2, 5)}
+    assert {(r.node, r.unseen) for r in graph.hidden(own, shown).collect()} == {(1, 2), (2, 1), (5, 1)}
+    assert [tuple(r) for r in graph.omitted(own, shown, 2).collect()] == [(1, 3)]
+    policies = own.selectExpr("*", "case when dst < 4 then 'default_traversal' when dst = 4 then 'visible_only' end as policy")
+    assert graph.traversable(policies, True).count() == 2 and graph.traversable(policies, False).count() == 6
+
 def test_proposals(spark):
     rows = [(1, "a", "h", [1, 2]), (2, "b", "h", [2, 1]), (3, "c", "h", [1, 1, 2]), (4, "a_iff_b", "x4", []), (5, "c_of_a", "x5", []), (6, "Cor_c", "x6", []), (7, "a_implies_b", "x7", []), (8, "finite_group", "x8", []), (9, "group", "x9", [])]
     judgments = spark.createDataFrame(rows, "id long, name string, hash string, context array<long>")

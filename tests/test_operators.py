@@ -17,10 +17,12 @@ def test_text_functions(spark):
     assert column(spark, T.canonical_key, "Kähler manifolds", "Kaehler-Manifold", "classes", "series", "analysis", "théories", "boxes", "gas_es") == ["kahler manifold", "kahler manifold", "class", "series", "analysis", "theory", "box", "gas es"]
     assert column(spark, T.strip_old_ids, "see math.AG/0102003 and x/01020034") == ["see   and x/01020034"]
     assert column(spark, T.unescape_tex_accents, 'G\\"{o}del Poincar\\\'e') == ["Gödel Poincaré"]
-    assert column(spark, T.phrases, "The finite p-group, of x1 rank; -bad word") == [["finite p-group", "rank", "word"]]
-    assert column(spark, T.query_tokens, "the Gas of rings", "the of") == [["gas", "ring"], ["the", "of"]]
+    assert column(spark, T.unescape_tex_accents, "\\'Etale \\'{A \\~{a}") == ["Étale Á ã"]
+    assert column(spark, T.query_tokens, "the Gas of rings", "the of", "how to define one ring") == [["gas", "ring"], ["the", "of"], ["one", "ring"]]
+    labels = spark.createDataFrame([(["math-ph", "math.MP", "cs.IT"],), (["math.NA", "cs.NA", "stat.TH"],)], "c array<string>")
+    assert [r[0] for r in labels.select(T.field_labels(F.col("c"))).collect()] == [["math.IT", "math.MP"], ["math.NA", "math.ST"]]
     assert column(spark, T.identifier_tokens, "addCommGroup_of2x") == [["add", "comm", "group", "of", "2", "x"]]
-    assert column(spark, T.math_symbols, "∀ x ∈ ℝ ∀") == [["∀", "∈", "ℝ"]]
+    assert column(spark, T.math_symbols, "∀ x ∈ ℝ ∀ ‖α‖ 𝔽 ⌀") == [["∀", "∈", "ℝ", "‖", "α", "𝔽"]]
     assert column(spark, T.first_year, "in 1850 or 2001 or 1999", "none") == [2001, None]
     assert column(spark, T.cited_id, "x arXiv:2001.12345 y", "arXiv: math.AG/0102003", "no") == ["2001.12345", "math.AG/0102003", None]
     assert column(spark, lambda c: T.is_specialization(c, F.lit("finite group")), "finite group", "a finite group", "finite simple group") == [False, True, False]
@@ -28,6 +30,30 @@ def test_text_functions(spark):
     assert len(T.ACCENTED) == len(T.PLAIN)
 
 
+def phrases(text):
+    return [" ".join(p) for p in keyphrases.candidate_phrases(text)]
+
+
+def test_candidate_phrases():
+    assert phrases("The finite p-group, of x1 rank; -bad word") == ["finite p-group", "rank", "word"]
+    assert phrases(None) == phrases("") == phrases("of the a1 1 x") == []
+    assert phrases("one two three four five six. one two three four five six seven") == ["one two three four five six"]
+    assert phrases('see math/9912150, the Schr\\"{o}dinger operator in \\mathfrak{g}') == ["schrödinger operator"]
+    numerals = phrases("The genus one curve. The genus two curve. The genus three curve.")
+    assert {"genus one curve", "genus two curve", "genus three curve"} <= set(numerals)
+    junk = " ".join(phrases("The approach based here. The following property. The manifold admits a metric. The corresponding bundle. The polynomials satisfy this. The spaces having this. The pairs consisting of this. The constant depending on this. The conjecture implies this. The conditions required here.")).split()
+    assert not set(junk) & {"based", "following", "admits", "corresponding", "satisfy", "having", "consisting", "depending", "implies", "required"}
+    real = ["associated primes", "generating functions", "defining relations", "induced representations", "universal cover", "lie algebra", "implied volatility"]
+    assert set(real) <= set(phrases(". ".join(f"The {p}" for p in real)))
+    assert not {"-1", "-2", "-n", "--"} & set(" ".join(phrases("We show that $f(-1) = -2$ and $g(-n) = -3$, unlike $h(--) = 0$.")).split())
+
+
+def test_stock_phrases_are_boilerplate(spark):
+    rows = [("main theorem", 0.9), ("moduli space", 0.9), ("general thing", 0.1), ("rare thing", None)]
+    df = spark.createDataFrame(rows, "phrase string, concentration double")
+    assert {r.phrase for r in keyphrases.boilerplate(df).collect()} == {"main theorem", "general thing"}
+
+
 def test_rake_by_hand(spark):
     docs = spark.createDataFrame([(1, "finite group, finite simple group and group"), (2, ""), (3, None)], "d long, t string")
     got = {(r.doc, r.phrase): r.score for r in keyphrases.rake_scores(docs, "d", "t").collect()}

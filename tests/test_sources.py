@@ -18,6 +18,11 @@ def test_expressions():
     assert shown("a -> b -> c") == "(a → (b → c))" and shown("a - b - c") == "((a - b) - c)" and shown("2 ^ 3 ^ x") == "(2 ^ (3 ^ x))"
     assert shown("f (g x) y ∧ ¬ p") == "(f (g x) y ∧ ¬p)"
     assert expressions.parse("a +")[1] == "partial" and expressions.parse(")")[1] == "failed" and expressions.parse("")[1] == "failed" and expressions.parse(None)[1] == "failed"
+    deep = expressions.parse("(" * 3000 + "x" + ")" * 3000)
+    assert deep[1] == "full" and expressions.canonical(deep[0]) == "C1:x"
+    long, _ = expressions.parse(" + ".join(f"x{k}" for k in range(3000)))
+    assert expressions.display(long).startswith("(" * 2999) and expressions.canonical(long).count("C1:+") == 2999
+    assert expressions.parse("λ x, " * 2000 + "x")[1] == "full" and expressions.parse("¬ " * 3000 + "p")[1] == "full"
     assert expressions.fnv1a(b"") == "cbf29ce484222325" and expressions.fnv1a(b"a") == "af63dc4c8601ec8c"
 
 
@@ -101,7 +106,7 @@ def test_archives(spark, tmp_path):
     assert {r.path[-1]: r.source for r in readers.archives(spark, str(tmp_path)).collect()} == {"1": "\\a\n\\b", "2": "\\one", "3": None, "4": None}
 
 
-def test_upserts_and_publishing(spark, tmp_path):
+def test_upserts_and_publishing(spark, tmp_path, monkeypatch):
     old = spark.createDataFrame([(1, 1, "a", 10), (2, 5, "b", 20)], "k long, v long, x string, born long")
     new = spark.createDataFrame([(1, 2, "c", 99), (2, 4, "late", 99), (3, 1, "n", 99)], "k long, v long, x string, born long")
     made = sinks.upsert(old, new, ["k"], "v", keep=("born",))
@@ -112,8 +117,12 @@ def test_upserts_and_publishing(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     for n in (3, 5):
         sinks.publish(spark.range(n), path)
-        assert spark.read.parquet(path).count() == n
-    assert sinks.manifest(spark, [str(tmp_path / "t")]).count() >= 1
+        assert sinks.published(spark, path).count() == n
+    monkeypatch.setattr(sinks, "point", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):  # a crash before the pointer moves
+        sinks.publish(spark.range(9), path)
+    assert sinks.published(spark, path).count() == 5 and sinks.published(spark, f"{path}x") is None
+    assert sinks.manifest(spark, [f"{tmp_path}/t/CURRENT"]).count() == 1
 
 
 def test_streams_are_idempotent(spark, tmp_path):
@@ -124,7 +133,7 @@ def test_streams_are_idempotent(spark, tmp_path):
         stream = lambda: spark.readStream.schema(schema).parquet(source)
         incremental.upsert_stream(stream(), f"file://{table}", f"{tmp_path}/c1", ["k"], "v").awaitTermination()
         incremental.append_new(stream(), f"file://{appended}", f"{tmp_path}/c2", ["k"]).awaitTermination()
-    assert {tuple(r) for r in spark.read.parquet(table).select("k", "v").collect()} == {(1, 2), (2, 1), (3, 1)}
+    assert {tuple(r) for r in sinks.published(spark, f"file://{table}").select("k", "v").collect()} == {(1, 2), (2, 1), (3, 1)}
     assert sorted(r.k for r in spark.read.parquet(appended).collect()) == [1, 2, 3]
 
 
