@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..plans.stages import written
 from ..session import table
 
 EDGES_SQL = """
@@ -52,35 +53,6 @@ def collapsed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.collapse(edges(spark, sf_dir), _reps(spark, sf_dir))
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One edge in ten, so that paths have some length."""
-    return edges(spark, sf_dir).filter("status = 'accepted' and (src * 7 + dst) % 10 = 3")
-
-
-SPARSE_SQL = f"{EDGES_SQL}, sp AS (SELECT * FROM edges WHERE status = 'accepted' AND (src * 7 + dst) % 10 = 3)"
-
-
-def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = table(spark, sf_dir, "part").filter("p_partkey < 5").select(F.col("p_partkey").alias("id"))
-    return G.reachable(_sparse(spark, sf_dir), starts, 6)
-
-
-def shortest_composable_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = table(spark, sf_dir, "part").filter("p_partkey < 5").select(F.col("p_partkey").alias("id"))
-    found = G.derivations(_sparse(spark, sf_dir), starts, 4)
-    return found.select("start", "node", "kind", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
-
-
-_COMPOSED = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in G.COMPOSED)
-PATH_SQL = f"""
-WITH RECURSIVE {SPARSE_SQL}, comp(kind, next, composed) AS (VALUES {_COMPOSED}),
-walk AS (
-  SELECT src AS start, dst AS node, kind, 1 AS depth, [id] AS path FROM sp WHERE src < 5
-  UNION SELECT w.start, e.dst, c.composed, w.depth + 1, list_append(w.path, e.id) FROM walk w JOIN sp e ON e.src = w.node JOIN comp c ON c.kind = w.kind AND c.next = e.kind WHERE w.depth < 4)
-SELECT start, node, kind, min(depth) AS depth, array_to_string(arg_min(path, (depth, path)), ',') AS path FROM walk GROUP BY start, node, kind
-"""
-
-
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn depends on the two turns before it; a node is conv_id * 100 + turn."""
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn")
@@ -96,6 +68,21 @@ def chain_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.chain_depths(turns(spark, sf_dir))
 
 
+def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-06: what each turn depends on, over any number of steps."""
+    starts = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"))
+    return G.reachable(turns(spark, sf_dir), starts)
+
+
+def shortest_composable_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-07: from each turn; the kind of a dependency follows from its ends."""
+    own = turns(spark, sf_dir)
+    kinds = F.array(*[F.lit(k) for k in (G.EQUIVALENCE, G.IMPLICATION, G.SPECIALIZATION, G.GENERALIZATION)])
+    typed = own.select((F.col("src") * 10 + F.col("src") - F.col("dst")).alias("id"), "src", "dst", F.get(kinds, ((F.col("src") * 3 + F.col("dst")) % 4).cast("int")).alias("kind"))
+    found = G.derivations(typed, own.select(F.col("src").alias("id")).distinct())
+    return found.select("start", "node", "kind", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+
+
 def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("t")).select((F.col("conv_id") * 100 + F.col("t")).alias("id"))
 
@@ -116,6 +103,14 @@ def lineage_layers_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.layers(own, roots, G.spines(own, roots), depth=4, per_layer=1)
 
 
+def lineage_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-17: shown turns with dependencies that aren't shown, and the candidates that found no place."""
+    own, roots = turns(spark, sf_dir), _roots(spark, sf_dir)
+    shown = written(G.layers(own, roots, G.spines(own, roots), depth=4, per_layer=1), "shown")
+    unseen = G.hidden(own, shown).select("root", "node", F.col("unseen").alias("n"))
+    return unseen.union(G.omitted(own, shown, 4).filter("omitted > 0").select("root", F.lit(-1).cast("long"), "omitted"))
+
+
 def spine_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = turns(spark, sf_dir)
     out = G.spine_outline(own, G.spines(own, _roots(spark, sf_dir)))
@@ -160,12 +155,19 @@ def equal_statement_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names by pattern: the parts' own, and some built from them."""
-    own = judgments(spark, sf_dir)
-    marks = F.array(*[F.lit(x) for x in ("_iff_", "_of_", "_implies_", "_to_", "_generalizes_")])
-    built = own.filter("id < 200").select((F.col("id") + 1_000_000).alias("id"), F.concat("name", F.get(marks, (F.col("id") % 5).cast("int")), F.lit("red_ring")).alias("name"), F.concat(F.lit("x"), "id").alias("hash"), F.array().cast("array<bigint>").alias("context"))
-    cor = own.filter("id < 20").select((F.col("id") + 2_000_000).alias("id"), F.concat(F.lit("Cor_"), "name").alias("name"), F.concat(F.lit("y"), "id").alias("hash"), F.array().cast("array<bigint>").alias("context"))
-    return own.select("id", "name", "hash", "context").union(built).union(cor)
+    """A judgment for each name of a part, and others whose names are built from these."""
+    own = judgments(spark, sf_dir).groupBy("name").agg(F.min_by(F.struct("id", "hash", "context"), "id").alias("r")).select("r.id", "name", "r.hash", "r.context")
+    pick = lambda words: F.get(F.array(*[F.lit(x) for x in words]), (F.col("id") % len(words)).cast("int"))
+    none = F.array().cast("array<bigint>").alias("context")
+    built = lambda shift, name: own.select((F.col("id") + shift).alias("id"), name.alias("name"), F.concat(F.lit("x"), F.col("id") + shift).alias("hash"), none)
+    parts = [built(1_000_000, F.concat("name", pick(MARKS), F.lit("red_ring"))), built(2_000_000, F.concat(F.lit("Cor_"), "name")), built(3_000_000, F.concat(pick(G.QUALIFIERS), F.lit("-"), "name"))]
+    for p in parts:
+        own = own.union(p)
+    return own
+
+
+#: Marks of the names that are built.
+MARKS = ("_iff_", "_of_", "_implies_", "_to_", "_generalizes_")
 
 
 def name_pattern_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,9 +175,12 @@ def name_pattern_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.name_pattern(own, "_implies_", G.IMPLICATION, 0.55).union(G.name_pattern(own, "_of_", G.IMPLICATION, 0.4, swap=True, distinct_from_self=True)).union(G.corollaries(own)).distinct()
 
 
+_MARKS = ", ".join(f"'{m}'" for m in MARKS)
+_QUALIFIERS = ", ".join(f"'{q}'" for q in G.QUALIFIERS)
 NAMED_SQL = f"""{JUDGMENTS_SQL},
-n AS (SELECT id, lower(name) AS name FROM j UNION ALL
-  SELECT id + 1000000, lower(name || ['_iff_', '_of_', '_implies_', '_to_', '_generalizes_'][id % 5 + 1] || 'red_ring') FROM j WHERE id < 200 UNION ALL SELECT id + 2000000, 'cor_' || lower(name) FROM j WHERE id < 20)"""
+o AS (SELECT name, min(id) AS id, arg_min(hash, id) AS hash, arg_min(context, id) AS context FROM j GROUP BY name),
+n AS (SELECT id, lower(name) AS name FROM o UNION ALL SELECT id + 1000000, lower(name || [{_MARKS}][id % {len(MARKS)} + 1] || 'red_ring') FROM o
+  UNION ALL SELECT id + 2000000, 'cor_' || lower(name) FROM o UNION ALL SELECT id + 3000000, lower([{_QUALIFIERS}][id % {len(G.QUALIFIERS)} + 1] || '-' || name) FROM o)"""
 NAMES_SQL = f"""
 WITH {NAMED_SQL},
 last AS (SELECT name, max(id) AS id FROM n GROUP BY name),
@@ -188,8 +193,41 @@ SELECT DISTINCT last.id, n.id, 'implication', 0.3::DOUBLE FROM n JOIN last ON la
 
 
 def qualifier_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = _named(spark, sf_dir).unionByName(spark.createDataFrame([(3_000_000, "ring", "z", []), (3_000_001, "gear", "z2", []), (3_000_002, "widget", "z3", [])], "id long, name string, hash string, context array<bigint>"))
-    return G.qualified_names(short)
+    return G.qualified_names(_named(spark, sf_dir))
+
+
+QUALIFIED_SQL = f"""u AS (SELECT id, replace(name, '-', '_') AS name FROM n),
+qn AS (SELECT g.id AS src, s.id AS dst FROM u g JOIN u s ON contains(s.name, g.name) AND s.name <> g.name WHERE {' OR '.join(f"contains(replace(s.name, g.name, ''), '{q}')" for q in G.QUALIFIERS)})"""
+
+
+def _mark_sql(rule: int, mark: str, kind: str, confidence: float, swap: bool = False, every: bool = False, distinct: bool = False) -> str:
+    """One rule on names in SQL."""
+    src, dst = ("b.id", "a.id") if swap else ("a.id", "b.id")
+    of = "n" if every else "lst"
+    cut = f"instr(x.name, '{mark}')"
+    return f"""SELECT {src} AS src, {dst} AS dst, '{kind}' AS kind, {confidence}::DOUBLE AS confidence, {rule} AS rule FROM n x JOIN {of} a ON a.name = substr(x.name, 1, {cut} - 1) JOIN {of} b ON b.name = substr(x.name, {cut} + {len(mark)})
+      WHERE {cut} > 1 AND {cut} + {len(mark)} <= length(x.name) AND a.id <> b.id{' AND a.id <> x.id AND b.id <> x.id' if distinct else ''}"""
+
+
+RULES_SQL = " UNION ALL ".join([
+    "SELECT CASE WHEN eq OR up THEN i ELSE j END AS src, CASE WHEN eq OR up THEN j ELSE i END AS dst, CASE WHEN eq THEN 'equivalence' ELSE 'specialization' END AS kind, CASE WHEN eq THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END AS confidence, 0 AS rule FROM op WHERE eq OR up OR down",
+    _mark_sql(1, "_iff_", G.EQUIVALENCE, 0.45, every=True),
+    _mark_sql(2, "_equiv_", G.EQUIVALENCE, 0.45, every=True),
+    "SELECT src, dst, 'specialization', 0.35::DOUBLE, 3 FROM qn",
+    _mark_sql(4, "_of_", G.IMPLICATION, 0.4, swap=True, distinct=True),
+    _mark_sql(5, "_from_", G.IMPLICATION, 0.4, swap=True, distinct=True),
+    _mark_sql(6, "_to_", G.IMPLICATION, 0.4, distinct=True),
+    _mark_sql(7, "_implies_", G.IMPLICATION, 0.55),
+    _mark_sql(8, "_entails_", G.IMPLICATION, 0.55),
+    _mark_sql(9, "_generalizes_", G.SPECIALIZATION, 0.5),
+    _mark_sql(10, "_specializes_", G.SPECIALIZATION, 0.5, swap=True),
+    "SELECT lst.id, n.id, 'implication', 0.3::DOUBLE, 11 FROM n JOIN lst ON lst.name = regexp_extract(n.name, '^(corollary|coroll|cor)_(.+)$', 2) WHERE lst.id <> n.id",
+])
+PROPOSALS_SQL = f"""WITH {NAMED_SQL}, lst AS (SELECT name, max(id) AS id FROM n GROUP BY name), {QUALIFIED_SQL},
+op AS (SELECT a.id AS i, b.id AS j, a.context = b.context AS eq, list_has_all(b.context, a.context) AS up, list_has_all(a.context, b.context) AS down FROM o a JOIN o b ON a.hash = b.hash AND a.id < b.id),
+every_ AS ({RULES_SQL}),
+keyed AS (SELECT *, CASE WHEN kind = 'equivalence' THEN least(src, dst) ELSE src END AS a, CASE WHEN kind = 'equivalence' THEN greatest(src, dst) ELSE dst END AS b FROM every_)
+SELECT src, dst, kind, confidence, rule FROM keyed QUALIFY row_number() OVER (PARTITION BY a, b, kind ORDER BY rule, src, dst) = 1"""
 
 
 def morphism_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,10 +241,27 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("src"), (F.col("event_id") % 40).alias("dst"), kind.alias("kind"), action.alias("action"))
 
 
-STATES_SQL = """
+def _step(own: str, other: str) -> tuple[str, str, str, str]:
+    """What an event does to the status of its own edge and of the other kind's, to the refusals and to the suppression."""
+    open_ = f"{own} IN ('none', 'refused', 'proposed')"
+    new = f"""CASE action WHEN 'reject' THEN 'rejected' WHEN 'propose' THEN CASE WHEN {own} IN ('none', 'refused') THEN 'proposed' ELSE {own} END
+      ELSE CASE WHEN NOT {open_} THEN {own} WHEN {other} = 'accepted' THEN CASE WHEN {own} = 'none' THEN 'refused' ELSE {own} END ELSE 'accepted' END END"""
+    hit = f"action = 'accept' AND {open_} AND {other} = 'proposed'"
+    return new, f"CASE WHEN {hit} THEN 'rejected' ELSE {other} END", f"CASE WHEN action = 'accept' AND {open_} AND {other} = 'accepted' THEN 1 ELSE 0 END", hit
+
+
+_A, _B = _step("a", "b"), _step("b", "a")
+#: The log of each pair of nodes folded event by event; a is the implication, b the specialization.
+STATES_SQL = f"""
 ev AS (SELECT event_id AS id, user_id AS src, event_id % 40 AS dst, CASE WHEN event_id % 3 = 0 THEN 'implication' ELSE 'specialization' END AS kind,
   CASE event_type WHEN 'error' THEN 'reject' WHEN 'purchase' THEN 'accept' ELSE 'propose' END AS action FROM events),
-st AS (SELECT src, dst, kind, CASE WHEN bool_or(action = 'reject') THEN 'rejected' WHEN bool_or(action = 'accept') THEN 'accepted' ELSE 'proposed' END AS status FROM ev GROUP BY ALL)
+od AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY id) AS n FROM ev),
+fold AS (SELECT DISTINCT src, dst, 0::BIGINT AS n, 'none' AS a, 'none' AS b, 0 AS ra, 0 AS rb, FALSE AS xa, FALSE AS xb FROM ev
+  UNION ALL SELECT f.src, f.dst, od.n, CASE WHEN kind = 'implication' THEN {_A[0]} ELSE {_B[1]} END, CASE WHEN kind = 'implication' THEN {_A[1]} ELSE {_B[0]} END,
+    ra + CASE WHEN kind = 'implication' THEN {_A[2]} ELSE 0 END, rb + CASE WHEN kind = 'implication' THEN 0 ELSE {_B[2]} END,
+    xa OR (kind = 'specialization' AND {_B[3]}), xb OR (kind = 'implication' AND {_A[3]}) FROM fold f JOIN od ON od.src = f.src AND od.dst = f.dst AND od.n = f.n + 1),
+fin AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY n DESC) = 1),
+st AS (SELECT src, dst, 'implication' AS kind, a AS status, ra::BIGINT AS refused, xa AS suppressed FROM fin WHERE a <> 'none' UNION ALL SELECT src, dst, 'specialization', b, rb::BIGINT, xb FROM fin WHERE b <> 'none')
 """
 
 
@@ -215,25 +270,27 @@ def edge_status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exclusive_kind_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.exclusive_conflicts(G.edge_states(_events(spark, sf_dir)))
+    return G.exclusive_conflicts(_events(spark, sf_dir))
 
 
 def competing_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.competing(G.edge_states(_events(spark, sf_dir)))
+    return G.competing(_events(spark, sf_dir))
 
 
 def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.dangling(table(spark, sf_dir, "orders"), "o_custkey", table(spark, sf_dir, "customer").filter("c_custkey % 10 <> 0"), "c_custkey").select("o_orderkey", "o_custkey")
+    return G.dangling(table(spark, sf_dir, "orders"), "o_custkey", table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'"), "c_custkey").select("o_orderkey", "o_custkey")
 
 
-QUERIES = {f.__name__: f for f in (components_quotient, quotient_classes, collapsed_edges, reachability, shortest_composable_path, chain_depth, lineage_spine, lineage_layers_capped, spine_outline, one_hop_neighborhood, concept_map, equal_statement_pairs, name_pattern_proposals, qualifier_names, morphism_proposals, edge_status_fold, exclusive_kind_conflicts, competing_proposals, dangling_references)}
+QUERIES = {f.__name__: f for f in (components_quotient, quotient_classes, collapsed_edges, reachability, shortest_composable_path, chain_depth, lineage_spine, lineage_layers_capped, lineage_hidden, spine_outline, one_hop_neighborhood, concept_map, equal_statement_pairs, name_pattern_proposals, qualifier_names, morphism_proposals, edge_status_fold, exclusive_kind_conflicts, competing_proposals, dangling_references)}
 
 ORACLES = {
     "components_quotient": f"WITH RECURSIVE {REPS_SQL} SELECT * FROM reps",
     "quotient_classes": f"WITH RECURSIVE {REPS_SQL} SELECT rep, count(*) AS size, string_agg(id::VARCHAR, ',' ORDER BY id) AS members FROM reps GROUP BY rep HAVING count(*) > 1",
     "collapsed_edges": f"WITH RECURSIVE {REPS_SQL} SELECT * FROM collapsed",
-    "reachability": f"WITH RECURSIVE {SPARSE_SQL}, r AS (SELECT p_partkey AS start, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey < 5 UNION SELECT r.start, dst, depth + 1 FROM r JOIN sp ON sp.src = r.node WHERE depth < 6) SELECT start, node, min(depth) AS depth FROM r GROUP BY ALL",
-    "shortest_composable_path": PATH_SQL,
+    "reachability": "SELECT a.conv_id * 100 + a.turn AS start, b.conv_id * 100 + b.turn AS node, ((a.turn - b.turn + 1) // 2)::INT AS depth FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn <= a.turn",
+    "lineage_hidden": """WITH r AS (SELECT conv_id, max(turn) AS t FROM conversations GROUP BY 1), s AS (SELECT conv_id, t, unnest(range(0, least(t, 4) + 1)) AS d FROM r),
+      h AS (SELECT conv_id * 100 + t AS root, conv_id * 100 + t - d AS node, (CASE WHEN t - d >= 1 AND d + 1 > 4 THEN 1 ELSE 0 END + CASE WHEN t - d >= 2 AND d + 2 > 4 THEN 1 ELSE 0 END)::BIGINT AS n FROM s)
+      SELECT * FROM h WHERE n > 0 UNION ALL SELECT conv_id * 100 + t, -1, least(4, t - 1) FROM r WHERE t > 1""",
     "chain_depth": f"WITH RECURSIVE {SPINE_SQL} SELECT n AS node, depth FROM depths",
     "lineage_spine": f"WITH RECURSIVE {SPINE_SQL} SELECT * FROM spine",
     "lineage_layers_capped": f"WITH RECURSIVE {SPINE_SQL} SELECT root, step AS depth, node FROM spine WHERE step <= 4",
@@ -242,11 +299,10 @@ ORACLES = {
     "concept_map": MAP_SQL,
     "equal_statement_pairs": f"WITH {JUDGMENTS_SQL} SELECT CASE WHEN eq OR up THEN i ELSE j END AS src, CASE WHEN eq OR up THEN j ELSE i END AS dst, CASE WHEN eq THEN 'equivalence' ELSE 'specialization' END AS kind, CASE WHEN eq THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END AS confidence FROM pr WHERE eq OR up OR down",
     "name_pattern_proposals": NAMES_SQL,
-    "qualifier_names": f"""WITH {NAMED_SQL}, a AS (SELECT * FROM n UNION ALL VALUES (3000000, 'ring'), (3000001, 'gear'), (3000002, 'widget')), w AS (SELECT id, regexp_split_to_array(name, '[_ ]') AS w FROM a),
-      r AS (SELECT id, array_to_string(w[i:i + n - 1], ' ') AS part, list_concat(w[1:i - 1], w[i + n:len(w)]) AS rest FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT unnest(range(1, 12)) AS n) WHERE len(w) > 1 AND n <= len(w)))
-      SELECT DISTINCT g.id AS src, r.id AS dst, 'specialization' AS kind, 0.35::DOUBLE AS confidence FROM r JOIN w g ON array_to_string(g.w, ' ') = part WHERE list_has_any(rest, [{', '.join(f"'{q}'" for q in G.QUALIFIERS)}]) AND length(part) >= 3 AND g.id <> r.id""",
-    "edge_status_fold": f"WITH {STATES_SQL} SELECT * FROM st",
-    "exclusive_kind_conflicts": f"WITH {STATES_SQL} SELECT src, dst, string_agg(kind, ',' ORDER BY kind) AS kinds FROM st WHERE status = 'accepted' GROUP BY src, dst HAVING count(*) > 1",
-    "competing_proposals": f"WITH {STATES_SQL} SELECT * FROM st p WHERE status = 'proposed' AND EXISTS (SELECT 1 FROM st a WHERE a.src = p.src AND a.dst = p.dst AND a.status = 'accepted')",
-    "dangling_references": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)",
+    "qualifier_names": f"WITH {NAMED_SQL}, {QUALIFIED_SQL} SELECT DISTINCT src, dst, 'specialization' AS kind, 0.35::DOUBLE AS confidence FROM qn",
+    "morphism_proposals": PROPOSALS_SQL,
+    "edge_status_fold": f"WITH RECURSIVE {STATES_SQL} SELECT src, dst, kind, status FROM st",
+    "exclusive_kind_conflicts": f"WITH RECURSIVE {STATES_SQL} SELECT src, dst, kind, refused FROM st WHERE refused > 0",
+    "competing_proposals": f"WITH RECURSIVE {STATES_SQL} SELECT src, dst, kind FROM st WHERE suppressed",
+    "dangling_references": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')",
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import lookups as L
 from ..operators import sinks as K
 from ..operators import vectors as V
 from ..session import table
@@ -13,9 +15,9 @@ from .spaces import KNN_SQL
 
 
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-01: the last state of each user, old and new halves of the log, first time kept."""
+    """K-01: the last state of each user, purchases merged into the other events, first time kept."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.col("event_id").alias("first_seen"))
-    return K.upsert(rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"), ["user_id"], "event_id", keep=("first_seen",))
+    return K.upsert(rows.filter("event_type <> 'purchase'"), rows.filter("event_type = 'purchase'"), ["user_id"], "event_id", keep=("first_seen",))
 
 
 def orphan_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def orphan_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intern_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-05, S-14, T9: ids for (provider, revision) pairs with null revisions."""
-    known = table(spark, sf_dir, "part").filter("p_partkey < 20").groupBy("p_type", F.when(F.col("p_size") > 25, F.col("p_brand")).alias("revision")).agg(F.min("p_partkey").alias("id")).select("id", "p_type", "revision")
+    known = table(spark, sf_dir, "part").filter("p_brand = 'Brand#11'").groupBy("p_type", F.when(F.col("p_size") > 25, F.col("p_brand")).alias("revision")).agg(F.min("p_partkey").alias("id")).select("id", "p_type", "revision")
     values = table(spark, sf_dir, "part").select("p_type", F.when(F.col("p_size") > 25, F.col("p_brand")).alias("revision"))
     return K.intern(values, known, ["p_type", "revision"])
 
@@ -39,7 +41,7 @@ def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anti_join_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-06: what a second load of the same keys adds: the keys that the first had not."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return rows.join(rows.filter("o_orderkey % 3 = 0").select("o_orderkey"), "o_orderkey", "left_anti")
+    return rows.join(table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey"), "o_orderkey", "left_anti")
 
 
 def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +68,7 @@ def head_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def related_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-11, V-14."""
-    pairs = V.top_k(V.exact_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35), 6)
+    pairs = V.top_k(V.similar_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35, 64), 6)
     out = K.related_export(pairs.select(F.col("i").alias("source"), F.col("j").alias("target"), F.col("sim").alias("score")))
     return out.select("source", F.array_join(F.transform("related", lambda r: r["target"].cast("string")), ",").alias("related"))
 
@@ -86,13 +88,12 @@ def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-14: papers without a source, by a seeded order."""
     missing = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-    return missing.orderBy(F.xxhash64("doc_id"), "doc_id").limit(25)
+    return missing.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(25)
 
 
 def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W-06: every tenth part by key, as the operator is defined."""
-    numbered = table(spark, sf_dir, "part").select("p_partkey").withColumn("n", F.row_number().over(Window.orderBy("p_partkey")) - 1)
-    return numbered.filter("n % 10 = 0").select("p_partkey").limit(50)
+    return K.numbered(table(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"], "n").filter("n % 10 = 0").orderBy("n").select("p_partkey").limit(50)
 
 
 def paged_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +102,40 @@ def paged_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incident_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-02..F-05: lines of one part, by optional flags."""
-    return table(spark, sf_dir, "lineitem").filter("l_partkey = 7 and l_returnflag = 'A'").select("l_orderkey", "l_linenumber", "l_suppkey")
+    """F-02: lines of one part, by optional flags."""
+    return L.where(table(spark, sf_dir, "lineitem"), l_partkey=7, l_returnflag="A", l_linestatus=None).select("l_orderkey", "l_linenumber", "l_suppkey")
+
+
+def adjacency_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-03: suppliers as what a part depends on, parts as what depends on a supplier."""
+    return L.adjacent(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")), 7)
+
+
+def equality_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-04: by name, and by the hash of a statement."""
+    rows = table(spark, sf_dir, "part").withColumn("hash", F.sha2(F.concat_ws("/", "p_type", "p_size"), 256))
+    asked = rows.filter("p_partkey = 7").select("hash")
+    return L.where(rows, p_name="red ring").select("p_partkey", F.lit("name").alias("by")).union(rows.join(asked, "hash", "left_semi").select("p_partkey", F.lit("hash")))
+
+
+def failed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-05: orders as attempts: of one target, of one pattern, of both."""
+    rows = table(spark, sf_dir, "orders")
+    asked = {"target": {"o_custkey": 7, "o_orderpriority": None}, "pattern": {"o_custkey": None, "o_orderpriority": "1-URGENT"}, "both": {"o_custkey": 7, "o_orderpriority": "1-URGENT"}}
+    found = [L.where(rows, **equal).select("o_orderkey", F.lit(name).alias("by")) for name, equal in asked.items()]
+    return found[0].union(found[1]).union(found[2])
+
+
+def listing_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-13: the third page of a listing."""
+    return L.listing(table(spark, sf_dir, "part"), ["p_partkey", "p_name"], ["p_name", "p_partkey"], page=2, size=20, p_type=None)
+
+
+def labels_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-31: the field labels of documents by analogy: two categories for each, aliases among them."""
+    names = F.array(*[F.lit(x) for x in ("math-ph", "math.MP", "cs.IT", "stat.TH", "cs.NA", "math.AG")])
+    pair = F.array(F.get(names, (F.col("doc_id") % 6).cast("int")), F.get(names, (F.col("doc_id") % 5).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.field_labels(pair), ",").alias("labels"))
 
 
 def refuted_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,8 +179,8 @@ def rollup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-08, O-11: union, intersection and difference of keys."""
-    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).filter("k % 2 = 0")
-    b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).filter("k % 3 = 0")
+    a = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"))
+    b = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"))
     label = lambda df, name: df.distinct().withColumn("op", F.lit(name))
     return label(a.union(b), "union").union(label(a.intersect(b), "intersect")).union(label(a.exceptAll(b), "except_all"))
 
@@ -176,17 +209,17 @@ def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, ["user_id", "h"]).filter(f"t > t0 and t <= t0 + {hour}").select("error_id", "event_id")
 
 
-QUERIES = {f.__name__: f for f in (upsert_latest, orphan_prune, intern_keys, insert_or_ignore, anti_join_idempotent, graph_export, taxonomy_export, head_shard, related_export, papers_export, json_export, work_list, stride_sample, paged_listing, incident_edges, refuted_targets, prefix_refs, relation_views, hydrate_records, bridge_join, rollup_report, set_operations, window_frames, asof_join, range_join)}
+QUERIES = {f.__name__: f for f in (upsert_latest, orphan_prune, intern_keys, insert_or_ignore, anti_join_idempotent, graph_export, taxonomy_export, head_shard, related_export, papers_export, json_export, work_list, stride_sample, paged_listing, incident_edges, adjacency_lookups, equality_lookups, failed_attempts, listing_page, labels_canonical, refuted_targets, prefix_refs, relation_views, hydrate_records, bridge_join, rollup_report, set_operations, window_frames, asof_join, range_join)}
 QUERIES |= {f"events_{f.__name__}": f for f in (E.tumbling, E.sliding, E.sessions, E.gaps, E.latest_decisions)}
 
 ORACLES = {
     "upsert_latest": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, min(event_id) AS first_seen FROM events GROUP BY user_id",
     "orphan_prune": "SELECT vec_id AS doc_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
-    "intern_keys": """WITH v AS (SELECT p_partkey, p_type, CASE WHEN p_size > 25 THEN p_brand END AS revision FROM part), k AS (SELECT min(p_partkey) AS id, p_type, revision FROM v WHERE p_partkey < 20 GROUP BY p_type, revision),
+    "intern_keys": """WITH v AS (SELECT p_partkey, p_brand, p_type, CASE WHEN p_size > 25 THEN p_brand END AS revision FROM part), k AS (SELECT min(p_partkey) AS id, p_type, revision FROM v WHERE p_brand = 'Brand#11' GROUP BY p_type, revision),
       f AS (SELECT DISTINCT p_type, revision FROM v EXCEPT SELECT p_type, revision FROM k)
       SELECT * FROM k UNION ALL SELECT (SELECT max(id) FROM k) + row_number() OVER (ORDER BY p_type NULLS FIRST, revision NULLS FIRST), p_type, revision FROM f""",
     "insert_or_ignore": "SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A' UNION SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'",
-    "anti_join_idempotent": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 <> 0",
+    "anti_join_idempotent": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'F'",
     "graph_export": """WITH o AS (SELECT o_custkey AS paper, count(*) AS n, string_agg(o_orderkey || '=' || o_orderpriority, ';' ORDER BY o_orderkey) AS j FROM orders GROUP BY 1), c AS (SELECT user_id AS paper, string_agg(DISTINCT (event_id % 30)::VARCHAR, ',' ORDER BY (event_id % 30)::VARCHAR) AS c, list_sort(list(DISTINCT event_id % 30)) AS l FROM events GROUP BY 1)
       SELECT c_custkey AS paper, coalesce(n, 0) AS judgment_count, coalesce(array_to_string(l, ','), '') AS cites, coalesce(j, '') AS judgments FROM customer LEFT JOIN o ON o.paper = c_custkey LEFT JOIN c ON c.paper = c_custkey""",
     "taxonomy_export": """WITH m AS (SELECT p_type AS field, p_brand AS cluster, p_name AS phrase, count(*) AS n FROM part GROUP BY ALL), c AS (SELECT field, cluster, sum(n) AS w, string_agg(phrase, ',' ORDER BY n DESC, phrase) AS p FROM m GROUP BY ALL)
@@ -196,9 +229,16 @@ ORACLES = {
     "papers_export": """WITH l AS (SELECT DISTINCT l_orderkey AS paper, 'Part ' || (l_partkey % 97) AS concept FROM lineitem), n AS (SELECT paper, count(*) AS n FROM l GROUP BY paper)
       SELECT concept, l.paper, row_number() OVER (PARTITION BY concept ORDER BY contains(lower('On part ' || (o_custkey % 97) || ' and more'), lower(concept)) DESC, n, l.paper) AS rank FROM l JOIN n USING (paper) JOIN orders ON o_orderkey = l.paper QUALIFY rank <= 12""",
     "json_export": "SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS value FROM nation",
+    "work_list": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 25",
     "stride_sample": "SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part) WHERE n % 10 = 0 ORDER BY p_partkey LIMIT 50",
     "paged_listing": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 50",
     "incident_edges": "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_partkey = 7 AND l_returnflag = 'A'",
+    "adjacency_lookups": "SELECT DISTINCT 'out' AS direction, l_suppkey AS node FROM lineitem WHERE l_partkey = 7 UNION SELECT DISTINCT 'in', l_partkey FROM lineitem WHERE l_suppkey = 7",
+    "equality_lookups": "SELECT p_partkey, 'name' AS by FROM part WHERE p_name = 'red ring' UNION ALL SELECT p_partkey, 'hash' FROM part WHERE (p_type, p_size) IN (SELECT (p_type, p_size) FROM part WHERE p_partkey = 7)",
+    "failed_attempts": "SELECT o_orderkey, 'target' AS by FROM orders WHERE o_custkey = 7 UNION ALL SELECT o_orderkey, 'pattern' FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT o_orderkey, 'both' FROM orders WHERE o_custkey = 7 AND o_orderpriority = '1-URGENT'",
+    "listing_page": "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 20 OFFSET 40",
+    "labels_canonical": """WITH n AS (SELECT ['math-ph', 'math.MP', 'cs.IT', 'stat.TH', 'cs.NA', 'math.AG'] AS v), p AS (SELECT doc_id, [v[doc_id % 6 + 1], v[doc_id % 5 + 1]] AS l FROM documents, n)
+      SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(l, lambda x: CASE x WHEN 'math-ph' THEN 'math.MP' WHEN 'cs.IT' THEN 'math.IT' WHEN 'stat.TH' THEN 'math.ST' WHEN 'cs.NA' THEN 'math.NA' ELSE x END))), ',') AS labels FROM p""",
     "refuted_targets": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "prefix_refs": "SELECT DISTINCT c_name FROM customer WHERE c_name LIKE 'Customer#00000000%'",
     "relation_views": """WITH r AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, l_returnflag AS f FROM lineitem) SELECT p AS of, s AS other, CASE WHEN f = 'N' THEN 'equivalent' ELSE 'broader' END AS view FROM r
@@ -206,7 +246,7 @@ ORACLES = {
     "hydrate_records": "SELECT l_orderkey, string_agg(p_name, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS names FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey",
     "bridge_join": "SELECT n_name, l_returnflag, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL",
     "rollup_report": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, grouping(o_orderstatus, o_orderpriority)::BIGINT AS gid FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
-    "set_operations": """WITH a AS (SELECT o_custkey AS k FROM orders WHERE o_custkey % 2 = 0), b AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0)
+    "set_operations": """WITH a AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING')
       SELECT k, 'union' AS op FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT k, 'intersect' FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT DISTINCT k, 'except_all' FROM (SELECT k FROM a EXCEPT ALL SELECT k FROM b)""",
     "window_frames": """SELECT event_id, round(sum(value) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving, lag(event_id) OVER w AS before, ntile(4) OVER w AS quarter, round(percent_rank() OVER w, 6) AS prank, round(cume_dist() OVER w, 6) AS cdist
       FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cooccurrence as C
+from ..operators import graph as G
+from ..operators import lookups as L
 from ..operators import provenance as P
 from ..session import table
 from .mining import RELATIONS_SQL, _relation_sources
@@ -132,6 +134,31 @@ def dependency_edges_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.dependency_export(a, ev)
 
 
+def trusted_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-18: the dependencies that a trusted traversal follows, by node."""
+    a, ev, *_ = tables(spark, sf_dir)
+    return G.out_degrees(G.traversable(P.dependency_export(a, ev), True))
+
+
+def assertions_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-07: the assertions of a release that touch an entity, and the one of a reference."""
+    a, *_ = tables(spark, sf_dir)
+    found = L.touching(L.where(a, release="r1"), 7).withColumn("by", F.lit("entity"))
+    return found.union(L.where(a, legacy_ref="order:4").withColumn("by", F.lit("reference"))).select("id", "by")
+
+
+def release_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-16: a manifest against its release, sidecars, input files and counts; regions stand for releases, tables for files."""
+    releases = table(spark, sf_dir, "region").selectExpr("r_regionkey AS id", "r_name AS tag", "concat('c', r_regionkey) AS git_commit")
+    manifest = spark.createDataFrame([("ASIA", 1, "c9", "old")], "release_tag string, release_id long, git_commit string, mapping_version string")
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey"), F.sha2("n_name", 256).alias("sha256"))
+    recorded, live = nations.select("name", "sha256"), nations.select(F.when(F.col("n_regionkey") == 0, F.concat("name", F.lit(".new"))).otherwise(F.col("name")).alias("name"), F.when(F.col("n_regionkey") == 1, F.sha2(F.lit("x"), 256)).otherwise(F.col("sha256")).alias("sha256"))
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    told = counts.select("kind", (F.col("n") + F.when(F.col("kind") == "F", 1).otherwise(0)).alias("n"))
+    sidecars = spark.createDataFrame([("judgments", "ASIA"), ("relations", "EUROPE")], "name string, release_tag string")
+    return P.release_violations(manifest, releases, sidecars, told, counts, recorded, live, "new")
+
+
 def morphism_edges_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, ev, rv, _ = tables(spark, sf_dir)
     return P.morphism_export(a, ev, rv)
@@ -197,9 +224,9 @@ UNION ALL SELECT 'no_attribution', id::VARCHAR FROM src WHERE coalesce(trim(attr
 
 
 def import_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R-03: edges from order lines, those of the first half imported before."""
+    """R-03: edges from order lines, the citations imported before."""
     lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", "l_partkey AS src", "l_suppkey AS dst", "CASE l_returnflag WHEN 'A' THEN 'dependency' WHEN 'R' THEN 'citation' ELSE 'implication' END AS kind", "CASE WHEN l_linestatus = 'O' THEN 'rejected' ELSE 'proposed' END AS status")
-    before = P.import_edges(lines.filter("id < 50000"), spark.createDataFrame([], "legacy_ref string, release string"), "r1")
+    before = P.import_edges(lines.filter("kind = 'citation'"), spark.createDataFrame([], "legacy_ref string, release string"), "r1")
     return P.import_edges(lines, before, "r1")
 
 
@@ -216,8 +243,8 @@ def import_manifest_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_reference_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R-06: references inside and outside a snapshot of orders with even keys."""
-    works = table(spark, sf_dir, "lineitem").filter("l_orderkey % 2 = 0").groupBy(F.col("l_orderkey").alias("work")).agg(F.collect_set((F.col("l_partkey") * 7) % 30000).alias("refs"))
+    """R-06: references inside and outside the snapshot of all orders."""
+    works = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("work")).agg(F.collect_set((F.col("l_partkey") * 7) % 30000).alias("refs"))
     inside, outside = P.import_references(works)
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("citing").alias("works")).select(F.lit(name).alias("scope"), "n", "works")
     return count(inside, "inside").union(count(outside, "outside"))
@@ -241,7 +268,7 @@ def entity_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("c:"), "o_custkey").alias("subject"), F.concat(F.lit("c:"), F.col("o_custkey") % 10).alias("object"))
     refs = table(spark, sf_dir, "customer").select(F.concat(F.lit("c:"), "c_custkey").alias("ref"), (F.col("c_custkey") + 1000).alias("entity"))
     done = P.backfill(rows, refs).withColumn("try", F.lit("complete"))
-    return done.union(P.backfill(rows, refs.filter("entity <> 1003")).withColumn("try", F.lit("incomplete"))).filter("id % 10 = 0 or subject_entity is null").groupBy("try").agg(F.count("subject_entity").alias("resolved"), F.sum("object_entity").alias("check"))
+    return done.union(P.backfill(rows, refs.filter("entity <> 1003")).withColumn("try", F.lit("incomplete"))).groupBy("try").agg(F.count("subject_entity").alias("resolved"), F.sum("object_entity").alias("check"))
 
 
 def ambiguous_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +289,7 @@ def retract_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def promote_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-20."""
     a, ev, rv, _ = tables(spark, sf_dir)
-    chosen = a.filter("state = 'extracted' and id % 100 = 7").select("id", F.lit("rev1").alias("reviewer"))
+    chosen = a.filter("state = 'extracted'").select("id", F.lit("rev1").alias("reviewer"))
     new, notes, accepts = P.promote(a, rv, ev, chosen, 10_000_000, 5)
     return new.select("id", "supersedes_id", "state").join(notes.select(F.col("assertion_id").alias("id"), "kind"), "id").join(accepts.select(F.col("assertion_id").alias("id"), "decision", "reviewer"), "id")
 
@@ -275,7 +302,7 @@ def export_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.export_differences(written, derived)
 
 
-QUERIES = {f.__name__: f for f in (traversal_policy_export, relation_schema_violations, current_assertions, effective_review, authenticated_accept, predicate_state_grouping_sets, evidence_histogram, stats_bundle, coverage_report, dependency_edges_export, morphism_edges_export, relation_edges_export, discovery_sources, project_edge_counts, assertion_details, evidence_labels, reconcile_traced, set_compare, gate_violations, import_graph_edges, import_relation_evidence, import_manifest_unique_names, import_reference_scope, import_statement_reasons, entity_catalog, entity_backfill, ambiguous_keys, retract_cascade, promote_review, export_gate)}
+QUERIES = {f.__name__: f for f in (traversal_policy_export, relation_schema_violations, current_assertions, effective_review, authenticated_accept, predicate_state_grouping_sets, evidence_histogram, stats_bundle, coverage_report, dependency_edges_export, morphism_edges_export, relation_edges_export, discovery_sources, project_edge_counts, trusted_dependencies, assertions_touching, release_violations, assertion_details, evidence_labels, reconcile_traced, set_compare, gate_violations, import_graph_edges, import_relation_evidence, import_manifest_unique_names, import_reference_scope, import_statement_reasons, entity_catalog, entity_backfill, ambiguous_keys, retract_cascade, promote_review, export_gate)}
 
 _DEP = f"dep AS (SELECT a.id AS assertion_id, subject AS src, object AS dst, {POLICY_SQL} AS policy, CASE WHEN id IN (SELECT assertion_id FROM ev WHERE kind = 'formal_export') THEN 'checker-derived' ELSE 'text-extracted' END AS origin FROM a WHERE predicate = 'depends_on' AND subject_kind = 'judgment' AND object_kind = 'judgment')"
 ORACLES = {
@@ -296,6 +323,10 @@ ORACLES = {
     "relation_edges_export": f"""WITH {TABLES_SQL}, g AS (SELECT assertion_id, arg_min(kind, id) AS ground, arg_min(locator, id) AS locator FROM ev WHERE kind IN ('source_span', 'reviewer_note') GROUP BY assertion_id), m AS (SELECT assertion_id, arg_min(metric, id) AS metric FROM ev WHERE kind = 'model_output' GROUP BY assertion_id)
       SELECT a.id AS assertion_id, subject, object, predicate AS kind, CASE WHEN ground = 'reviewer_note' THEN 'reviewed' WHEN m.assertion_id IS NOT NULL THEN 'confirmed' ELSE 'grounded' END AS status, metric AS confidence, coalesce(locator, '') AS sentence, {POLICY_SQL} AS policy
       FROM a JOIN g ON g.assertion_id = a.id LEFT JOIN m ON m.assertion_id = a.id WHERE subject_kind = 'concept' AND object_kind = 'concept'""",
+    "trusted_dependencies": f"WITH {TABLES_SQL}, {_DEP} SELECT src AS node, count(*) AS degree FROM dep WHERE policy = 'default_traversal' GROUP BY src",
+    "assertions_touching": f"WITH {TABLES_SQL} SELECT id, 'entity' AS by FROM a WHERE release = 'r1' AND (subject = 7 OR object = 7) UNION ALL SELECT id, 'reference' FROM a WHERE legacy_ref = 'order:4'",
+    "release_violations": """SELECT 'source_mapping_policy_mismatch' AS "check", 'old' AS detail UNION ALL SELECT 'manifest_release_id_mismatch', 'ASIA' UNION ALL SELECT 'manifest_release_commit_mismatch', 'ASIA' UNION ALL SELECT 'sidecar_release_mismatch', 'relations'
+      UNION ALL SELECT 'input_file_not_in_manifest', n_name || '.new' FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 'input_file_hash_mismatch', n_name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'counts_mismatch', 'F'""",
     "discovery_sources": f"""WITH {TABLES_SQL}, f AS (SELECT assertion_id, arg_min(kind, id) AS kind, arg_min(coalesce(classification, ''), id) AS c FROM ev GROUP BY assertion_id)
       SELECT CASE WHEN c = 'external_literal_dependency' THEN 'external_literal' WHEN c = 'external_structural_candidate' THEN 'external_structural' WHEN kind = 'formal_export' THEN 'checker' ELSE 'text' END AS source, count(*) AS n FROM f GROUP BY 1""",
     "project_edge_counts": f"""WITH {TABLES_SQL}, f AS (SELECT assertion_id, arg_min(coalesce(classification, ''), id) AS c FROM ev GROUP BY assertion_id)
@@ -310,22 +341,22 @@ ORACLES = {
     "import_graph_edges": """SELECT l_partkey AS subject, l_suppkey AS object, CASE l_returnflag WHEN 'A' THEN 'depends_on' WHEN 'R' THEN 'cites' ELSE 'implies' END AS predicate,
       CASE WHEN l_returnflag = 'A' THEN 'extracted' WHEN l_returnflag = 'R' THEN 'observed' WHEN l_linestatus = 'O' THEN 'rejected' ELSE 'proposed' END AS state,
       CASE l_returnflag WHEN 'A' THEN 'dependency' WHEN 'R' THEN 'citation' ELSE 'implication' END || ':' || (l_orderkey * 10 + l_linenumber) AS legacy_ref, 'r1' AS release FROM lineitem
-      WHERE l_orderkey * 10 + l_linenumber >= 50000""",
+      WHERE l_returnflag <> 'R'""",
     "import_relation_evidence": f"""WITH {RELATIONS_SQL}, m AS (SELECT *, CASE WHEN kind = 'specialization_of' THEN 'specializes' ELSE 'equivalent_to' END AS predicate, CASE WHEN status = 'proposed' THEN 'proposed' ELSE 'extracted' END AS state FROM merged)
       SELECT subject, object, predicate, state, 'source_span' AS evidence_kind, evidence_sentence AS locator, NULL::DOUBLE AS metric FROM m WHERE status <> 'proposed'
       UNION ALL SELECT subject, object, predicate, state, 'model_output', NULL, confidence::DOUBLE FROM m WHERE status <> 'grounded'""",
     "import_manifest_unique_names": """WITH n AS (SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_type AS name FROM part), u AS (SELECT name, min(id) AS id FROM n GROUP BY name HAVING count(*) = 1)
       SELECT DISTINCT a.id AS subject, b.id AS object, l_returnflag AS origin FROM lineitem JOIN n x ON x.id = l_partkey JOIN n y ON y.id + 1 = l_partkey JOIN u a ON a.name = x.name JOIN u b ON b.name = y.name WHERE a.id <> b.id""",
-    "import_reference_scope": """WITH p AS (SELECT DISTINCT l_orderkey AS citing, (l_partkey * 7) % 30000 AS cited FROM lineitem WHERE l_orderkey % 2 = 0), k AS (SELECT DISTINCT citing AS w FROM p)
+    "import_reference_scope": """WITH p AS (SELECT DISTINCT l_orderkey AS citing, (l_partkey * 7) % 30000 AS cited FROM lineitem), k AS (SELECT DISTINCT citing AS w FROM p)
       SELECT CASE WHEN cited IN (SELECT w FROM k) THEN 'inside' ELSE 'outside' END AS scope, count(*) AS n, count(DISTINCT citing) AS works FROM p GROUP BY 1""",
     "import_statement_reasons": """WITH s AS (SELECT p_partkey AS id FROM part WHERE p_size < 40)
       SELECT CASE WHEN l_partkey NOT IN (SELECT id FROM s) THEN 'unknown_source' WHEN l_returnflag = 'A' THEN 'proof_excluded' WHEN l_suppkey NOT IN (SELECT id FROM s) THEN 'out_of_scope' ELSE 'imported' END AS reason, count(*) AS n FROM lineitem GROUP BY 1""",
     "entity_catalog": """SELECT 'judgment:' || c_custkey AS ref, 'judgment' AS kind, CASE WHEN c_custkey % 4 <> 0 THEN c_name ELSE c_custkey::VARCHAR END AS label, CASE WHEN c_custkey % 4 <> 0 THEN 'given' ELSE 'fallback' END AS origin FROM customer
       UNION ALL SELECT 'paper:' || s_suppkey, 'paper', s_name, 'given' FROM supplier UNION ALL SELECT 'concept:' || n_nationkey, 'concept', n_name, 'given' FROM nation""",
-    "entity_backfill": "SELECT 'complete' AS try, count(*) AS resolved, sum(o_custkey % 10 + 1000)::BIGINT AS \"check\" FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT 'incomplete', 0, NULL",
+    "entity_backfill": "SELECT 'complete' AS try, count(*) AS resolved, sum(o_custkey % 10 + 1000)::BIGINT AS \"check\" FROM orders UNION ALL SELECT 'incomplete', 0, NULL",
     "ambiguous_keys": f"WITH {TABLES_SQL} SELECT legacy_ref, count(DISTINCT id) AS n FROM a GROUP BY legacy_ref HAVING count(DISTINCT id) > 1",
     "retract_cascade": f"""WITH {TABLES_SQL}, g AS (SELECT id FROM a WHERE subject = 7 OR object = 7), k AS (SELECT * FROM ev WHERE assertion_id NOT IN (SELECT id FROM g)), s AS (SELECT * FROM src WHERE id NOT IN (SELECT source_id FROM ev WHERE assertion_id IN (SELECT id FROM g)) OR id IN (SELECT source_id FROM k))
       SELECT 'assertions' AS "table", count(*) AS n, sum(id)::VARCHAR AS ids FROM a WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'evidence', count(*), sum(id)::VARCHAR FROM k UNION ALL SELECT 'reviews', count(*), sum(id)::VARCHAR FROM rv WHERE assertion_id NOT IN (SELECT id FROM g) UNION ALL SELECT 'sources', count(*), sum(id)::VARCHAR FROM s""",
-    "promote_review": f"WITH {TABLES_SQL} SELECT 9999999 + row_number() OVER (ORDER BY id) AS id, id AS supersedes_id, 'reviewed' AS state, 'reviewer_note' AS kind, 'accept' AS decision, 'rev1' AS reviewer FROM a WHERE state = 'extracted' AND id % 100 = 7",
+    "promote_review": f"WITH {TABLES_SQL} SELECT 9999999 + row_number() OVER (ORDER BY id) AS id, id AS supersedes_id, 'reviewed' AS state, 'reviewer_note' AS kind, 'accept' AS decision, 'rev1' AS reviewer FROM a WHERE state = 'extracted'",
     "export_gate": f"WITH {TABLES_SQL}, {_DEP} SELECT assertion_id, src, dst, 'default_traversal' AS policy, origin, 'written' AS side FROM dep WHERE assertion_id % 27 = 0 AND policy <> 'default_traversal' UNION ALL SELECT assertion_id, src, dst, policy, origin, 'derived' FROM dep WHERE assertion_id % 27 = 0 AND policy <> 'default_traversal'",
 }

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sinks
+
 JUDGMENT, PAPER, CONCEPT = "judgment", "paper", "concept"
 FACTUAL = ("depends_on", "cites", "imports")
 SEMANTIC = ("specializes", "generalizes", "equivalent_to", "related_to", "uses_concept")
@@ -73,8 +75,7 @@ def promote(assertions: DataFrame, reviews: DataFrame, evidence: DataFrame, chos
     up from ``first_id`` in the order of the old ids.
     """
     picked = assertions.join(chosen.select("id", "reviewer"), "id")
-    # one global order over the chosen few
-    numbered = picked.withColumn("__new", F.lit(first_id - 1) + F.row_number().over(Window.orderBy("id")))
+    numbered = sinks.numbered(picked, ["id"], "__n").withColumn("__new", F.lit(first_id) + F.col("__n"))
     new = numbered.select(*[F.col("__new").alias("id") if c == "id" else F.lit("reviewed").alias("state") if c == "state" else F.col("id").alias("supersedes_id") if c == "supersedes_id" else F.col(c) for c in assertions.columns])
     fill = {"id": F.col("__new"), "assertion_id": F.col("__new"), "kind": F.lit("reviewer_note"), "decision": F.lit("accept"), "reviewer": F.col("reviewer"), "decided_at": F.lit(decided_at), "release": F.col("release")}
     made = lambda like: numbered.select(*[(fill[c] if c in fill else F.lit(None)).cast(like.schema[c].dataType).alias(c) for c in like.columns])
@@ -254,6 +255,62 @@ def violations(assertions: DataFrame, evidence: DataFrame, reviews: DataFrame, s
     return reduce(DataFrame.union, parts)
 
 
+def release_violations(manifest: DataFrame, releases: DataFrame, sidecars: DataFrame, told: DataFrame, counts: DataFrame, recorded: DataFrame, live: DataFrame, mapping_version: str) -> DataFrame:
+    """R-16: (check, detail): faults of a manifest, a row of (release_tag, release_id, git_commit, mapping_version).
+
+    It is held against ``releases`` (id, tag, git_commit), the ``sidecars``
+    (name, release_tag), the counts it tells and those found (kind, n), and the
+    input files it recorded and those that are there (name, sha256).
+    """
+    fault = lambda df, name, detail: df.select(F.lit(name).alias("check"), F.col(detail).cast("string").alias("detail"))
+    known = manifest.join(releases.withColumnsRenamed({"tag": "release_tag", "git_commit": "commit"}), "release_tag")
+    files = live.join(recorded.withColumnRenamed("sha256", "was"), "name", "left")
+    own = told.withColumnRenamed("n", "told").join(counts.withColumnRenamed("n", "found"), "kind", "full")
+    return reduce(DataFrame.union, [
+        fault(manifest.filter((F.col("mapping_version") != "") & (F.col("mapping_version") != mapping_version)), "source_mapping_policy_mismatch", "mapping_version"),
+        fault(manifest.join(releases.select(F.col("tag").alias("release_tag")), "release_tag", "left_anti"), "manifest_release_not_found", "release_tag"),
+        fault(known.filter("id <> release_id"), "manifest_release_id_mismatch", "release_tag"),
+        fault(known.filter(~F.col("git_commit").eqNullSafe(F.col("commit"))), "manifest_release_commit_mismatch", "release_tag"),
+        fault(sidecars.join(manifest.select("release_tag"), "release_tag", "left_anti"), "sidecar_release_mismatch", "name"),
+        fault(files.filter("was is null"), "input_file_not_in_manifest", "name"),
+        fault(files.filter("was <> sha256"), "input_file_hash_mismatch", "name"),
+        fault(own.filter(~F.coalesce("told", F.lit(0)).eqNullSafe(F.coalesce("found", F.lit(0)))), "counts_mismatch", "kind"),
+    ])
+
+
+def catalog_violations(assertions: DataFrame, refs: DataFrame, told: DataFrame, found: DataFrame) -> DataFrame:
+    """R-16: (check, detail): ends of assertions (id, subject, object, subject_entity, object_entity) that the catalogue (ref, entity) doesn't know or names otherwise, and catalogue metadata (field, value) that a manifest tells otherwise."""
+    a, b = refs.select(F.col("ref").alias("subject"), F.col("entity").alias("s")), refs.select(F.col("ref").alias("object"), F.col("entity").alias("o"))
+    joined = assertions.join(a, "subject", "left").join(b, "object", "left")
+    fault = lambda df, name: df.select(F.lit(name).alias("check"), F.col("id").cast("string").alias("detail"))
+    drift = joined.filter((F.col("s").isNotNull() & ~F.col("s").eqNullSafe(F.col("subject_entity"))) | (F.col("o").isNotNull() & ~F.col("o").eqNullSafe(F.col("object_entity"))))
+    other = told.join(found.withColumnRenamed("value", "live"), "field", "left").filter(~F.col("value").eqNullSafe(F.col("live")))
+    return fault(joined.filter("s is null or o is null"), "unresolved_entity_reference").union(fault(drift, "entity_endpoint_drift")).union(other.select(F.lit("catalog_metadata_mismatch"), "field"))
+
+
+def formal_violations(evidence: DataFrame, sources: DataFrame, policy_version: str) -> DataFrame:
+    """R-16, R-19: (check, detail): formal evidence whose source's reproducibility record (a JSON text) is absent, incomplete or of another filter policy."""
+    own = evidence.filter("kind = 'formal_export'").join(sources.select(F.col("id").alias("source_id"), "reproducibility"), "source_id", "left")
+    field = lambda k: F.coalesce(F.trim(F.get_json_object("reproducibility", f"$.{k}")), F.lit(""))
+    lacking = F.lit(False)
+    for k in REPRODUCIBLE:
+        lacking = lacking | (field(k) == "")
+    other = (field("filteringPolicyVersion") != "") & (field("filteringPolicyVersion") != policy_version)
+    made = lambda df, name: df.select(F.lit(name).alias("check"), F.col("id").cast("string").alias("detail"))
+    return made(own.filter(lacking), "formal_evidence_missing_reproducibility_metadata").union(made(own.filter(other), "filter_policy_mismatch"))
+
+
+#: What a record of formal evidence has to name.
+REPRODUCIBLE = ("leanToolchain", "mathlibRev", "extractorVersion", "filteringPolicyVersion", "rawSha256", "normalizedSha256")
+
+
+def output_violations(recorded: DataFrame, live: DataFrame) -> DataFrame:
+    """R-17: (check, detail): exported files (name, sha256) that are missing, changed, or not in the manifest."""
+    both = recorded.withColumnRenamed("sha256", "was").join(live.withColumnRenamed("sha256", "now"), "name", "full")
+    check = F.when(F.col("now").isNull(), "export_file_missing").when(F.col("was").isNull(), "output_file_not_in_manifest").when(F.col("was") != F.col("now"), "output_hash_mismatch")
+    return both.select(check.alias("check"), F.col("name").alias("detail")).filter("check is not null")
+
+
 def export_differences(written: DataFrame, derived: DataFrame) -> DataFrame:
     """R-17: rows that only the written export or only the new derivation has, duplicates counted."""
     return written.exceptAll(derived).withColumn("side", F.lit("written")).union(derived.exceptAll(written).withColumn("side", F.lit("derived")))

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.stages import remove
+from ..plans.stages import remove, written
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], version: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -39,12 +39,24 @@ def intern(values: DataFrame, known: DataFrame, key: list[str], ident: str = "id
     fresh = values.select(key).distinct()
     met = fresh.alias("n").join(known.alias("o"), _same(key), "left_anti")
     top = known.agg(F.coalesce(F.max(ident), F.lit(0)).alias("__top"))
-    # new keys only; their order is global because ids are
-    numbered = met.withColumn("__n", F.row_number().over(Window.orderBy(*[F.asc_nulls_first(c) for c in key])))
-    added = numbered.join(F.broadcast(top)).select((F.col("__top") + F.col("__n")).cast(known.schema[ident].dataType).alias(ident), *key)
+    added = numbered(met, key, "__n").join(F.broadcast(top)).select((F.col("__top") + F.col("__n") + 1).cast(known.schema[ident].dataType).alias(ident), *key)
     return known.select(ident, *key).union(added)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their number from 0 on in an order, nulls first.
+
+    Each task numbers its own range; the sizes of the ranges, one row for each
+    partition, give where it starts.
+    """
+    by = [F.asc_nulls_first(c) for c in order]
+    ranged = written(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    starts = sizes.withColumn("__start", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*by)) - 1
+    return ranged.withColumn("__n", within).join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__n")).select(*rows.columns, name)
+
+
 def _same(key: list[str]) -> Column:
     out = F.lit(True)
     for c in key:
