@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clusters as G
+from ..operators import cooccurrence as C
 from ..operators import vectors as V
 from ..session import table
 
@@ -27,7 +28,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.exact_pairs(_vectors(spark, sf_dir), "vec_id", "embedding", LEAST)
+    return V.similar_pairs(_vectors(spark, sf_dir), "vec_id", "embedding", LEAST, DIM)
 
 
 def cosine_pairs_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,12 +127,22 @@ def cluster_dominant_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concept_graph_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V-09, V-10: weight of each neighbour edge from similarity and codes."""
-    code = _coded(spark, sf_dir).select("vec_id", "section", "top")
-    a, b = code.toDF("i", "si", "ti"), code.toDF("j", "sj", "tj")
-    joined = _edges(spark, sf_dir).join(a, "i").join(b, "j")
-    bonus = G.relatedness(F.col("si"), F.col("ti"), F.col("si"), F.col("sj"), F.col("tj"), F.col("sj"))
-    return joined.select("i", "j", F.round(F.col("w") + 0.3 * bonus, 6).alias("weight")).filter("weight > 0")
+    """V-09, V-10, G-12: neighbours in both directions and parts that share three orders, weighed by similarity, co-occurrence and code."""
+    links = C.incidence(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    code = F.col("section") * 4 + F.col("vec_id") % 4
+    codes = _coded(spark, sf_dir).select(F.col("vec_id").alias("node"), code.alias("code"), "section", "top")
+    near = V.mutual(V.top_k(_pairs(spark, sf_dir), K))
+    return G.concept_graph(_vectors(spark, sf_dir).select(F.col("vec_id").cast("long").alias("node"), F.col("embedding").alias("vector")), near, links, codes).select("i", "j", F.round("weight", 6).alias("weight"))
+
+
+def knn_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-12: the union form of the neighbour graph."""
+    return V.either(V.top_k(_pairs(spark, sf_dir), K)).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
+def clusters_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-04."""
+    return G.by_size(_members(spark, sf_dir)).select("community", "size", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
 def communities_cpm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +163,10 @@ def spectral_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.spectral(matrix, 8)
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs_threshold, knn_topk, mutual_knn, nearest_k, pooled_centroids, lsh_candidates, cluster_modularity, cluster_cpm_quality, cluster_nmi, cluster_purity, msc_align_vote, msc_propagate, msc_status_totals, cluster_dominant_code, concept_graph_weights, communities_cpm, communities_louvain, communities_lpa, spectral_vectors)}
+#: The normals of up to 4,096 rows for SQL, made by the generator's rule.
+PLANES = "[" + ", ".join("[" + ", ".join(repr(float(x)) for x in row) + "]" for row in V.hyperplanes(DIM, V.LSH_BITS[0]).reshape(-1, DIM)) + "]::DOUBLE[][]"
+
+QUERIES = {f.__name__: f for f in (cosine_pairs_threshold, knn_topk, mutual_knn, nearest_k, pooled_centroids, lsh_candidates, cluster_modularity, cluster_cpm_quality, cluster_nmi, cluster_purity, msc_align_vote, msc_propagate, msc_status_totals, cluster_dominant_code, concept_graph_weights, knn_union, clusters_by_size, communities_cpm, communities_louvain, communities_lpa, spectral_vectors)}
 
 ORACLES = {
     "cosine_pairs_threshold": f"WITH {PAIRS_SQL} SELECT i, j, round(sim, 6) AS sim FROM pairs",
@@ -176,5 +190,15 @@ ORACLES = {
     "msc_status_totals": f"""WITH {ALIGN_SQL}, s AS (SELECT cluster, CASE WHEN grounded = 0 THEN 'unclassified' WHEN grounded >= 2 AND confidence > 0.5 THEN 'classified' ELSE 'pending' END AS status FROM aligned)
       SELECT status, count(*) AS n, min(r) AS first FROM s JOIN (SELECT label AS cluster, min(vec_id) AS r FROM coded GROUP BY label) USING (cluster) GROUP BY status""",
     "cluster_dominant_code": f"WITH {ALIGN_SQL} SELECT * FROM tv",
-    "concept_graph_weights": f"WITH {KNN_SQL}, {CODED_SQL} SELECT i, j, round(sim + 0.3 * CASE WHEN a.section = b.section THEN 1.0 WHEN a.top = b.top THEN 0.3 ELSE 0 END, 6) AS weight FROM mutual JOIN coded a ON a.vec_id = i JOIN coded b ON b.vec_id = j",
+    "concept_graph_weights": f"""WITH {KNN_SQL}, {CODED_SQL}, inc AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS x FROM lineitem WHERE l_partkey IN (SELECT vec_id FROM e)),
+      co AS (SELECT a.x AS i, b.x AS j, count(*) AS n FROM inc a JOIN inc b ON a.g = b.g AND a.x < b.x GROUP BY ALL), df AS (SELECT x, count(*) AS d FROM inc GROUP BY x),
+      ps AS (SELECT i, j FROM mutual UNION SELECT i, j FROM co WHERE n >= 3),
+      w AS (SELECT ps.i, ps.j, list_cosine_similarity(x.v, y.v) + 0.5 * coalesce(n / (a.d + b.d - n), 0) + 0.3 * CASE WHEN p.section * 4 + p.vec_id % 4 = q.section * 4 + q.vec_id % 4 THEN 1.0 WHEN p.section = q.section THEN 0.6 WHEN p.top = q.top THEN 0.3 ELSE 0 END AS weight
+        FROM ps JOIN e x ON x.vec_id = ps.i JOIN e y ON y.vec_id = ps.j LEFT JOIN co ON co.i = ps.i AND co.j = ps.j LEFT JOIN df a ON a.x = ps.i LEFT JOIN df b ON b.x = ps.j JOIN coded p ON p.vec_id = ps.i JOIN coded q ON q.vec_id = ps.j)
+      SELECT i, j, round(weight, 6) AS weight FROM w WHERE weight > 0""",
+    "knn_union": f"WITH {KNN_SQL} SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j, round(sim, 6) AS sim FROM knn",
+    "clusters_by_size": "SELECT label AS community, count(*) AS size, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS members FROM embeddings GROUP BY label",
+    "lsh_candidates": f"""WITH {PAIRS_SQL}, pl AS (SELECT unnest(range(0, {V.LSH_TABLES * 6})) AS k, unnest({PLANES}) AS p),
+      sg AS (SELECT vec_id, k // 6 AS slot, sum(CASE WHEN list_dot_product(v, p) >= 0 THEN 1 << (k % 6) ELSE 0 END) AS bucket FROM e, pl GROUP BY vec_id, slot)
+      SELECT DISTINCT i, j, round(sim, 6) AS sim FROM pairs JOIN sg a ON a.vec_id = i JOIN sg b ON b.vec_id = j AND a.slot = b.slot AND a.bucket = b.bucket""",
 }

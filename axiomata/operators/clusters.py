@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
+from . import cooccurrence
+from .vectors import cosine
 
 # --- communities -------------------------------------------------------------
 
@@ -215,3 +217,21 @@ def statuses(aligned: DataFrame, rows: DataFrame, ident: str, cluster: str) -> D
 def relatedness(section_a: Column, top_a: Column, code_a: Column, section_b: Column, top_b: Column, code_b: Column) -> Column:
     """V-09: 1, 0.6 or 0.3 for the same code, section or top level, else 0."""
     return F.when(code_a == code_b, F.lit(1.0)).when(section_a == section_b, F.lit(0.6)).when(top_a == top_b, F.lit(0.3)).otherwise(F.lit(0.0))
+
+
+def concept_graph(vectors: DataFrame, near: DataFrame, links: DataFrame, codes: DataFrame, min_cooccur: int = 3, w_embed: float = 1.0, w_cooccur: float = 0.5, w_code: float = 0.3) -> DataFrame:
+    """V-10, G-12: (i, j, weight) of neighbours ``near`` (i, j) and of nodes that share enough documents, where the weight is positive.
+
+    ``vectors``: (node, vector); ``links``: (g, x), documents and their nodes;
+    ``codes``: (node, code, section, top). The weight is the sum of cosine,
+    Jaccard of the documents and relatedness of the codes, each with its share.
+    """
+    inside = links.join(vectors.select(F.col("node").alias("x")), "x", "left_semi").select("g", "x")
+    shared = cooccurrence.jaccard(cooccurrence.pairs(inside), inside)
+    pairs = near.select("i", "j").union(shared.filter(F.col("n") >= min_cooccur).select("i", "j")).distinct()
+    a, b = vectors.toDF("i", "vi"), vectors.toDF("j", "vj")
+    ca, cb = codes.toDF("i", "ki", "si", "ti"), codes.toDF("j", "kj", "sj", "tj")
+    joined = pairs.join(a, "i").join(b, "j").join(shared.select("i", "j", "jaccard"), ["i", "j"], "left").join(ca, "i", "left").join(cb, "j", "left")
+    code = relatedness(F.col("si"), F.col("ti"), F.col("ki"), F.col("sj"), F.col("tj"), F.col("kj"))
+    weight = w_embed * cosine(F.col("vi"), F.col("vj")) + w_cooccur * F.coalesce("jaccard", F.lit(0.0)) + w_code * code
+    return joined.select("i", "j", weight.alias("weight")).filter("weight > 0")

@@ -6,13 +6,21 @@ tokens, so the work is proportional to the postings that it touches.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.stages import written
+from .lookups import where
 
+#: The symbols of a query, as in the statements.
+_SYMBOL = re.compile("[Ͱ-Ͽ‖℀-⅏←-⇿∀-⋿⟀-⟯⨀-⫿\U0001d400-\U0001d7ff]")
 BETA, POPULARITY = 2.0, 0.15
 
 
@@ -76,11 +84,15 @@ def relevance(matched: Column, asked: Column, mass: Column, doc_freq: Column) ->
     return F.when((asked > 0) & (mass > 0), (1 - POPULARITY) * f + POPULARITY * popular).otherwise(F.lit(0.0))
 
 
-def tiered(queries: DataFrame, entries: DataFrame, top_k: int = 5) -> DataFrame:
-    """Q-04, W-07: (qid, tier, rank, entry, score): exact, same concept, specialisation and closest hits.
+TIERS = ("exact", "same_concept", "specialization", "closest", "related")
 
-    Exact: the same set of words; verbatim forms come first. Each entry shows
-    once for a query, in its first tier.
+
+def tiered(queries: DataFrame, entries: DataFrame, top_k: int = 5, related: DataFrame | None = None) -> DataFrame:
+    """Q-04, W-07: (qid, tier, rank, entry, score): exact, same concept, specialisation, closest and related hits.
+
+    Exact: the same set of words; verbatim forms come first. Related: the
+    neighbours (source, target, score) of the best hit of the first tier that
+    has one. Each entry shows once for a query, in its first tier.
     """
     index = postings(entries)
     weights = idf(index, entries)
@@ -107,13 +119,23 @@ def tiered(queries: DataFrame, entries: DataFrame, top_k: int = 5) -> DataFrame:
     same = same.select("qid", F.lit("same_concept").alias("tier"), "rank", "entry", F.lit(1.0).alias("score"))
     rest = scored.filter("tier <> 'exact'").join(same.select("qid", "entry"), ["qid", "entry"], "left_anti").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
     columns = ["qid", "tier", "rank", "entry", "score"]
-    return reduce(DataFrame.union, [exact.select(columns), same.select(columns), rest.select(columns)])
-
-
-def phrase_search(queries: DataFrame, entries: DataFrame, top_k: int = 5) -> DataFrame:
-    """Q-01: (qid, tier, entry, score): raw equality, same cluster, then longer phrases that contain the query's words in sequence.
-
-    Longer phrases are found by the word runs of the phrases, so the join is on equality.
+    found = reduce(DataFrame.union, [exact.select(columns), same.select(columns), rest.select(columns)])
+    if related is None:
+        return found
+    first = F.when(F.col("tier") == "exact", 0).when(F.col("tier") == "specialization", 1).otherwise(2)
+    anchor = ranked.filter("rank = 1").groupBy("qid").agg(F.min_by("entry", first).alias("source"))
+    near = anchor.join(related, "source").select("qid", F.col("target").alias("entry"), "score").join(found.select("qid", "entry"), ["qid", "entry"], "left_anti")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "entry"))).filter(F.col("rank") <= top_k)
+    return found.union(near.select("qid", F.lit("related").alias("tier"), "rank", "entry", F.col("score").cast("double").alias("score")))
+
+
+def phrase_search(queries: DataFrame, entries: DataFrame, top_k: int = 5, vectors: DataFrame | None = None) -> DataFrame:
+    """Q-01: (qid, tier, entry, score): raw equality, same cluster, longer phrases that contain the query's words in sequence, then related ones.
+
+    Longer phrases are found by the word runs of the phrases, so the join is on
+    equality. Related: the nearest of ``vectors`` (entry, vector) to the
+    query's vector, a column ``vector`` of ``queries``, or else to that of its
+    exact hit.
     """
     asked = queries.select("qid", F.lower(F.trim("query")).alias("q"))
     exact = asked.join(entries, F.col("q") == F.col("phrase")).select("qid", "entry", "cluster")
@@ -125,7 +147,44 @@ def phrase_search(queries: DataFrame, entries: DataFrame, top_k: int = 5) -> Dat
     special = asked.join(longer, "q").join(exact.select("qid", "entry").union(same.select("qid", "entry")), ["qid", "entry"], "left_anti")
     special = special.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("doc_freq"), "entry"))).filter(F.col("n") <= top_k)
     one = lambda df, tier, score: df.select("qid", F.lit(tier).alias("tier"), "entry", score.alias("score"))
-    return one(exact, "exact", F.lit(1.0)).union(one(same, "same_concept", F.lit(1.0))).union(one(special, "specialization", F.size(F.split("q", r"\s+")) / F.col("size")))
+    found = one(exact, "exact", F.lit(1.0)).union(one(same, "same_concept", F.lit(1.0))).union(one(special, "specialization", F.size(F.split("q", r"\s+")) / F.col("size")))
+    if vectors is None:
+        return found
+    own = exact.join(vectors, "entry").groupBy("qid").agg(F.min_by("vector", "entry").alias("vector"))
+    if "vector" in queries.columns:
+        given = queries.select("qid", F.col("vector").alias("given"))
+        own = given.join(own, "qid", "left").select("qid", F.coalesce("given", "vector").alias("vector")).filter("vector is not null")
+    near = nearest_entries(own, vectors.join(entries.select("entry"), "entry", "left_semi"), found.select("qid", "entry"), top_k)
+    return found.union(near.select("qid", F.lit("related"), "entry", "score"))
+
+
+def nearest_entries(asked: DataFrame, vectors: DataFrame, shown: DataFrame, top_k: int) -> DataFrame:
+    """(qid, entry, score): the entries (entry, vector) nearest to the vectors of a stated set of queries, without those shown.
+
+    The queries and what each shows already are sent to the tasks; each task
+    compares its rows with all queries as matrices and keeps the best of each.
+    """
+    held: dict[int, set] = {}
+    for r in shown.join(asked.select("qid").distinct(), "qid", "left_semi").distinct().collect():
+        held.setdefault(r["qid"], set()).add(r["entry"])
+    rows = [(r["qid"], np.asarray(r["vector"], dtype=np.float64)) for r in asked.collect()]
+    unit = lambda v: v / n if (n := np.linalg.norm(v)) > 0 else v * 0.0
+    ids, matrix = [q for q, _ in rows], np.array([unit(v) for _, v in rows])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf) and len(ids):
+                own = np.array([unit(np.asarray(v, dtype=np.float64)) for v in pdf["vector"]])
+                entry = pdf["entry"].to_numpy()
+                for q, scores in zip(ids, matrix @ own.T, strict=True):
+                    free = ~np.isin(entry, list(held.get(q, ())))
+                    best = np.lexsort((entry[free], -scores[free]))[:top_k]
+                    yield pd.DataFrame({"qid": q, "entry": entry[free][best], "score": scores[free][best]})
+
+    types = f"qid {asked.schema['qid'].dataType.simpleString()}, entry {vectors.schema['entry'].dataType.simpleString()}, score double"
+    near = vectors.select("entry", "vector").mapInPandas(run, types)
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "entry")))
+    return ranked.filter(F.col("r") <= top_k).select("qid", "entry", "score")
 
 
 def evaluate(hits: DataFrame, accepted: DataFrame, queries: DataFrame, depth: int = 10) -> DataFrame:
@@ -139,7 +198,7 @@ def evaluate(hits: DataFrame, accepted: DataFrame, queries: DataFrame, depth: in
 
 def positions(hits: DataFrame) -> DataFrame:
     """(qid, position, entry): one list from the tiers in their order."""
-    order = F.when(F.col("tier") == "exact", 0).when(F.col("tier") == "same_concept", 1).when(F.col("tier") == "specialization", 2).otherwise(3)
+    order = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier"))
     return hits.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy(order, "rank", "entry"))).select("qid", "position", "entry")
 
 
@@ -149,12 +208,16 @@ def relation_rates(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.join(both, ["a", "b"], "left").groupBy("group").agg(F.count(F.lit(1)).alias("pairs"), F.count("hit").alias("connected"), F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("rate"))
 
 
-def name_score(name: Column, query: Column) -> Column:
-    """V-12: half coverage of the query, half exactness; a bare substring gives 0.1."""
-    own, asked = F.array_distinct(T.identifier_tokens(name)), F.array_distinct(T.identifier_tokens(query))
-    shared = F.size(F.array_intersect(own, asked))
-    score = 0.5 * shared / F.size(asked) + 0.5 * shared / F.size(own)
-    return F.when(shared > 0, score).when(F.contains(F.lower(name), F.lower(query)), F.lit(0.1)).otherwise(F.lit(0.0))
+def name_score(name: Column, tokens: Column, raw: Column) -> Column:
+    """V-12: half coverage of the name, half exactness, if each query token begins a token of the name; 0.1 for a bare substring, else null.
+
+    ``tokens`` are the query's identifier tokens, ``raw`` its lower-cased text.
+    """
+    own = T.identifier_tokens(name)
+    every = (F.size(tokens) > 0) & F.forall(tokens, lambda q: F.exists(own, lambda t: t.startswith(q)))
+    exact = F.size(F.filter(tokens, lambda q: F.array_contains(own, q)))
+    score = 0.5 * F.least(F.lit(1.0), F.size(tokens) / F.size(own)) + 0.5 * exact / F.size(tokens)
+    return F.when(every, score).when((F.size(tokens) > 0) & F.contains(F.lower(name), raw), F.lit(0.1))
 
 
 def symbol_weights(rows: DataFrame, ident: str, text: str) -> DataFrame:
@@ -164,25 +227,45 @@ def symbol_weights(rows: DataFrame, ident: str, text: str) -> DataFrame:
     return found.groupBy("symbol").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select("symbol", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("weight"))
 
 
-def judgment_search(queries: DataFrame, judgments: DataFrame, edges: DataFrame, top_k: int = 5) -> DataFrame:
-    """Q-05: (qid, tier, entry, score): exact name, similar name, and one hop from these.
+def judgment_search(queries: list[tuple[int, str]], judgments: DataFrame, edges: DataFrame, top_k: int = 5, **filters: object) -> DataFrame:
+    """Q-05, F-09: (qid, tier, entry, score): exact name or statement, similar name, statement, and one hop from these.
 
-    ``judgments``: (id, name). Similar names share a token, so the join is on it.
+    ``queries``: a stated set of (qid, text), which is part of the plan, so
+    each judgment (id, name, statement, context as an array) is read once and
+    scored against all of them. ``filters``: values of further columns that
+    hits must have; None asks for nothing.
     """
-    tokens = judgments.select("id", "name", F.explode(F.array_distinct(T.identifier_tokens(F.col("name")))).alias("token"))
-    asked = queries.select("qid", "query", F.explode(F.array_distinct(T.identifier_tokens(F.col("query")))).alias("token"))
-    met = asked.join(tokens, "token").select("qid", "query", F.col("id").alias("entry"), "name").distinct()
-    scored = met.withColumn("score", name_score(F.col("name"), F.col("query"))).withColumn("tier", F.when(F.lower("name") == F.lower("query"), "exact").otherwise("name"))
-    own = scored.withColumn("n", F.row_number().over(Window.partitionBy("qid", "tier").orderBy(F.desc("score"), "entry"))).filter(F.col("n") <= top_k).select("qid", "tier", "entry", "score")
-    return own.union(connected(own, edges, top_k).select("qid", F.lit("connected").alias("tier"), "entry", "score"))
-
-
-def connected(anchors: DataFrame, edges: DataFrame, top_k: int) -> DataFrame:
-    """A-19: (qid, entry, fan_in, via, score): neighbours of a query's hits by the share of hits that reach them."""
+    rows = where(judgments, **filters)
+    hay = F.lower(F.concat_ws(" ", "statement", F.array_join(F.col("context").cast("array<string>"), " ")))
+    wanted = sorted({s for _, q in queries for s in _SYMBOL.findall(q)})
+    weight = {r["symbol"]: r["weight"] for r in symbol_weights(rows, "id", "statement").filter(F.col("symbol").isin(wanted)).collect()} if wanted else {}
+    nothing = F.array().cast("array<string>")
+    asked = []
+    for qid, text in queries:
+        raw, symbols = text.strip().lower(), list(dict.fromkeys(_SYMBOL.findall(text)))
+        if raw:
+            weights = F.array(*[F.lit(float(weight.get(s, 1.0))) for s in symbols]) if symbols else F.array().cast("array<double>")
+            asked.append(F.struct(F.lit(qid).alias("qid"), F.lit(raw).alias("raw"), T.identifier_tokens(F.lit(text)).alias("tokens"), (F.array(*[F.lit(s) for s in symbols]) if symbols else nothing).alias("symbols"), weights.alias("weights")))
+    met = rows.select("id", "name", "statement", hay.alias("hay"), F.explode(F.array(*asked)).alias("q"))
+    raw = F.col("q.raw")
+    exact = F.coalesce(F.lower("name") == raw, F.lit(False)) | F.coalesce(F.lower("statement") == raw, F.lit(False))
+    scored = met.withColumns({"ns": name_score(F.coalesce("name", F.lit("")), F.col("q.tokens"), raw), "ss": statement_score(F.col("hay"), F.col("q.tokens"), F.col("q.symbols"), F.col("q.weights"))})
+    tier = F.when(exact, "exact").when(F.col("ns").isNotNull(), "name").when(F.col("ss").isNotNull(), "statement")
+    hits = scored.select(F.col("q.qid").alias("qid"), tier.alias("tier"), F.col("id").alias("entry"), "name", F.when(exact, F.lit(1.0)).otherwise(F.coalesce("ns", "ss")).alias("score")).filter("tier is not null")
+    ranked = hits.withColumn("n", F.row_number().over(Window.partitionBy("qid", "tier").orderBy(F.desc("score"), F.coalesce("name", F.lit("")), "entry")))
+    ranked = written(ranked, "judgment-hits")
+    own = ranked.filter(F.col("n") <= top_k).select("qid", "tier", "entry", "score")
+    anchors = ranked.filter((F.col("tier") == "exact") | (F.col("n") <= top_k))
+    fresh = connected(anchors, edges, top_k, ranked).join(rows.select(F.col("id").alias("entry")), "entry", "left_semi")
+    return own.union(fresh.select("qid", F.lit("connected").alias("tier"), "entry", "score"))
+
+
+def connected(anchors: DataFrame, edges: DataFrame, top_k: int, shown: DataFrame | None = None) -> DataFrame:
+    """A-19: (qid, entry, fan_in, via, score): neighbours of a query's hits by the share of hits that reach them, without what is ``shown``."""
     both = edges.select(F.col("src").alias("entry"), F.col("dst").alias("near")).union(edges.select("dst", "src")).distinct()
     count = anchors.groupBy("qid").agg(F.countDistinct("entry").alias("n"))
     reached = anchors.select("qid", "entry").distinct().join(both, "entry").groupBy("qid", F.col("near").alias("found")).agg(F.count(F.lit(1)).alias("fan_in"), F.min("entry").alias("via"))
-    fresh = reached.join(anchors.select("qid", F.col("entry").alias("found")).distinct(), ["qid", "found"], "left_anti").join(count, "qid")
+    fresh = reached.join((anchors if shown is None else shown).select("qid", F.col("entry").alias("found")).distinct(), ["qid", "found"], "left_anti").join(count, "qid")
     ranked = fresh.withColumn("score", F.col("fan_in") / F.col("n")).withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "found")))
     return ranked.filter(F.col("r") <= top_k).select("qid", F.col("found").alias("entry"), "fan_in", "via", "score")
 

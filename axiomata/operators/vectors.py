@@ -126,6 +126,11 @@ def mutual(neighbours: DataFrame) -> DataFrame:
     return neighbours.join(back, ["i", "j"]).filter("i < j").select("i", "j", "sim")
 
 
+def either(neighbours: DataFrame) -> DataFrame:
+    """G-12: (i, j, sim), i < j, of pairs of which one at least is among the other's neighbours."""
+    return neighbours.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "sim").dropDuplicates(["i", "j"])
+
+
 def nearest(vectors: DataFrame, ident: str, vector: str, query: list[float], k: int) -> DataFrame:
     """W-09: the k rows nearest to one vector."""
     asked = F.array(*[F.lit(float(x)) for x in query])

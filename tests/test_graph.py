@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from axiomata.operators import clusters, graph
@@ -34,6 +36,24 @@ def test_composition_is_partial(spark):
     assert {(r.start, r.node): r.depth for r in graph.reachable(own, starts).collect()}[4, 6] == 2
 
 
+def test_derivations_against_brute_force(spark):
+    random.seed(5)
+    kinds = [graph.EQUIVALENCE, graph.IMPLICATION, graph.SPECIALIZATION, graph.GENERALIZATION]
+    rows = [(random.randrange(9), random.randrange(9), random.choice(kinds), "") for _ in range(22)]
+    table = {(a, b): c for a, b, c in graph.COMPOSED}
+    best = {}
+    frontier = [(s, d, k, (i,)) for i, (s, d, k, _) in enumerate(rows)]
+    while frontier:
+        fresh = {}
+        for s, d, k, p in frontier:
+            if (s, d, k) not in best:
+                fresh[s, d, k] = min(fresh.get((s, d, k), p), p)
+        best |= fresh
+        frontier = [(s, rows[i][1], table[k, rows[i][2]], (*p, i)) for (s, d, k), p in fresh.items() for i in range(len(rows)) if rows[i][0] == d and (k, rows[i][2]) in table]
+    got = graph.derivations(edges(spark, rows), spark.range(9)).collect()
+    assert {(r.start, r.node, r.kind): tuple(r.path) for r in got} == best
+
+
 def test_chain_depths(spark):
     own = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 3), (1, 5)], "src long, dst long")
     assert {r.node: r.depth for r in graph.chain_depths(own).collect()} == {3: 0, 5: 0, 2: 1, 4: 1, 1: 2}
