@@ -43,26 +43,26 @@ from .common import free_name, written
 DEPTH, MIN_DOCS, CONSTANT = 3, 3, 0.6
 #: Tokens from which a line recurs in two documents already.
 LONG = 20
-WILD = "<*>"
-_FIELD = re.compile(r"\S*[0-9]\S*")
+WILD = b"<*>"
+_FIELD = re.compile(rb"[^ \t-\r]*[0-9][^ \t-\r]*")
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+_hash = xxhash.xxh64_intdigest
 
 
-def masked(line: str) -> list[str]:
-    """The tokens of a line, variable fields as wild cards."""
-    return _FIELD.sub(WILD, line).split()
+def masked(line: str | bytes) -> list[bytes]:
+    """The tokens of a line, between ASCII white space, in UTF-8; variable fields as wild cards."""
+    data = line.encode("utf-8", "surrogatepass") if isinstance(line, str) else line
+    return _FIELD.sub(WILD, data).split()
 
 
-def leaf_and_line(line: str, depth: int = DEPTH) -> tuple[int, int, int, int] | None:
+def leaf_and_line(line: str | bytes, depth: int = DEPTH) -> tuple[int, int, int, int] | None:
     """(number of tokens, hash of the leaf, two hashes of the masked tokens) of a line; none for a blank one."""
     tokens = masked(line)
     if not tokens:
         return None
-    whole = " ".join(tokens)
-    return len(tokens), _hash(f"{len(tokens)} {' '.join(tokens[:depth])}"), _hash(whole), xxhash.xxh32_intdigest(whole.encode("utf-8", "surrogatepass")) - (1 << 31)
+    whole = b" ".join(tokens)
+    return len(tokens), _hash(b"%d %b" % (len(tokens), b" ".join(tokens[:depth]))), _hash(whole), xxhash.xxh32_intdigest(whole) - (1 << 31)
 
 
 def _signed(values: tuple[int, ...]) -> pa.Array:
@@ -84,7 +84,7 @@ def _marks(rows: DataFrame, depth: int) -> DataFrame:
                 out: list[tuple] = []
                 for key, key2, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     leaves, lines = set(), set()
-                    for at, line in enumerate((text or "").split("\n")):
+                    for at, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
                         if found := leaf_and_line(line, depth):
                             width, leaf, whole, check = found
                             out.append((key, key2, at, width, leaf, whole, check, leaf not in leaves, (whole, check) not in lines))
@@ -106,7 +106,7 @@ def _tokens(rows: DataFrame) -> DataFrame:
                 part = batch.slice(k, 64)
                 out: list[tuple[int, ...]] = []
                 for text, chosen in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    lines = text.split("\n")
+                    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
                     for c in chosen:
                         tokens = masked(lines[c["at"]])
                         out += [(c["line"], c["check"], c["leaf"], c["docs"], place, _hash(token) if token != WILD else 0, len(tokens)) for place, token in enumerate(tokens)]

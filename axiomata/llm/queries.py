@@ -82,6 +82,25 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.without_recurring(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+#: The rules of the operator on lists of tokens; an empty string stands for a variable place.
+OP10_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT rid, unnest(range(1, len(ls) + 1)) AS place, unnest(ls) AS line FROM d),
+t AS (SELECT rid, place, list_filter(regexp_split_to_array(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
+k AS (SELECT rid, place, w, len(w) AS n, w[1:{line_templates.DEPTH}] AS head, CASE WHEN len(w) >= {line_templates.LONG} THEN 2 ELSE {line_templates.MIN_DOCS} END AS least FROM t WHERE len(w) > 0),
+leaf AS (SELECT n, head FROM k GROUP BY n, head, least HAVING count(DISTINCT rid) >= least),
+ln AS (SELECT n, head, least, w, count(DISTINCT rid) AS docs FROM k SEMI JOIN leaf USING (n, head) GROUP BY ALL),
+tok AS (SELECT n, head, least, w, docs, unnest(range(1, n + 1)) AS p, unnest(w) AS x FROM ln),
+com AS (SELECT n, head, p, x, TRUE AS common FROM tok WHERE x <> '<*>' GROUP BY n, head, least, p, x HAVING sum(docs) >= least),
+sh AS (SELECT n, head, least, w, list(CASE WHEN common THEN x ELSE '' END ORDER BY p) AS shape FROM tok LEFT JOIN com USING (n, head, p, x) GROUP BY n, head, least, w HAVING avg(CASE WHEN common THEN 1.0::DOUBLE ELSE 0 END) >= {line_templates.CONSTANT}::DOUBLE),
+good AS (SELECT n, head, shape FROM sh JOIN k USING (n, head, w) GROUP BY n, head, sh.least, shape HAVING count(DISTINCT rid) >= sh.least),
+gone AS (SELECT rid, list(place) AS g FROM k SEMI JOIN (SELECT w FROM sh SEMI JOIN good USING (n, head, shape)) USING (w) GROUP BY rid)
+SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS n_dropped,
+       CASE WHEN g IS NULL THEN text ELSE array_to_string([ls[i] for i in range(1, len(ls) + 1) if NOT list_contains(g, i)], chr(10)) END AS text
+FROM d LEFT JOIN gone USING (rid)
+"""
+
+
 def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -172,4 +191,5 @@ ORACLES: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
     "op8_winnow": OP8_SQL,
     "op9_chat": OP9_SQL,
+    "op10_line_templates": OP10_SQL,
 }
