@@ -7,6 +7,7 @@ only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -304,6 +305,7 @@ def qualified_names(judgments: DataFrame, qualifiers: tuple[str, ...] = QUALIFIE
 
 def proposals(judgments: DataFrame) -> DataFrame:
     """G-09, O-05: all rules, the first rule of each edge kept, ranked by confidence."""
+    judgments = written(judgments.select("id", "name", "hash", "context"), "judgments")
     rules = [
         same_statement(judgments),
         name_pattern(judgments, "_iff_", EQUIVALENCE, 0.45, every=True),
@@ -337,26 +339,39 @@ def new_proposals(judgments: DataFrame, last_id: int, existing: DataFrame) -> Da
 LOG = "src long, dst long, kind string, status string, refused long, suppressed boolean"
 
 
-def _folded(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The edges between two nodes after the events of their log, in order."""
-    edges: dict[tuple[int, int, str], dict] = {}
-    for e in pdf.sort_values("id").itertuples(index=False):
-        src, dst = (min(e.src, e.dst), max(e.src, e.dst)) if e.kind == EQUIVALENCE else (e.src, e.dst)
-        own = edges.setdefault((src, dst, e.kind), {"status": "refused", "refused": 0, "suppressed": False})
-        if e.action == "reject":
-            own["status"] = "rejected"
-        elif e.action == "propose" and own["status"] == "refused":
-            own["status"] = "proposed"
-        elif e.action == "accept" and own["status"] in ("refused", "proposed"):
-            other = [(k, x, a, b) for (a, b, k), x in edges.items() if k != e.kind]
-            if any(x["status"] == "accepted" and ((a, b) == (src, dst) or (k == EQUIVALENCE and (b, a) == (src, dst))) for k, x, a, b in other):
-                own["refused"] += 1
-                continue
-            own["status"] = "accepted"
-            for k, x, a, b in other:
-                if x["status"] == "proposed" and ((a, b) == (src, dst) or (e.kind == EQUIVALENCE and (b, a) == (src, dst))):
-                    x |= {"status": "rejected", "suppressed": True}
-    return pd.DataFrame([{"src": a, "dst": b, "kind": k, **x} for (a, b, k), x in edges.items()])
+def _event(edges: dict[tuple[int, int, str], dict], e: tuple) -> None:
+    """One event on the edges between two nodes."""
+    src, dst = (min(e.src, e.dst), max(e.src, e.dst)) if e.kind == EQUIVALENCE else (e.src, e.dst)
+    own = edges.setdefault((src, dst, e.kind), {"status": "refused", "refused": 0, "suppressed": False})
+    if e.action == "reject":
+        own["status"] = "rejected"
+    elif e.action == "propose" and own["status"] == "refused":
+        own["status"] = "proposed"
+    elif e.action == "accept" and own["status"] in ("refused", "proposed"):
+        other = [(k, x, (a, b) == (src, dst), (b, a) == (src, dst)) for (a, b, k), x in edges.items() if k != e.kind]
+        if any(x["status"] == "accepted" and (along or (back and k == EQUIVALENCE)) for k, x, along, back in other):
+            own["refused"] += 1
+            return
+        own["status"] = "accepted"
+        for _, x, along, back in other:
+            if x["status"] == "proposed" and (along or (back and e.kind == EQUIVALENCE)):
+                x |= {"status": "rejected", "suppressed": True}
+
+
+def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges of each pair of nodes after its events; the rows come by pair and in order."""
+    pair, edges = None, {}
+    rows = lambda: [(*key, *x.values()) for key, x in edges.items()]
+    columns = ["src", "dst", "kind", "status", "refused", "suppressed"]
+    for pdf in batches:
+        done = []
+        for e in pdf.itertuples(index=False):
+            if (e.p, e.q) != pair:
+                done += rows()
+                pair, edges = (e.p, e.q), {}
+            _event(edges, e)
+        yield pd.DataFrame(done, columns=columns)
+    yield pd.DataFrame(rows(), columns=columns)
 
 
 def edge_log(events: DataFrame) -> DataFrame:
@@ -370,7 +385,7 @@ def edge_log(events: DataFrame) -> DataFrame:
     folded in one task; logs of different pairs are independent.
     """
     pair = events.withColumns({"p": F.least("src", "dst"), "q": F.greatest("src", "dst")})
-    return pair.groupBy("p", "q").applyInPandas(_folded, LOG)
+    return pair.repartition("p", "q").sortWithinPartitions("p", "q", "id").mapInPandas(_folded, LOG)
 
 
 def edge_states(events: DataFrame) -> DataFrame:

@@ -92,12 +92,13 @@ def tiered(queries: DataFrame, entries: DataFrame, top_k: int = 5, related: Data
 
     Exact: the same set of words; verbatim forms come first. Related: the
     neighbours (source, target, score) of the best hit of the first tier that
-    has one. Each entry shows once for a query, in its first tier.
+    has one. Each entry shows once for a query, in its first tier. The index is written once and read by every tier.
     """
-    index = postings(entries)
-    weights = idf(index, entries)
+    entries = written(entries, "entries")
+    index = written(postings(entries), "postings")
+    weights = written(idf(index, entries), "idf")
     mass = masses(index, weights, entries)
-    tokens = resolved(queries, weights)
+    tokens = written(resolved(queries, weights), "query-tokens")
     form = tokens.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), " ").alias("asked_form"), F.countDistinct("token").alias("n_asked"))
     asked = tokens.select("qid", "token").distinct().join(weights, "token").groupBy("qid").agg(F.sum("idf").alias("asked"))
     hits = matches(tokens, index, weights).join(mass, "entry").join(form, "qid").join(asked, "qid")
@@ -109,6 +110,7 @@ def tiered(queries: DataFrame, entries: DataFrame, top_k: int = 5, related: Data
         (F.col("form") == F.col("asked_form")).alias("verbatim"),
         relevance(F.col("matched_idf"), F.col("asked"), F.col("mass"), F.col("doc_freq")).alias("score"),
     )
+    scored = written(scored, "scored-hits")
     order = Window.partitionBy("qid", "tier").orderBy(F.desc("verbatim"), F.desc("score"), "entry")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
     exact = ranked.filter("tier = 'exact'")
