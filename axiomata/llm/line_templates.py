@@ -12,8 +12,8 @@ one are dropped. Enough is ``MIN_DOCS`` documents, or two for lines of
 
 All counts cover all documents and are sums that combine before their
 shuffles. Equal lines are counted once as (leaf, line) with their documents;
-only one line of each such group, and only in leaves that recur, has its
-tokens read. So a line that a third of the documents share is one row of the
+only one line of each such group, and only in leaves that recur and have lines
+that don't recur by themselves, has its tokens read. So a line that a third of the documents share is one row of the
 tree. Documents that have several lines of a template count once for it: where
 a template has more than one line its occurrences are joined by document. A
 line is known by 96 bits of hashes beside its leaf, a row by 96 bits.
@@ -56,13 +56,13 @@ def masked(line: str | bytes) -> list[bytes]:
     return _FIELD.sub(WILD, data).split()
 
 
-def leaf_and_line(line: str | bytes, depth: int = DEPTH) -> tuple[int, int, int, int] | None:
-    """(number of tokens, hash of the leaf, two hashes of the masked tokens) of a line; none for a blank one."""
+def leaf_and_line(line: str | bytes, depth: int = DEPTH) -> tuple[int, int, int, int, int] | None:
+    """(number of tokens, variable ones, hash of the leaf, two hashes of the masked tokens) of a line; none for a blank one."""
     tokens = masked(line)
     if not tokens:
         return None
     whole = b" ".join(tokens)
-    return len(tokens), _hash(b"%d %b" % (len(tokens), b" ".join(tokens[:depth]))), _hash(whole), xxhash.xxh32_intdigest(whole) - (1 << 31)
+    return len(tokens), tokens.count(WILD), _hash(b"%d %b" % (len(tokens), b" ".join(tokens[:depth]))), _hash(whole), xxhash.xxh32_intdigest(whole) - (1 << 31)
 
 
 def _signed(values: tuple[int, ...]) -> pa.Array:
@@ -74,8 +74,8 @@ LINE, ROW = ["line", "check"], ["key", "key2"]
 
 
 def _marks(rows: DataFrame, depth: int) -> DataFrame:
-    """(key, key2, at, width, leaf, line, check, fresh_leaf, fresh_line) for each line that isn't blank; fresh: the first such in its row."""
-    names = [*ROW, "at", "width", "leaf", *LINE, "fresh_leaf", "fresh_line"]
+    """(key, key2, at, width, wild, leaf, line, check, fresh_leaf, fresh_line) for each line that isn't blank; fresh: the first such in its row."""
+    names = [*ROW, "at", "width", "wild", "leaf", *LINE, "fresh_leaf", "fresh_line"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,15 +86,15 @@ def _marks(rows: DataFrame, depth: int) -> DataFrame:
                     leaves, lines = set(), set()
                     for at, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
                         if found := leaf_and_line(line, depth):
-                            width, leaf, whole, check = found
-                            out.append((key, key2, at, width, leaf, whole, check, leaf not in leaves, (whole, check) not in lines))
+                            width, wild, leaf, whole, check = found
+                            out.append((key, key2, at, width, wild, leaf, whole, check, leaf not in leaves, (whole, check) not in lines))
                             leaves.add(leaf)
                             lines.add((whole, check))
                 if out:
-                    key, key2, at, width, leaf, whole, check, a, b = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *[pa.array(x, pa.int32()) for x in (key2, at, width)], _signed(leaf), _signed(whole), pa.array(check, pa.int32()), pa.array(a), pa.array(b)], names=names)
+                    key, key2, at, width, wild, leaf, whole, check, a, b = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *[pa.array(x, pa.int32()) for x in (key2, at, width, wild)], _signed(leaf), _signed(whole), pa.array(check, pa.int32()), pa.array(a), pa.array(b)], names=names)
 
-    return rows.mapInArrow(run, "key long, key2 int, at int, width int, leaf long, line long, check int, fresh_leaf boolean, fresh_line boolean")
+    return rows.mapInArrow(run, "key long, key2 int, at int, width int, wild int, leaf long, line long, check int, fresh_leaf boolean, fresh_line boolean")
 
 
 def _tokens(rows: DataFrame) -> DataFrame:
@@ -129,11 +129,17 @@ def recurring(texts: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, co
     """(marks of all lines, the lines to drop as (line, check)) of ``texts`` (key, key2, text)."""
     enough = F.when(F.col("width") >= long, F.least(F.lit(2), F.lit(min_docs))).otherwise(F.lit(min_docs))
     marks = written(_marks(texts, depth), "line-marks")
-    leaves = marks.groupBy("leaf").agg(F.count_if("fresh_leaf").alias("n"), F.max("width").alias("width")).filter(F.col("n") >= enough).select("leaf")
-    # one row for each masked line: where it stands, in how many documents
-    lines = marks.groupBy("leaf", *LINE).agg(F.count_if("fresh_line").alias("docs"), F.min(F.struct(*ROW, "at")).alias("place"))
-    chosen = lines.join(leaves, "leaf", "left_semi").select("leaf", *LINE, "docs", "place.*")
-    wanted = chosen.groupBy(*ROW).agg(F.collect_list(F.struct("at", *LINE, "leaf", "docs")).alias("chosen"))
+    # one row for each masked line: in how many documents it is, and whether enough of it is no variable
+    lines = marks.groupBy("leaf", *LINE).agg(F.count_if("fresh_line").alias("docs"), F.max("width").alias("width"), (F.max("wild") <= (1 - constant) * F.max("width") + 1e-9).alias("firm"))
+    lines = written(lines, "lines")
+    leaves = marks.groupBy("leaf").agg(F.count_if("fresh_leaf").alias("n"), F.max("width").alias("width")).filter(F.col("n") >= enough)
+    fewest = lines.groupBy("leaf").agg(F.min("docs").alias("fewest"))
+    leaves = written(leaves.join(fewest, "leaf").select("leaf", (F.col("fewest") >= enough).alias("certain")), "leaves")
+    # where every line recurs by itself, each token that isn't a variable is constant
+    sure = lines.join(leaves.filter("certain"), "leaf", "left_semi").filter("firm").select(*LINE)
+    chosen = lines.join(leaves.filter("not certain"), "leaf", "left_semi").select("leaf", *LINE, "docs")
+    first = marks.select(*ROW, "at", "leaf", *LINE).join(chosen, ["leaf", *LINE]).groupBy("leaf", *LINE).agg(F.min(F.struct(*ROW, "at")).alias("place"), F.first("docs").alias("docs"))
+    wanted = first.select("leaf", *LINE, "docs", "place.*").groupBy(*ROW).agg(F.collect_list(F.struct("at", *LINE, "leaf", "docs")).alias("chosen"))
     read = written(_tokens(texts.join(wanted, ROW).dropDuplicates(ROW).select("text", "chosen")), "line-tokens")
     common = read.filter("token <> 0").groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n"), F.max("width").alias("width")).filter(F.col("n") >= enough).select("leaf", "place", "token", F.lit(True).alias("common"))
     fixed = read.join(common, ["leaf", "place", "token"], "left").withColumn("fixed", F.coalesce("common", F.lit(False)))
@@ -144,7 +150,7 @@ def recurring(texts: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, co
     shapes = shaped.groupBy("leaf", "shape").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("lines"), F.max("width").alias("width")).filter(F.col("docs") >= enough)
     exact = _rows_of(shapes.filter("lines > 1"), shaped, marks).join(shapes.select("leaf", "shape", "width"), ["leaf", "shape"]).filter(F.col("docs") >= enough)
     good = shapes.filter("lines = 1").select("leaf", "shape").union(exact.select("leaf", "shape"))
-    return marks, shaped.join(good, ["leaf", "shape"], "left_semi").select(*LINE)
+    return marks, shaped.join(good, ["leaf", "shape"], "left_semi").select(*LINE).union(sure)
 
 
 def without_recurring(docs: DataFrame, text: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped", depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT, long: int = LONG) -> DataFrame:
