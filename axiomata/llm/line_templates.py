@@ -44,7 +44,7 @@ DEPTH, MIN_DOCS, CONSTANT = 3, 3, 0.6
 #: Tokens from which a line recurs in two documents already.
 LONG = 20
 WILD = b"<*>"
-_FIELD = re.compile(rb"[^ \t-\r]*[0-9][^ \t-\r]*")
+_digit = re.compile(rb"[0-9]").search
 
 
 _hash = xxhash.xxh64_intdigest
@@ -53,7 +53,8 @@ _hash = xxhash.xxh64_intdigest
 def masked(line: str | bytes) -> list[bytes]:
     """The tokens of a line, between ASCII white space, in UTF-8; variable fields as wild cards."""
     data = line.encode("utf-8", "surrogatepass") if isinstance(line, str) else line
-    return _FIELD.sub(WILD, data).split()
+    tokens = data.split()
+    return [WILD if _digit(t) else t for t in tokens] if _digit(data) else tokens
 
 
 def leaf_and_line(line: str | bytes, depth: int = DEPTH) -> tuple[int, int, int, int, int] | None:
