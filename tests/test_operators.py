@@ -161,3 +161,61 @@ def test_federated_hits(spark):
     b = spark.createDataFrame([(1, 10, 0.6), (2, 5, 0.1)], "qid int, entry long, score double")
     got = [(r.qid, r.source, r.rank, r.entry) for r in search.federated(a, b, 2).orderBy("qid", "rank").collect()]
     assert got == [(1, "concept", 1, 10), (1, "judgment", 2, 10), (2, "judgment", 1, 5)]
+
+
+def test_release_checks(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    told = lambda df: sorted((r.check, r.detail) for r in df.collect())
+    releases = frame([(1, "v1", "abc")], "id long, tag string, git_commit string")
+    files = frame([("a", "1"), ("b", "2")], "name string, sha256 string")
+    counts = frame([("edges", 3)], "kind string, n long")
+    side = frame([("judgments", "v1")], "name string, release_tag string")
+    made = lambda tag, number, commit: frame([(tag, number, commit, "p1")], "release_tag string, release_id long, git_commit string, mapping_version string")
+    assert told(provenance.release_violations(made("v1", 1, "abc"), releases, side, counts, counts, files, files, "p1")) == []
+    live = frame([("a", "9"), ("c", "3")], "name string, sha256 string")
+    got = told(provenance.release_violations(made("v1", 2, None), releases, side, counts, frame([], "kind string, n long"), files, live, "p2"))
+    assert got == [("counts_mismatch", "edges"), ("input_file_hash_mismatch", "a"), ("input_file_not_in_manifest", "c"), ("manifest_release_commit_mismatch", "v1"), ("manifest_release_id_mismatch", "v1"), ("source_mapping_policy_mismatch", "p1")]
+    assert ("manifest_release_not_found", "v9") in told(provenance.release_violations(made("v9", 1, "abc"), releases, side, counts, counts, files, files, "p1"))
+    assert told(provenance.output_violations(files, live)) == [("export_file_missing", "b"), ("output_file_not_in_manifest", "c"), ("output_hash_mismatch", "a")]
+
+    refs = frame([("c:1", 11), ("c:2", 12)], "ref string, entity long")
+    a = frame([(1, "c:1", "c:2", 11, 12), (2, "c:1", "c:2", 11, 99), (3, "c:1", "c:9", 11, None)], "id long, subject string, object string, subject_entity long, object_entity long")
+    meta = frame([("build", "x"), ("schema", "1")], "field string, value string")
+    live_meta = frame([("build", "y"), ("schema", "1")], "field string, value string")
+    assert told(provenance.catalog_violations(a, refs, meta, live_meta)) == [("catalog_metadata_mismatch", "build"), ("entity_endpoint_drift", "2"), ("unresolved_entity_reference", "3")]
+
+    whole = '{"leanToolchain":"l","mathlibRev":"m","extractorVersion":"e","filteringPolicyVersion":"f1","rawSha256":"r","normalizedSha256":"n"}'
+    sources = frame([(1, whole), (2, whole.replace("f1", "f2")), (3, "no json"), (4, None)], "id long, reproducibility string")
+    evidence = frame([(k, k, "formal_export") for k in range(1, 5)] + [(9, 4, "source_span")], "id long, source_id long, kind string")
+    assert told(provenance.formal_violations(evidence, sources, "f1")) == [("filter_policy_mismatch", "2"), ("formal_evidence_missing_reproducibility_metadata", "3"), ("formal_evidence_missing_reproducibility_metadata", "4")]
+
+
+def test_numbers_without_one_task(spark):
+    from axiomata.operators import sinks
+
+    df = spark.createDataFrame([(k * 7 % 50 or None, k) for k in range(50)], "a int, b int").repartition(5)
+    got = sorted((r.n, r.a or 0) for r in sinks.numbered(df, ["a"], "n").collect())
+    assert got == [(k, k) for k in range(50)]
+
+
+def test_lookups(spark):
+    from axiomata.operators import lookups
+
+    df = spark.createDataFrame([(1, 2, "x"), (2, 1, "y"), (3, 4, "x")], "src int, dst int, kind string")
+    assert lookups.where(df, kind="x", src=None).count() == 2 and lookups.where(df).count() == 3
+    assert lookups.touching(df, 1, ("src", "dst")).count() == 2
+    assert [tuple(r) for r in lookups.adjacent(df, 1).collect()] == [("in", 2), ("out", 2)]
+    assert [r.src for r in lookups.listing(df, ["src"], ["src"], page=1, size=2).collect()] == [3]
+
+
+def test_related_and_statement_tiers(spark):
+    entries = spark.createDataFrame([(1, "red ring", 5, "a"), (2, "old bolt", 3, "b"), (3, "red", 2, None)], "entry long, phrase string, doc_freq long, cluster string")
+    vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "entry long, vector array<double>")
+    asked = spark.createDataFrame([(1, "red ring", None), (2, "nothing known", [0.0, 1.0])], "qid int, query string, vector array<double>")
+    got = {(r.qid, r.tier, r.entry) for r in search.phrase_search(asked, entries, 1, vecs).collect()}
+    assert got == {(1, "exact", 1), (1, "related", 2), (2, "related", 3)}
+    judgments = spark.createDataFrame([(1, "addComm", "a + b = b + a", ["x"], "theorem"), (2, None, "∀ x, x ≤ x", [], "axiom"), (3, "other", "∫ f = 0", [], "theorem"), (4, "near", "c", [], "theorem")], "id long, name string, statement string, context array<string>, kind string")
+    edges = spark.createDataFrame([(1, 4)], "src long, dst long")
+    hits = {(r.qid, r.tier, r.entry) for r in search.judgment_search([(1, "add"), (2, "∀ ≤"), (3, "A + b = b + a"), (4, "")], judgments, edges).collect()}
+    assert hits == {(1, "name", 1), (1, "connected", 4), (2, "statement", 2), (3, "exact", 1), (3, "connected", 4)}
+    assert search.judgment_search([(2, "∀ ≤")], judgments, edges, kind="theorem").count() == 0
