@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from ..functions import text as T
-from ..plans.stages import written
+from ..plans.stages import spread, written
 
 #: Words of a phrase at most.
 LONGEST = 6
 STOP = frozenset(T.STOP_WORDS) | frozenset(T.CONNECTIVE_WORDS)
-_OLD_ID, _COMMAND, _SEPARATOR, _SPACE = (regex.compile(x) for x in (T.OLD_ID, T.TEX_COMMAND, T.SEPARATOR, T.SPACE))
-_ACCENT = regex.compile(r"\\(.)(?:\{(.)\}?|(.))")
+_OLD_ID, _COMMAND = re.compile(T.OLD_ID), re.compile(T.TEX_COMMAND)
+#: Letters, digits, hyphens and white space continue a segment.
+_SEPARATOR = re.compile(r"(?:[^\w\s-]|_)+")
+_ACCENT = re.compile(r"\\(.)(?:\{(.)\}?|(.))")
 _LETTERS = {(mark, plain): accented for mark, plain, accented in T.TEX_ACCENTS}
-_CONTENT = regex.compile(r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?")
+_CONTENT = re.compile(r"[^\W_](?:.*[^\W_])?")
 
 
 def plain_text(text: str) -> str:
@@ -56,13 +58,15 @@ def candidate_phrases(text: str | None) -> list[tuple[str, ...]]:
     out = []
     for segment in _SEPARATOR.split(plain_text(text or "")):
         run: list[str] = []
-        for word in [*_SPACE.split(segment), ""]:
-            if word and _kept[word]:
+        for word in segment.split():
+            if _kept[word]:
                 run.append(word)
-            elif word or run:
-                if 0 < len(run) <= LONGEST:
+            elif run:
+                if len(run) <= LONGEST:
                     out.append(tuple(run))
                 run = []
+        if 0 < len(run) <= LONGEST:
+            out.append(tuple(run))
     return out
 
 
@@ -98,7 +102,7 @@ def rake_scores(docs: DataFrame, doc: str, text: str) -> DataFrame:
                     scores += found.values()
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int32())), pa.array(phrases, pa.string()), pa.array(scores, pa.float64())], names=["doc", "phrase", "score"])
 
-    return docs.select(F.col(doc), F.col(text).cast("string")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(doc), F.col(text).cast("string"))).mapInArrow(run, schema)
 
 
 def phrase_rows(docs: DataFrame, doc: str, text: str) -> DataFrame:
