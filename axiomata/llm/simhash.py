@@ -165,13 +165,17 @@ def placed(prints: DataFrame, everywhere: bool) -> DataFrame:
 
 
 def links(prints: DataFrame, most: int = LINK) -> DataFrame:
-    """(a, b), a < b: the pairs of distinct fingerprints that differ in at most ``most`` (0 to 2) bits."""
+    """(a, b), a < b: the pairs of distinct fingerprints that differ in at most ``most`` (0 to 2) bits.
+
+    The optimiser can't see that ``near`` is 61 times its input and would
+    broadcast it by the size of the fingerprints, so it has to be shuffled.
+    """
     if not 0 <= most <= LINK:
         raise ValueError(f"the anchors cover up to {LINK} differing bits")
     own = placed(prints, everywhere=False).select(F.col("anchor").alias("home"), F.col("fingerprint").alias("a"))
     near = placed(prints, everywhere=True).select("anchor", F.col("fingerprint").alias("b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most
-    return own.join(near, (F.col("home") == F.col("anchor")) & (F.col("a") < F.col("b")) & close).select("a", "b")
+    return own.join(near.hint("merge"), (F.col("home") == F.col("anchor")) & (F.col("a") < F.col("b")) & close).select("a", "b")
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, most: int = LINK) -> DataFrame:

@@ -74,6 +74,15 @@ def test_links_and_components(spark):
         assert got == want
 
 
+def test_anchors_are_never_broadcast(spark):
+    random.seed(7)
+    prints = simhash.written(spark.createDataFrame([(random.getrandbits(63),) for _ in range(500)], "fingerprint long"), "prints")
+    found = simhash.links(prints)  # a file this small is below any threshold
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_groups(spark):
     words = [f"w{k}" for k in range(120)]
     rows = [(9, " ".join(words)), (4, " ".join(words).upper()), (7, "alone in the world"), (None, "alone in the world"), (2, None), (3, ""), (None, None), (5, " ".join(words) + "  "), (5, "fully different text of five words")]
