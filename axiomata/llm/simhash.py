@@ -16,14 +16,15 @@ distinct fingerprint has at most 2,080 others within two bits. Links go to
 connected components by repeated hooking to the least neighbour, each round a
 written table in the shared folder.
 
-Texts that share four fifths of their five-word shingles differ in about 10 of
-64 bits, far beyond what anchors can cover. ``similar_groups`` serves that case
-without fingerprints. A text's shingles are put in ``BANDS`` * ``ROWS`` random
-orders, and the least ones of a band of orders make one key. A pair that is
-similar shares a key but for one pair in twenty million, in a table of any
-size and in a group of any density, as each pair's chance is its own. All
-pairs that share a key and that other links don't connect are compared by the
-exact similarity of their sets, which alone decides.
+``similar_groups`` wants texts that share four fifths of their five-word
+shingles. Its candidates are the pairs that their fingerprints link, found at
+the anchors as above. Most such texts differ in about 10 of 64 bits though, far
+beyond what anchors can cover, so bands find the rest: a text's shingles are
+put in ``BANDS`` * ``ROWS`` random orders, and the least ones of a band of
+orders make one key. A pair that is similar shares a key but for one pair in
+twenty million, in a table of any size and in a group of any density, as each
+pair's chance is its own. All candidates of either kind that other links don't
+connect are compared by the exact similarity of their sets, which alone decides.
 
 Defined results: a null or empty text has fingerprint zero and is linked like
 any other; texts of fewer words than a shingle are one shingle; texts of any
@@ -238,24 +239,25 @@ def _text_key(text: str) -> Column:
 
 
 def with_bands(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """(id, key, node, n, parities, bands) of each row: key is a hash of the text, node of its words, n the distinct shingles."""
+    """(id, key, node, fingerprint, n, parities, bands) of each row: key is a hash of the text, node of its words, n the distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                nodes, sizes, odd, marks = [], [], [], []
+                nodes, prints, sizes, odd, marks = [], [], [], [], []
                 for t in part.column(2).to_pylist():
                     node, own = sketch(_lowered(t), width)
                     nodes.append(node)
+                    prints.append(fingerprint(t))
                     sizes.append(len(own))
                     odd.append(_parities(own))
                     marks.append(bands(own).view(np.int64) if len(own) else [])
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(odd, longs), pa.array(marks, longs)], names=["id", "key", "node", "n", "parities", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(odd, longs), pa.array(marks, longs)], names=["id", "key", "node", "fingerprint", "n", "parities", "bands"])
 
     rows = docs.select(F.col(doc_id).cast("long"), _text_key(text), F.col(text).cast("string"))
-    return rows.mapInArrow(run, "id long, key long, node long, n int, parities array<long>, bands array<long>")
+    return rows.mapInArrow(run, "id long, key long, node long, fingerprint long, n int, parities array<long>, bands array<long>")
 
 
 def _comparable(n: Column, m: Column, similarity: float) -> Column:
@@ -336,28 +338,43 @@ def _blocked(large: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     return few.union(every).groupBy("s", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def _similar_links(nodes: DataFrame, docs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
-    """(a, b), a < b: links of exact similarity that connect all nodes connected by such pairs that share a band.
+def _close_prints(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: nodes whose fingerprints are equal or linked; of equal ones the least node stands for the others."""
+    held = nodes.filter("n > 0").select("fingerprint", "node")
+    prints = written(held.groupBy("fingerprint").agg(F.min("node").alias("head")), "distinct-fingerprints")
+    same = held.join(prints, "fingerprint").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    side = lambda x: prints.select(F.col("fingerprint").alias(x), F.col("head").alias(f"head_{x}"))
+    near = links(prints).join(side("a"), "a").join(side("b"), "b").select(*_ordered("head_a", "head_b"))
+    return written(same.union(near), "close-fingerprints")
+
 
-    In each band the node with most company stands for the others; each node is
-    first compared with the one of these that it shares most bands with. In a
-    group of copies of one text that is the text itself. Within the components
-    that follow nothing needs comparing; nodes of different components that
-    share a band are all compared.
+def _similar_links(nodes: DataFrame, docs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
+    """(a, b), a < b: links of exact similarity that connect all nodes connected by such pairs of linked fingerprints or with a band in common.
+
+    Each node is first compared with the least one that its fingerprint is
+    linked to. In each band the node with most company stands for the others;
+    each node is also compared with the one of these that it shares most bands
+    with. In a group of copies of one text that is the text itself. Within the
+    components that follow nothing needs comparing; nodes of different
+    components whose fingerprints are linked or that share a band are all compared.
     """
+    close = _close_prints(nodes)
     placed = nodes.filter("n > 0").select("node", "n", F.explode("bands").alias("s"))
     full = placed.groupBy("s").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     shared = written(placed.join(full, "s"), "shared-bands")
     company = shared.groupBy("node").agg(F.sum("m").alias("company"), F.any_value("n").alias("n"))
-    sets = _sets_of(company.select("node").join(nodes.select("node", "first.key"), "node"), docs, text, width)
+    wanted = company.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    sets = _sets_of(wanted.join(nodes.select("node", "first.key"), "node"), docs, text, width)
 
     head = shared.select("s", "node").join(company, "node").groupBy("s").agg(F.max(F.struct("company", "node", "n")).alias("head"))
     offered = shared.join(head, "s").filter((F.col("node") != F.col("head.node")) & _comparable(F.col("n"), F.col("head.n"), similarity))
     often = offered.groupBy("node", F.col("head.node").alias("other"), F.col("head.company").alias("company")).agg(F.count(F.lit(1)).alias("times"))
-    best = often.groupBy("node").agg(F.max(F.struct("times", "company", "other")).alias("best")).select(*_ordered("node", "best.other")).distinct()
-    known = _similar(best, nodes, sets, similarity)
+    best = often.groupBy("node").agg(F.max(F.struct("times", "company", "other")).alias("best")).select(*_ordered("node", "best.other"))
+    known = _similar(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(best).distinct(), nodes, sets, similarity)
 
     groups = connected_components(known, "a", "b")
+    own = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    open_ = close.join(own("a"), "a", "left").join(own("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     named = written(shared.join(groups, "node", "left").select("s", "node", "n", F.coalesce("component", "node").alias("c")), "shared-by-group")
     parts = named.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m"))
     main = parts.groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("whole"), (F.sum("m") - F.max("m")).alias("rest")).filter("rest > 0")
@@ -365,7 +382,7 @@ def _similar_links(nodes: DataFrame, docs: DataFrame, text: str, width: int, sim
     small = mixed.filter(F.col("whole") <= JOINED)
     x, y = small.filter("c <> main").select("s", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx")), small.select("s", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), "main")
     apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & _comparable(F.col("nx"), F.col("ny"), similarity)
-    rest = x.join(y, "s").filter(apart).select(*_ordered("x", "y")).union(_blocked(mixed.filter(F.col("whole") > JOINED), nodes, similarity)).distinct()
+    rest = x.join(y, "s").filter(apart).select(*_ordered("x", "y")).union(_blocked(mixed.filter(F.col("whole") > JOINED), nodes, similarity)).union(open_).distinct()
     return known.union(_similar(rest, nodes, sets, similarity))
 
 
@@ -373,7 +390,7 @@ def _similar_nodes(docs: DataFrame, text: str, doc_id: str, width: int, similari
     """(rows with bands, (node, first, component)); first: (absent, id, key) of a node's row of least id."""
     rows = written(with_bands(docs, text, doc_id, width), "text-bands")
     first = F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "key")).alias("first")
-    nodes = written(rows.groupBy("node").agg(first, *[F.any_value(c).alias(c) for c in ("n", "parities", "bands")]), "nodes")
+    nodes = written(rows.groupBy("node").agg(first, *[F.any_value(c).alias(c) for c in ("fingerprint", "n", "parities", "bands")]), "nodes")
     found = connected_components(_similar_links(nodes, docs, text, width, similarity), "a", "b")
     return rows, nodes.select("node", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 

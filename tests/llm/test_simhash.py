@@ -4,7 +4,9 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from axiomata.llm import simhash
 
 
@@ -149,6 +151,36 @@ def test_similar_groups_are_those_of_exact_similarity(spark, monkeypatch, joined
     assert root(1) == 1 and root(3) == 2
 
 
+def test_linked_fingerprints_make_similar_groups(spark, monkeypatch):
+    """Without bands the fingerprints still find what they link, and the exact similarity still decides."""
+    with_bands = simhash.with_bands
+    monkeypatch.setattr(simhash, "with_bands", lambda *a: with_bands(*a).withColumn("bands", F.array().cast("array<long>")))
+    random.seed(12)
+    text = lambda n: [f"t{random.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(30):
+        own = text(400)
+        texts += [own, own + ["end"], own[1:]]
+    line = text(13)  # of an odd number of shingles: it alone decides the fingerprint
+    body, other = text(60), text(60)
+    texts += [line * 400 + body, line * 400 + other]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    prints = [brute_print(" ".join(t)) for t in texts]
+    apart = lambda i, j: bin(prints[i] ^ prints[j]).count("1")
+    assert apart(90, 91) <= 2 and 5 * len(sets[90] & sets[91]) < 4 * len(sets[90] | sets[91])
+    parent = list(range(len(texts)))
+    for g in range(0, 90, 3):
+        for i, j in ((g, g + 1), (g, g + 2), (g + 1, g + 2)):
+            if apart(i, j) <= 2 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((parent[i], parent[j]))
+                parent = [low if p == high else p for p in parent]
+    assert sum(p != k for k, p in enumerate(parent)) > 30
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.id: r.component_id for r in simhash.similar_groups(df).collect()} == dict(enumerate(parent))
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert kept == set(parent)
+
+
 def test_bands_of_similar_sets_meet_at_any_size():
     rng = np.random.default_rng(2)
     missed = pairs = 0
