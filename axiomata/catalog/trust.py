@@ -281,7 +281,7 @@ def retract_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = P.retract(7, *tables(spark, sf_dir))
     out = None
     for name, df in zip(("assertions", "evidence", "reviews", "sources"), left, strict=True):
-        row = df.agg(F.count(F.lit(1)).alias("n"), F.sum("id").cast("decimal(38,0)").cast("string").alias("ids")).select(F.lit(name).alias("table"), "n", "ids")
+        row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("id").cast("decimal(38,0)")).cast("string").alias("ids")).select(F.lit(name).alias("table"), "n", "ids")
         out = row if out is None else out.union(row)
     return out
 
