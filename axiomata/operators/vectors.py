@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from math import ceil, log2
+from collections.abc import Iterator
+from math import ceil, log2, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.stages import written
+from ..plans.stages import dealt, written
 
 # Seed, constants of the generator, tables, bucket size, bits, rows below which pairs are exact.
 LSH_SEED = 0xA5F31C9E4B77D02D
 LSH_TABLES, LSH_BUCKET, LSH_BITS = 4, 64, (6, 22)
 EXACT_BELOW = 1500
-#: Rows that meet in one task of the exact pair join: two blocks.
-BLOCK_ROWS = 4000
+#: Rows that meet in one task of a pair join: two blocks; rows of a tile, and pairs, that are compared at once; pairs that a task holds.
+BLOCK_ROWS, TILE, CHUNK, KEPT_ROWS = 65_536, 2048, 65_536, 2_000_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -26,37 +28,123 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.array([np.asarray(v, dtype=np.float64) for v in rows])
+def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
+def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
+    """Columns of all batches as arrays, one of lists as a matrix of doubles."""
+    parts: dict[str, list[np.ndarray]] = {name: [] for name in names}
+    for batch in batches:
+        for name, column in ((n, batch.column(n)) for n in names):
+            if pa.types.is_list(column.type):
+                flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                width = len(flat) // len(column) if len(column) else 0
+                if any(k != width for k in column.value_lengths().unique().to_pylist()):
+                    raise ValueError("the vectors differ in length")
+                parts[name].append(flat.reshape(len(column), width))
+            else:
+                parts[name].append(column.to_numpy(zero_copy_only=False))
+    return [np.concatenate([x for x in parts[n] if len(x)]) for n in names]
+
+
+def _close(left: np.ndarray, right: np.ndarray, least: float, same: bool, k: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in left, places in right, cosines) of the pairs of unit rows at ``least`` or more, a tile of both at a time.
+
+    With ``same`` each pair of different rows comes once. A product of
+    matrices rounds equal rows differently by their places; the cosines are
+    summed pair by pair instead, so that copies tie. With ``k`` a tile may
+    leave out pairs that are among the k best of neither row.
+    """
+    for x in range(0, len(left), TILE):
+        for y in range(x if same else 0, len(right), TILE):
+            sims = left[x : x + TILE] @ right[y : y + TILE].T
+            near = sims >= least - 1e-12
+            if same and x == y:
+                near &= np.tri(*sims.shape, -1, dtype=bool).T
+            if k and min(sims.shape) > k and np.count_nonzero(near) > 16 * k * sum(sims.shape):
+                held = np.where(near, sims, -np.inf)
+                if same and x == y:
+                    held = np.maximum(held, held.T)
+                near &= (sims >= np.partition(held, -k, axis=1)[:, -k, None] - 1e-12) | (sims >= np.partition(held, -k, axis=0)[-k] - 1e-12)
+            at = np.flatnonzero(near)
+            for n in range(0, len(at), CHUNK):
+                a, b = np.divmod(at[n : n + CHUNK], sims.shape[1])
+                yield a + x, b + y, np.einsum("ij,ij->i", left[a + x], right[b + y])
+
+
+def _blocks(n: int, cores: int) -> int:
+    """Blocks of bounded size, and enough that all cores have pairs of them."""
+    return max(1, ceil(2 * n / BLOCK_ROWS), min(ceil(n / TILE), ceil(sqrt(4 * cores))))
+
+
+def _met(vectors: DataFrame, ident: str, vector: str, blocks: int) -> DataFrame:
+    """(id, v, b, p, q): each row once for each block that its own is to meet."""
+    own = vectors.filter(F.col(vector).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int").alias("b"))
+    return own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Ids and unit vectors of both blocks, and whether they are one."""
+    ident, v, b, p, q = _columns(batches, ["id", "v", "b", "p", "q"])
+    first, second = b == p[0], b == q[0]
+    v = _unit(v)
+    return ident[first], v[first], ident[second], v[second], bool(p[0] == q[0])
+
+
 def exact_pairs(vectors: DataFrame, ident: str, vector: str, least: float, rows: int | None = None) -> DataFrame:
     """J-14: (i, j, sim), i < j, for all pairs with cosine of at least ``least``, in blocks.
 
     Rows are dealt to B blocks of bounded size; each pair of blocks meets in
-    one task as two matrices, so every pair is compared exactly once and each
-    row is sent B times. The vectors have one length.
+    one task, so every pair is compared exactly once and each row is sent B
+    times. The vectors have one length.
+    """
+    blocks = _blocks(vectors.count() if rows is None else rows, vectors.sparkSession.sparkContext.defaultParallelism)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, v, j, w, same = _sides(batches)
+        for a, b, s in _close(v, w, least, same):
+            x, y = i[a], j[b]
+            keep = x != y
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep]), pa.array(s[keep])], names=["i", "j", "sim"])
+
+    return _met(vectors, ident, vector, blocks).groupBy("p", "q").applyInArrow(compare, "i long, j long, sim double")
+
+
+def _best(i: np.ndarray, j: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k rows of each i of greatest sim, ties by the lesser j."""
+    order = np.lexsort((j, -sim, i))
+    i, j, sim = i[order], j[order], sim[order]
+    start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.empty(0, np.int64)
+    keep = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)])) < k
+    return i[keep], j[keep], sim[keep]
+
+
+def nearest_pairs(vectors: DataFrame, ident: str, vector: str, least: float, k: int) -> DataFrame:
+    """J-14, W-01: (i, j, sim, rank): ``top_k`` of ``exact_pairs``.
+
+    A task keeps the k nearest of each row in the block that it meets, so
+    what is shuffled are k rows for each row and block, not all pairs.
     """
-    n = vectors.count() if rows is None else rows
-    blocks = max(1, ceil(2 * n / BLOCK_ROWS))
-    own = vectors.select(F.col(ident).cast("long").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int").alias("b"))
-    dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-        left, right = pdf[pdf["b"] == p], pdf[pdf["b"] == q]
-        if left.empty or right.empty:
-            return pd.DataFrame({"i": [], "j": [], "sim": []}).astype({"i": "int64", "j": "int64"})
-        sims = _unit(left["v"]) @ _unit(right["v"]).T
-        a, b = np.nonzero(sims >= least - 1e-12)
-        x, y, s = left["id"].to_numpy()[a], right["id"].to_numpy()[b], sims[a, b]
-        keep = x < y if p == q else x != y
-        x, y, s = x[keep], y[keep], s[keep]
-        return pd.DataFrame({"i": np.minimum(x, y), "j": np.maximum(x, y), "sim": s})
-
-    return dealt.groupBy("p", "q").applyInPandas(compare, "i long, j long, sim double")
+    n = vectors.count()
+    blocks = _blocks(n, vectors.sparkSession.sparkContext.defaultParallelism)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, v, j, w, same = _sides(batches)
+        best, more, held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)], [], 0
+        for a, b, s in _close(v, w, least, same, k):
+            keep = i[a] != j[b]
+            x, y, s = i[a][keep], j[b][keep], s[keep]
+            more += [(x, y, s), (y, x, s)]
+            held += 2 * len(x)
+            if held > KEPT_ROWS:
+                best, more, held = _best(*map(np.concatenate, zip(best, *more, strict=True)), k), [], 0
+        i, j, s = _best(*map(np.concatenate, zip(best, *more, strict=True)), k)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(s)], names=["i", "j", "sim"])
+
+    found = dealt(_met(vectors, ident, vector, blocks).groupBy("p", "q").applyInArrow(compare, "i long, j long, sim double"), n * min(n, blocks * k), "i")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("sim"), "j"))).filter(F.col("rank") <= k)
 
 
 def hyperplanes(dim: int, bits: int, tables: int = LSH_TABLES, seed: int = LSH_SEED) -> np.ndarray:
@@ -77,34 +165,50 @@ def bits_for(n: int) -> int:
 
 def signatures(vectors: DataFrame, ident: str, vector: str, dim: int, bits: int) -> DataFrame:
     """V-03: (id, v, slot, bucket) for each hash table; the normals are a few thousand numbers."""
-    planes = hyperplanes(dim, bits)
+    return _marked(vectors, ident, vector, dim, bits).select("id", "v", F.posexplode("marks").alias("slot", "bucket"))
 
-    def run(batches):
+
+def _marked(vectors: DataFrame, ident: str, vector: str, dim: int, bits: int) -> DataFrame:
+    """(id, v, marks): the bucket of a vector in each hash table; the signs are those of products of doubles."""
+    planes = hyperplanes(dim, bits).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = (1 << np.arange(bits)).astype(np.int64)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            m = np.array([np.asarray(v, dtype=np.float32) for v in pdf["v"]])
-            for slot, normals in enumerate(planes):
-                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "slot": slot, "bucket": ((m @ normals.T) >= 0) @ weights})
+        for batch in batches:
+            if batch.num_rows:
+                m = _columns([batch], ["v"])[0]
+                marks = np.stack([((m @ normals.T) >= 0) @ weights for normals in planes], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(list(marks), pa.list_(pa.int64()))], names=["id", "v", "marks"])
 
     rows = vectors.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter(F.size("v") == dim)
-    return rows.mapInPandas(run, "id long, v array<float>, slot int, bucket long")
+    return rows.mapInArrow(run, "id long, v array<float>, marks array<long>")
 
 
-def lsh_pairs(vectors: DataFrame, ident: str, vector: str, least: float, dim: int, rows: int) -> DataFrame:
+def lsh_pairs(vectors: DataFrame, ident: str, vector: str, least: float, dim: int, rows: int | None = None) -> DataFrame:
     """J-14: pairs that share a bucket in some table and pass the exact check.
 
-    The bucket join carries ids only; each distinct candidate fetches its
-    vectors afterwards.
+    The signatures have ``LSH_BITS[0]`` bits, or with ``rows`` those for that
+    many rows. The rows of a bucket are dealt to blocks of bounded size that
+    meet as in ``exact_pairs``. A row brings its buckets in all tables, and a
+    pair comes from the first table only in which they are equal, so no
+    candidate is shuffled.
     """
-    marks = signatures(vectors, ident, vector, dim, bits_for(rows)).select("id", "slot", "bucket")
-    marks = written(marks, "signatures")
-    left, right = marks.withColumnRenamed("id", "i"), marks.withColumnRenamed("id", "j")
-    found = left.join(right, ["slot", "bucket"]).filter("i < j").select("i", "j").distinct()
-    own = vectors.select(F.col(ident).cast("long").alias("id"), F.col(vector).alias("v"))
-    joined = found.join(own.toDF("i", "a"), "i").join(own.toDF("j", "b"), "j")
-    return joined.select("i", "j", cosine(F.col("a"), F.col("b")).alias("sim")).filter(F.col("sim") >= least)
+    marked = written(_marked(vectors, ident, vector, dim, LSH_BITS[0] if rows is None else bits_for(rows)), "signatures")
+    spots = marked.select("*", F.posexplode("marks").alias("slot", "bucket"))
+    sizes = spots.groupBy("slot", "bucket").agg(F.ceil(2 * F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
+    own = spots.join(sizes, ["slot", "bucket"]).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "v", "marks", "slot", "bucket", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ident, v, marks, slot, b, p, q = _columns(batches, ["id", "v", "marks", "slot", "b", "p", "q"])
+        first, second, v = b == p[0], b == q[0], _unit(v)
+        before = marks[:, : slot[0]]
+        for x, y, s in _close(v[first], v[second], least, bool(p[0] == q[0])):
+            i, j = ident[first][x], ident[second][y]
+            keep = (i != j) & ~(before[first][x] == before[second][y]).any(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)[keep]), pa.array(np.maximum(i, j)[keep]), pa.array(s[keep])], names=["i", "j", "sim"])
+
+    return met.groupBy("slot", "bucket", "p", "q").applyInArrow(compare, "i long, j long, sim double")
 
 
 def similar_pairs(vectors: DataFrame, ident: str, vector: str, least: float, dim: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows that a task sorts or groups, about.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of about so many rows, dealt by ``keys`` to partitions of about ``TASK_ROWS`` each.
+
+    Adaptive execution merges the partitions of other shuffles by their
+    compressed bytes until there are about as many as cores, so that what a
+    task holds would grow with the table; it leaves a given number as it is.
+    """
+    return df.repartition(max(ceil(rows / TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 class Levels:
     """A table that grows by a written level each round; a plan over it reads one folder, however many rounds there were."""
 

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from axiomata.catalog import trust
+from axiomata.catalog import spaces, trust
+from axiomata.operators import vectors
 
 
 def enlarged(spark, sf_dir, folder, table, **columns):
@@ -18,3 +19,14 @@ def test_retraction_sums_ids_beyond_a_long(spark, sf_dir, tmp_path):
     ids = sum(r.id for r in spark.read.parquet(f"{tmp_path}/lineitem.parquet").selectExpr(*trust.EVIDENCE_COLUMNS).select("id").collect())
     got = {r.table: r.ids for r in trust.retract_cascade(spark, str(tmp_path)).collect()}
     assert ids > 2**63 and got["evidence"] == str(ids)
+
+
+def test_hashed_pairs_depend_on_the_rows_alone(spark, sf_dir, tmp_path, monkeypatch):
+    few = {(r.i, r.j) for r in spaces.lsh_candidates(spark, sf_dir).collect()}
+    # a table of many more rows, which are similar to none
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id < 300").selectExpr("vec_id", "embedding", "label")
+    more = own.limit(1).selectExpr("explode(sequence(1000, 6000)) AS vec_id", "transform(embedding, x -> float(0)) AS embedding", "label")
+    own.union(more.selectExpr("CAST(vec_id AS BIGINT) AS vec_id", "embedding", "label")).repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 500)
+    monkeypatch.setattr(vectors, "TILE", 64)
+    assert few and {(r.i, r.j) for r in spaces.lsh_candidates(spark, str(tmp_path)).collect()} == {(i, j) for i, j in few if j < 300}
