@@ -68,7 +68,7 @@ def head_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def related_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-11, V-14."""
-    pairs = V.top_k(V.exact_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35), 6)
+    pairs = V.nearest_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35, 6)
     out = K.related_export(pairs.select(F.col("i").alias("source"), F.col("j").alias("target"), F.col("sim").alias("score")))
     return out.select("source", F.array_join(F.transform("related", lambda r: r["target"].cast("string")), ",").alias("related"))
 

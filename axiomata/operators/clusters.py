@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
+from ..plans.stages import written
 from . import cooccurrence
 from .vectors import cosine
 
@@ -106,7 +107,7 @@ def detect(edges: DataFrame, method: str = "cpm", resolution: float = 0.1) -> Da
     components are independent of each other (for modularity through the whole
     graph's weight, which is passed in). A component must fit in a task.
     """
-    base = edges.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("w").cast("double").alias("w"))
+    base = written(edges.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("w").cast("double").alias("w")), "edges")
     whole = 2 * (base.agg(F.sum("w")).first()[0] or 0.0) if method == "louvain" else 0.0
     part = connected_components(base, "i", "j")
     parted = base.join(part.withColumnsRenamed({"node": "i"}), "i")
@@ -227,7 +228,7 @@ def concept_graph(vectors: DataFrame, near: DataFrame, links: DataFrame, codes:
     Jaccard of the documents and relatedness of the codes, each with its share.
     """
     inside = links.join(vectors.select(F.col("node").alias("x")), "x", "left_semi").select("g", "x")
-    shared = cooccurrence.jaccard(cooccurrence.pairs(inside), inside)
+    shared = written(cooccurrence.jaccard(cooccurrence.pairs(inside), inside), "shared")
     pairs = near.select("i", "j").union(shared.filter(F.col("n") >= min_cooccur).select("i", "j")).distinct()
     a, b = vectors.toDF("i", "vi"), vectors.toDF("j", "vj")
     ca, cb = codes.toDF("i", "ki", "si", "ti"), codes.toDF("j", "kj", "sj", "tj")

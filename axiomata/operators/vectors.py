@@ -268,6 +268,7 @@ def spectral(matrix: DataFrame, dim: int, extra: int = 10, power: int = 2, seed:
     written. Rows are normalised; sign and rotation are not determined.
     """
     width = dim + extra
+    matrix = written(matrix.select("u", "k", "w"), "matrix")
     nodes = matrix.select("u").distinct()
     start = nodes.select(F.col("u").alias("k"), F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: (F.pmod(F.xxhash64(F.col("u"), i, F.lit(seed)), F.lit(1 << 30)) / float(1 << 29) - 1.0)).alias("v"))
 

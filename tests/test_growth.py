@@ -1,9 +1,10 @@
 """Whole results, and figures of a task that don't grow with the tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from axiomata.catalog import spaces, trust
-from axiomata.operators import vectors
+from axiomata.operators import clusters, vectors
 
 
 def enlarged(spark, sf_dir, folder, table, **columns):
@@ -30,3 +31,25 @@ def test_hashed_pairs_depend_on_the_rows_alone(spark, sf_dir, tmp_path, monkeypa
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 500)
     monkeypatch.setattr(vectors, "TILE", 64)
     assert few and {(r.i, r.j) for r in spaces.lsh_candidates(spark, str(tmp_path)).collect()} == {(i, j) for i, j in few if j < 300}
+
+
+def test_neighbours_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    own = rng.normal(size=(60, 8))
+    # copies tie, wherever their blocks are
+    rows = [(k, [float(x) for x in own[k % 60]]) for k in range(240)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    for k, v in (("BLOCK_ROWS", 100), ("TILE", 16), ("CHUNK", 50), ("KEPT_ROWS", 300)):
+        monkeypatch.setattr(vectors, k, v)
+    unit = own / np.linalg.norm(own, axis=1, keepdims=True)
+    sims = {(i, j): round(float(unit[i % 60] @ unit[j % 60]), 9) for i in range(240) for j in range(240) if i != j}
+    want = {(i, j) for i in range(240) for j in sorted((j for j in range(240) if j != i and sims[i, j] >= 0.2), key=lambda j: (-sims[i, j], j))[:5]}
+    assert {(r.i, r.j) for r in vectors.nearest_pairs(df, "id", "v", 0.2, 5).collect()} == want
+
+
+def test_neighbours_are_found_once_for_a_graph(spark, sf_dir, monkeypatch):
+    plans = []
+    real = clusters.connected_components
+    monkeypatch.setattr(clusters, "connected_components", lambda df, *a: plans.append(df._jdf.queryExecution().toString()) or real(df, *a))
+    assert clusters.detect(spaces._edges(spark, sf_dir), "louvain", 1.0).count() > 0
+    assert "FlatMapGroupsIn" not in plans[0]
