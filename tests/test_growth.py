@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from axiomata.catalog import spaces, trust
-from axiomata.operators import clusters, vectors
+from axiomata.operators import clusters, hearst, vectors
+from axiomata.sources import expressions
 
 
 def enlarged(spark, sf_dir, folder, table, **columns):
@@ -53,3 +54,9 @@ def test_neighbours_are_found_once_for_a_graph(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(clusters, "connected_components", lambda df, *a: plans.append(df._jdf.queryExecution().toString()) or real(df, *a))
     assert clusters.detect(spaces._edges(spark, sf_dir), "louvain", 1.0).count() > 0
     assert "FlatMapGroupsIn" not in plans[0]
+
+
+def test_formulas_of_one_file_are_parsed_on_all_cores(spark):
+    df = spark.createDataFrame([(k, f"x{k} + 1") for k in range(40)], "k long, t string").coalesce(1)
+    found = expressions.parsed(df, "t", ("k",))
+    assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and found.filter("status = 'full'").count() == 40
