@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.stages import spread
 
 # Expressions and what they say of the phrases before and after them.
 DOWN, UP, SAME, VERB = "first_narrower", "second_narrower", "same", "after_verb"
@@ -53,13 +54,14 @@ def _occurrences(docs: DataFrame, doc: str, text: str) -> DataFrame:
                             if j > i and lower[words[j - 1].end() : words[j].start()] != " ":
                                 break
                             spans[words[i].start(), words[j].end()] = None
+                # the ends of sentences around a word serve all runs that begin or end with it
+                first = {a: max(original.rfind(c, 0, a) for c in ".!?") + 1 for a in {a for a, _ in spans}}
+                last = {b: min((k for k in (original.find(c, b) for c in ".!?") if k >= 0), default=len(original) - 1) + 1 for b in {b for _, b in spans}}
                 for a, b in spans:
-                    first = max(original.rfind(c, 0, a) for c in ".!?") + 1
-                    last = min((k for k in (original.find(c, b) for c in ".!?") if k >= 0), default=len(original) - 1) + 1
-                    rows.append((d, a, b, lower[a:b], lower[max(0, a - BACK) : a], original[b : b + GLUE], original[first:b], original[a:last]))
+                    rows.append((d, a, b, lower[a:b], lower[max(0, a - BACK) : a], original[b : b + GLUE], original[first[a] : b], original[a : last[b]]))
             yield pd.DataFrame(rows, columns=["doc", "start", "stop", "phrase", "before", "after", "head", "tail"])
 
-    return docs.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t")).mapInPandas(run, "doc string, start long, stop long, phrase string, before string, after string, head string, tail string")
+    return spread(docs.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t"))).mapInPandas(run, "doc string, start long, stop long, phrase string, before string, after string, head string, tail string")
 
 
 def hits(docs: DataFrame, doc: str, text: str, phrases: DataFrame) -> DataFrame:

@@ -60,3 +60,9 @@ def test_formulas_of_one_file_are_parsed_on_all_cores(spark):
     df = spark.createDataFrame([(k, f"x{k} + 1") for k in range(40)], "k long, t string").coalesce(1)
     found = expressions.parsed(df, "t", ("k",))
     assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and found.filter("status = 'full'").count() == 40
+
+
+def test_texts_of_one_file_are_searched_on_all_cores(spark):
+    df = spark.createDataFrame([(k, f"Here. A ring{k} is a group. End") for k in range(40)], "k long, t string").coalesce(1)
+    found = hearst._occurrences(df, "k", "t")
+    assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and found.filter("phrase = 'group' AND tail = 'group.'").count() == 40
