@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import cooccurrence as C
 from ..operators import keyphrases as K
+from ..plans.stages import written
 from ..session import table
 
 _STOP = ", ".join(f"'{w}'" for w in (*T.STOP_WORDS, *T.CONNECTIVE_WORDS))
@@ -143,7 +144,7 @@ def cooccur_ppmi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weeds_invcl_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = C.ppmi(C.pairs(_baskets(spark, sf_dir), 2))
+    weights = written(C.ppmi(C.pairs(_baskets(spark, sf_dir), 2)), "weights")
     found = C.classify(C.inclusion(C.symmetric(weights), weights))
     return found.select("subject", "object", "kind", F.round("confidence", 6).alias("confidence"))
 

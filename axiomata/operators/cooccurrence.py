@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stages import dealt, written
+
 
 def incidence(rows: DataFrame, group: str, item: str) -> DataFrame:
-    """Distinct (g, x) of a fact table."""
-    return rows.select(F.col(group).alias("g"), F.col(item).alias("x")).filter("g is not null and x is not null").distinct()
+    """Distinct (g, x) of a fact table, whole groups in partitions of bounded size, so that a join on the group needs no other shuffle."""
+    own = rows.select(F.col(group).alias("g"), F.col(item).alias("x")).filter("g is not null and x is not null")
+    return dealt(own, rows.count(), "g").distinct()
 
 
 def pairs(incident: DataFrame, min_count: int = 1) -> DataFrame:
     """J-12, A-08: (i, j, n), i < j: how many groups hold both.
 
     The join is on the group; its cost is the sum of squared group sizes, so
-    the groups are meant to be documents, not stop words.
+    the groups are meant to be documents, not stop words. The pairs are
+    counted first, by the sizes of the groups, and dealt to as many
+    partitions as they need.
     """
+    size = F.count(F.lit(1))
+    met = incident.groupBy("g").agg((size * (size - 1) / 2).alias("n")).agg(F.sum("n")).first()[0] or 0
     left, right = incident.withColumnRenamed("x", "i"), incident.withColumnRenamed("x", "j")
-    return left.join(right, "g").filter("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
+    return dealt(left.join(right, "g").filter("i < j").select("i", "j"), met, "i", "j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
 
 
 def jaccard(counts: DataFrame, incident: DataFrame) -> DataFrame:
@@ -32,8 +39,9 @@ def ppmi(counts: DataFrame, alpha: float = 0.75) -> DataFrame:
     """A-09: (i, j, w): positive pointwise mutual information with smoothed contexts.
 
     Row sums and the total are over the surviving pairs, each counted from
-    both of its ends.
+    both of its ends. The counts are written once and read four times.
     """
+    counts = written(counts.select("i", "j", "n"), "pair-counts")
     rows = counts.select(F.col("i").alias("x"), "n").union(counts.select("j", "n")).groupBy("x").agg(F.sum("n").alias("r"))
     rows = rows.withColumn("q", F.pow("r", F.lit(alpha)))
     sums = rows.agg(F.sum("r").alias("total"), F.sum("q").alias("mass"))

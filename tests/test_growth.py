@@ -1,10 +1,14 @@
 """Whole results, and figures of a task that don't grow with the tables."""
 
+from collections import Counter
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from axiomata.catalog import spaces, trust
-from axiomata.operators import clusters, hearst, vectors
+from axiomata.operators import clusters, cooccurrence, hearst, vectors
+from axiomata.plans import stages
 from axiomata.sources import expressions
 
 
@@ -66,3 +70,17 @@ def test_texts_of_one_file_are_searched_on_all_cores(spark):
     df = spark.createDataFrame([(k, f"Here. A ring{k} is a group. End") for k in range(40)], "k long, t string").coalesce(1)
     found = hearst._occurrences(df, "k", "t")
     assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and found.filter("phrase = 'group' AND tail = 'group.'").count() == 40
+
+
+def parts(df):
+    return df.rdd.getNumPartitions()
+
+
+def test_pairs_are_counted_in_partitions_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(stages, "TASK_ROWS", 100)
+    rows = [(g, x) for g in range(60) for x in range(g % 9 + 2)] + [(3, 1), (None, 1), (2, None)]
+    inc = cooccurrence.incidence(spark.createDataFrame(rows, "a long, b long"), "a", "b")
+    want = Counter(p for g in range(60) for p in combinations(range(g % 9 + 2), 2))
+    found = cooccurrence.pairs(inc, 2)
+    assert {(r.i, r.j): r.n for r in found.collect()} == {p: n for p, n in want.items() if n >= 2}
+    assert parts(inc) == -(-len(rows) // 100) and parts(found) == -(-sum(want.values()) // 100)
