@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from ..plans.stages import written
+from ..plans.stages import dealt, written
 from ..session import table
 
 EDGES_SQL = """
@@ -22,7 +22,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     nxt = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     kind = F.when((F.col("l_quantity") == 50) & (F.col("l_discount") >= 0.095), G.EQUIVALENCE).when(F.col("l_returnflag") == "A", G.IMPLICATION).when(F.col("l_returnflag") == "R", G.SPECIALIZATION).otherwise(G.GENERALIZATION)
-    made = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("src"), nxt.alias("dst"), kind.alias("kind"), F.when(F.col("l_linestatus") == "O", "accepted").otherwise("proposed").alias("status"))
+    # whole orders in partitions of bounded size
+    own = dealt(lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"), lines.count(), "l_orderkey")
+    made = own.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("src"), nxt.alias("dst"), kind.alias("kind"), F.when(F.col("l_linestatus") == "O", "accepted").otherwise("proposed").alias("status"))
     return made.filter("dst is not null and src <> dst")
 
 
@@ -122,7 +124,8 @@ def one_hop_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concept_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = edges(spark, sf_dir).groupBy(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).agg(F.count(F.lit(1)).alias("w"))
+    ends = edges(spark, sf_dir).select(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j"))
+    weights = dealt(ends, table(spark, sf_dir, "lineitem").count(), "i", "j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("w"))
     return G.concept_map(weights, 7)
 
 

@@ -207,13 +207,15 @@ def neighborhood(edges: DataFrame, node: int, most: int = 12) -> DataFrame:
 
 def concept_map(edges: DataFrame, start: int, per_node: int = 6, most: int = 36) -> DataFrame:
     """G-21: (a, b, w): edges among the nodes within two hops of ``start``, each hop to the heaviest neighbours."""
+    edges = written(edges.select("i", "j", "w"), "map-edges")
     both = edges.select(F.col("i").alias("a"), F.col("j").alias("b"), "w").union(edges.select("j", "i", "w"))
-    heavy = both.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))).filter(F.col("n") <= per_node)
-    one = heavy.filter(F.col("a") == start).select(F.col("b").alias("node"), F.lit(1).alias("hop"), "w")
-    two = one.select(F.col("node").alias("a")).join(heavy.select("a", "b", "w"), "a").filter(F.col("b") != start).select(F.col("b").alias("node"), F.lit(2).alias("hop"), "w")
+    # few nodes are asked for: only their edges are ranked
+    heavy = lambda df: df.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))).filter(F.col("n") <= per_node)
+    one = written(heavy(both.filter(F.col("a") == start)).select(F.col("b").alias("node"), F.lit(1).alias("hop"), "w"), "map-hop")
+    two = heavy(both.join(F.broadcast(one.select(F.col("node").alias("a"))), "a", "left_semi")).filter(F.col("b") != start).select(F.col("b").alias("node"), F.lit(2).alias("hop"), "w")
     best = one.union(two).groupBy("node").agg(F.min(F.struct("hop", (-F.col("w")).alias("w"))).alias("k"))
-    nodes = best.orderBy("k", "node").limit(most - 1).select("node").union(edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("node")))
-    inside = edges.join(nodes.withColumnRenamed("node", "i"), "i", "left_semi").join(nodes.withColumnRenamed("node", "j"), "j", "left_semi")
+    nodes = written(best.orderBy("k", "node").limit(most - 1).select("node").union(edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("node"))), "map-nodes")
+    inside = edges.join(F.broadcast(nodes.withColumnRenamed("node", "i")), "i", "left_semi").join(F.broadcast(nodes.withColumnRenamed("node", "j")), "j", "left_semi")
     return inside.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("w").alias("w"))
 
 

@@ -6,8 +6,8 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from axiomata.catalog import spaces, trust
-from axiomata.operators import clusters, cooccurrence, hearst, vectors
+from axiomata.catalog import graphs, spaces, trust
+from axiomata.operators import clusters, cooccurrence, graph, hearst, vectors
 from axiomata.plans import stages
 from axiomata.sources import expressions
 
@@ -84,3 +84,23 @@ def test_pairs_are_counted_in_partitions_of_bounded_size(spark, monkeypatch):
     found = cooccurrence.pairs(inc, 2)
     assert {(r.i, r.j): r.n for r in found.collect()} == {p: n for p, n in want.items() if n >= 2}
     assert parts(inc) == -(-len(rows) // 100) and parts(found) == -(-sum(want.values()) // 100)
+
+
+def test_edges_of_orders_are_made_in_partitions_of_bounded_size(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(stages, "TASK_ROWS", 500)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert parts(graphs.edges(spark, sf_dir)) == -(-lines // 500) > spark.sparkContext.defaultParallelism
+
+
+def test_a_map_ranks_the_edges_of_its_nodes_alone(spark):
+    rng = np.random.default_rng(4)
+    w = {(i, j): int(rng.integers(1, 5)) for i in range(40) for j in range(i + 1, 40) if rng.random() < 0.4}
+    near = {a: sorted(((-x, i + j - a) for (i, j), x in w.items() if a in (i, j)))[:3] for a in range(40)}
+    hops = {}
+    for hop, b, x in [(1, b, x) for x, b in near[7]] + [(2, c, x) for _, b in near[7] for x, c in near[b] if c != 7]:
+        hops[b] = min(hops.get(b, (9, 0)), (hop, x))
+    nodes = {7, *sorted(hops, key=lambda b: (hops[b], b))[:5]}
+    df = spark.createDataFrame([(i, j, x) for (i, j), x in w.items()], "i long, j long, w long")
+    found = graph.concept_map(df, 7, per_node=3, most=6)
+    assert {(r.a, r.b): r.w for r in found.collect()} == {(i, j): x for (i, j), x in w.items() if i in nodes and j in nodes}
+    assert "Window" not in found._jdf.queryExecution().toString()
