@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import stages
 from . import sinks
 
 JUDGMENT, PAPER, CONCEPT = "judgment", "paper", "concept"
@@ -157,8 +158,9 @@ def backfill(assertions: DataFrame, refs: DataFrame) -> DataFrame:
 
 def dependency_export(assertions: DataFrame, evidence: DataFrame) -> DataFrame:
     """R-11: (assertion_id, src, dst, policy, origin) of dependencies between judgments."""
-    formal = evidence.groupBy(F.col("assertion_id").alias("id")).agg(F.bool_or(F.col("kind") == "formal_export").alias("formal"))
-    own = assertions.filter(f"predicate = 'depends_on' and subject_kind = '{JUDGMENT}' and object_kind = '{JUDGMENT}'").join(formal, "id", "left")
+    n = evidence.count()
+    formal = stages.dealt(evidence.filter("kind = 'formal_export'").select(F.col("assertion_id").alias("id")), n, "id").distinct().withColumn("formal", F.lit(True))
+    own = stages.dealt(assertions.filter(f"predicate = 'depends_on' and subject_kind = '{JUDGMENT}' and object_kind = '{JUDGMENT}'"), n, "id").join(formal, "id", "left")
     return own.select(F.col("id").alias("assertion_id"), F.col("subject").alias("src"), F.col("object").alias("dst"), traversal_policy(F.col("predicate"), F.col("state")).alias("policy"), F.when(F.coalesce("formal", F.lit(False)), "checker-derived").otherwise("text-extracted").alias("origin"))
 
 
@@ -233,21 +235,25 @@ def set_compare(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 def violations(assertions: DataFrame, evidence: DataFrame, reviews: DataFrame, sources: DataFrame) -> DataFrame:
     """R-16, R-18, R-19: (check, detail): one row for each fault; none means that the release may go out."""
     fault = lambda df, name, detail: df.select(F.lit(name).alias("check"), F.col(detail).cast("string").alias("detail"))
-    ids = assertions.select(F.col("id").alias("assertion_id"))
     empty = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
     trusted = assertions.filter(traversal_policy(F.col("predicate"), F.col("state")) == "default_traversal")
     strong = evidence.filter(F.col("kind").isin("formal_export", "source_span", "reviewer_note")).select(F.col("assertion_id").alias("id"))
+    # both sides of a join are dealt alike, to partitions of bounded size; few sources are unknown, so these are looked for first
+    n_a, n_e, n_r = assertions.count(), evidence.count(), reviews.count()
+    lacks = lambda df, key, other, of, n: stages.dealt(df.select("id", key) if key != "id" else df.select("id"), n, key).join(stages.dealt(other.select(F.col(of).alias(key)), n, key), key, "left_anti")
+    unknown = stages.written(evidence.select("source_id").distinct().join(sources.select(F.col("id").alias("source_id")), "source_id", "left_anti").withColumnRenamed("source_id", "s"), "unknown-sources")
+    keys = stages.dealt(assertions.filter("legacy_ref is not null").select("release", "legacy_ref", "id"), n_a, "release", "legacy_ref").groupBy("release", "legacy_ref").agg(F.min("id").alias("a"), F.max("id").alias("b"))
     parts = [
         fault(schema_violations(assertions), "kinds_do_not_suit_predicate", "id"),
-        fault(assertions.join(evidence.select(F.col("assertion_id").alias("id")), "id", "left_anti"), "no_evidence", "id"),
-        fault(evidence.join(ids, "assertion_id", "left_anti"), "evidence_without_assertion", "id"),
-        fault(reviews.join(ids, "assertion_id", "left_anti"), "review_without_assertion", "id"),
-        fault(evidence.join(sources.select(F.col("id").alias("source_id")), "source_id", "left_anti"), "evidence_without_source", "id"),
-        fault(trusted.join(strong, "id", "left_anti"), "trusted_without_qualifying_evidence", "id"),
+        fault(lacks(assertions, "id", evidence, "assertion_id", max(n_a, n_e)), "no_evidence", "id"),
+        fault(lacks(evidence, "assertion_id", assertions, "id", max(n_a, n_e)), "evidence_without_assertion", "id"),
+        fault(lacks(reviews, "assertion_id", assertions, "id", max(n_a, n_r)), "review_without_assertion", "id"),
+        fault(evidence.join(unknown, F.col("source_id").eqNullSafe(F.col("s")), "left_semi"), "evidence_without_source", "id"),
+        fault(lacks(trusted, "id", strong, "id", max(n_a, n_e)), "trusted_without_qualifying_evidence", "id"),
         fault(assertions.filter(~F.col("state").isin(*STATES)), "unknown_state", "id"),
         fault(assertions.filter("subject = object and predicate <> 'equivalent_to'"), "relates_to_itself", "id"),
-        fault(assertions.filter("legacy_ref is not null").groupBy("release", "legacy_ref").agg(F.countDistinct("id").alias("n")).filter("n > 1"), "ambiguous_key", "legacy_ref"),
-        fault(assertions.filter("supersedes_id is not null").join(assertions.select(F.col("id").alias("supersedes_id")), "supersedes_id", "left_anti"), "supersedes_unknown", "id"),
+        fault(keys.filter("a <> b"), "ambiguous_key", "legacy_ref"),
+        fault(lacks(assertions.filter("supersedes_id is not null"), "supersedes_id", assertions, "id", n_a), "supersedes_unknown", "id"),
         fault(sources.filter(empty("licence")), "no_licence", "id"),
         fault(sources.filter(empty("attribution")), "no_attribution", "id"),
         fault(sources.filter(~F.coalesce(F.col("content_hash").rlike("^[0-9a-f]{64}$"), F.lit(False))), "bad_content_hash", "id"),
@@ -312,8 +318,15 @@ def output_violations(recorded: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def export_differences(written: DataFrame, derived: DataFrame) -> DataFrame:
-    """R-17: rows that only the written export or only the new derivation has, duplicates counted."""
-    return written.exceptAll(derived).withColumn("side", F.lit("written")).union(derived.exceptAll(written).withColumn("side", F.lit("derived")))
+    """R-17: rows that only the written export or only the new derivation has, duplicates counted.
+
+    Both are written once; equal rows meet in partitions of bounded size, and
+    what one side has more of stands as often in the result.
+    """
+    columns = written.columns
+    both = stages.written(written.withColumn("__n", F.lit(1)).union(derived.withColumn("__n", F.lit(-1))), "export-rows")
+    more = stages.dealt(both, both.count(), *columns).groupBy(*columns).agg(F.sum("__n").alias("__n")).filter("__n <> 0")
+    return more.withColumn("__k", F.explode(F.sequence(F.lit(1), F.abs("__n").cast("int")))).select(*columns, F.when(F.col("__n") > 0, "written").otherwise("derived").alias("side"))
 
 
 def ambiguous(rows: DataFrame, key: str, value: str) -> DataFrame:

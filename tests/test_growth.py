@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from axiomata.catalog import graphs, spaces, trust
-from axiomata.operators import clusters, cooccurrence, graph, hearst, vectors
+from axiomata.operators import clusters, cooccurrence, graph, hearst, provenance, vectors
 from axiomata.plans import stages
 from axiomata.sources import expressions
 
@@ -104,3 +104,36 @@ def test_a_map_ranks_the_edges_of_its_nodes_alone(spark):
     found = graph.concept_map(df, 7, per_node=3, most=6)
     assert {(r.a, r.b): r.w for r in found.collect()} == {(i, j): x for (i, j), x in w.items() if i in nodes and j in nodes}
     assert "Window" not in found._jdf.queryExecution().toString()
+
+
+def rows_of(spark, n):
+    """A store with faults of each join: n assertions, evidence and reviews, some of unknown assertions and sources."""
+    a = spark.range(n).selectExpr("id", "id AS subject", "id + 1 AS object", "'judgment' AS subject_kind", "'judgment' AS object_kind", "'depends_on' AS predicate", "if(id % 3 = 0, 'verified', 'extracted') AS state", "'r' AS release", "concat('k', id div 2 * 2 + if(id % 10 = 0, 0, id % 2)) AS legacy_ref", "if(id % 7 = 0, id + 5, NULL) AS supersedes_id")
+    ev = spark.range(n).selectExpr("id", "id * 2 AS assertion_id", "if(id % 11 = 0, NULL, id % 9) AS source_id", "if(id % 2 = 0, 'formal_export', 'model_output') AS kind")
+    rv = spark.range(n).selectExpr("id", "id * 3 AS assertion_id")
+    src = spark.range(8).selectExpr("id", "'x' AS licence", "'x' AS attribution", "repeat('0', 64) AS content_hash")
+    return a, ev, rv, src
+
+
+def test_the_gate_joins_in_partitions_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(stages, "TASK_ROWS", 50)
+    n = 600
+    found = Counter(r.check for r in provenance.violations(*rows_of(spark, n)).collect())
+    assert found == {
+        "no_evidence": n // 2, "evidence_without_assertion": n // 2, "review_without_assertion": n * 2 // 3,
+        "evidence_without_source": sum(k % 11 == 0 or k % 9 == 8 for k in range(n)),
+        "trusted_without_qualifying_evidence": sum(k % 3 == 0 and k % 4 != 0 for k in range(n)),
+        "supersedes_unknown": sum(k % 7 == 0 and k + 5 >= n for k in range(n)),
+    }
+    plan = provenance.violations(*rows_of(spark, n))._jdf.queryExecution().toString()
+    assert plan.count(f"hashpartitioning(assertion_id#") and f", {n // 50})" in plan
+
+
+def test_export_differences_count_duplicates_in_partitions_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(stages, "TASK_ROWS", 10)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, policy string")
+    a = [(k, "x") for k in range(40)] + [(1, "x"), (1, "x"), (2, None), (2, None)]
+    b = [(k, "x") for k in range(5, 40)] + [(2, None), (3, "y"), (3, "y")]
+    found = provenance.export_differences(frame(a), frame(b))
+    assert Counter(map(tuple, found.collect())) == Counter({(*r, "written"): n for r, n in (Counter(a) - Counter(b)).items()} | {(*r, "derived"): n for r, n in (Counter(b) - Counter(a)).items()})
+    assert parts(found) == -(-(len(a) + len(b)) // 10)
