@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from ..functions import text as T
-from ..plans.stages import spread, written
+from ..plans.stages import dealt, spread, written
 
 #: Words of a phrase at most.
 LONGEST = 6
@@ -139,13 +139,17 @@ def field_concentration(links: DataFrame, labels: DataFrame, prior: DataFrame, m
     the dense sum is a sum over seen labels plus a closed form for the others.
     """
     own = labels.select("doc", "label").filter("label is not null").distinct()
-    share = own.join(own.groupBy("doc").agg((F.lit(1.0) / F.count(F.lit(1))).alias("w")), "doc")
-    seen = links.select("doc", "phrase").distinct().join(share, "doc")
-    counts = seen.groupBy("phrase", "label").agg(F.sum("w").alias("c"))
-    totals = seen.groupBy("phrase").agg(F.countDistinct("doc").alias("labelled"), F.sum("w").alias("total")).filter(F.col("labelled") >= min_labelled)
+    by_doc = own.groupBy("doc").agg((F.lit(1.0) / F.count(F.lit(1))).alias("w"), F.min("label").alias("least"))
+    # the first label of a document counts it
+    share = own.join(by_doc, "doc").select("doc", "label", "w", (F.col("label") == F.col("least")).cast("long").alias("one"))
+    links = written(links.select("doc", "phrase"), "links")
+    n = links.count()
+    seen = dealt(links, n, "doc").distinct().join(dealt(share, n, "doc"), "doc").select("phrase", "label", "w", "one")
+    counts = dealt(seen, n, "phrase").groupBy("phrase", "label").agg(F.sum("w").alias("c"), F.sum("one").alias("ones"))
+    totals = counts.groupBy("phrase").agg(F.sum("ones").alias("labelled"), F.sum("c").alias("total")).filter(F.col("labelled") >= min_labelled)
     denominator = F.col("total") + smoothing
     p = (F.col("c") + smoothing * F.col("prior")) / denominator
-    part = counts.join(totals, "phrase").join(prior.select("label", "prior"), "label").groupBy("phrase").agg(
+    part = counts.join(totals, "phrase").join(F.broadcast(prior.select("label", "prior")), "label").groupBy("phrase").agg(
         F.first("labelled").alias("labelled"), F.first("total").alias("total"), F.sum(p * F.log(p / F.col("prior"))).alias("kl"), F.sum("prior").alias("covered")
     )
     # labels never seen with the phrase: p / q is smoothing / denominator for each
