@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stages import written
 from . import expressions
 
 KINDS = {"theorem": "theorem", "lemma": "theorem", "def": "definition", "axiom": "axiom", "instance": "instance", "example": "example"}
@@ -44,26 +45,32 @@ def _top_level(text: str, mark: str) -> int:
     return -1
 
 
+def _starts(line: str) -> bool:
+    """Whether a declaration starts with a line."""
+    return not line.strip().startswith("--") and bool(_START.match(line))
+
+
 def declarations(source: str) -> list[dict]:
     """P-04: a row for each declaration: kind, name, context, statement, body, raw text, line."""
     lines = source.split("\n")
-    starts = [k for k, line in enumerate(lines) if not line.strip().startswith("--") and _START.match(line)]
-    out = []
-    for k, start in enumerate(starts):
-        raw = "\n".join(lines[start : starts[k + 1] if k + 1 < len(starts) else len(lines)])
-        word, rest = _START.match(strip_comments(raw)).groups() if _START.match(strip_comments(raw)) else _START.match(raw).groups()
-        cut = _top_level(rest, ":=")
-        signature, body = (rest, None) if cut < 0 else (rest[:cut], rest[cut + 2 :].strip())
-        name = None
-        if word != "example":
-            found = re.match(r"\s*([^\s:({\[⟨]+)", signature)
-            if found:
-                name, signature = found[1], signature[found.end() :]
-        colon = _top_level(signature, ":")
-        context, statement = (signature, "") if colon < 0 else (signature[:colon], signature[colon + 1 :])
-        groups = re.findall(r"[({\[]([^(){}\[\]]*(?:\([^()]*\)[^(){}\[\]]*)*)[)}\]]", context)
-        out.append({"kind": KINDS[word], "name": name, "context": [" ".join(g.split()) for g in groups], "statement": " ".join(statement.split()), "body": body if word == "def" else None, "raw": raw, "line": start + 1})
-    return out
+    starts = [k for k, line in enumerate(lines) if _starts(line)]
+    return [_declaration("\n".join(lines[start:end]), start + 1) for start, end in zip(starts, [*starts[1:], len(lines)], strict=True)]
+
+
+def _declaration(raw: str, line: int) -> dict:
+    """The declaration that a text starts with."""
+    word, rest = (_START.match(strip_comments(raw)) or _START.match(raw)).groups()
+    cut = _top_level(rest, ":=")
+    signature, body = (rest, None) if cut < 0 else (rest[:cut], rest[cut + 2 :].strip())
+    name = None
+    if word != "example":
+        found = re.match(r"\s*([^\s:({\[⟨]+)", signature)
+        if found:
+            name, signature = found[1], signature[found.end() :]
+    colon = _top_level(signature, ":")
+    context, statement = (signature, "") if colon < 0 else (signature[:colon], signature[colon + 1 :])
+    groups = re.findall(r"[({\[]([^(){}\[\]]*(?:\([^()]*\)[^(){}\[\]]*)*)[)}\]]", context)
+    return {"kind": KINDS[word], "name": name, "context": [" ".join(g.split()) for g in groups], "statement": " ".join(statement.split()), "body": body if word == "def" else None, "raw": raw, "line": line}
 
 
 def references(text: str, known: set[str]) -> list[str]:
@@ -72,23 +79,47 @@ def references(text: str, known: set[str]) -> list[str]:
 
 
 def parsed(files: DataFrame, path: str = "path", text: str = "value") -> DataFrame:
-    """P-04, S-09: (path, order, kind, name, context, statement, hash, status, body, raw, line) of all declarations of each file."""
+    """P-04, S-09: (path, order, kind, name, context, statement, hash, status, body, raw, line) of all declarations of each file.
+
+    A file goes to Python line by line, in order, and a task holds the lines
+    of one declaration, whatever the size of a file.
+    """
+    columns = ["path", "order", "kind", "name", "context", "statement", "hash", "status", "body", "raw", "line"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, order, start, held = None, 0, 0, []
+
+        def closed() -> list[dict]:
+            if not held:
+                return []
+            d = _declaration("\n".join(held), start)
+            node, status = expressions.parse(d["statement"])
+            return [{"path": path, "order": order, **d, "hash": expressions.fnv1a(expressions.canonical(node).encode()), "status": status}]
+
         for pdf in batches:
-            rows = []
-            for p, source in zip(pdf["p"], pdf["t"], strict=True):
-                for order, d in enumerate(declarations(source or "")):
-                    node, status = expressions.parse(d["statement"])
-                    rows.append({"path": p, "order": order, **d, "hash": expressions.fnv1a(expressions.canonical(node).encode()), "status": status})
+            rows: list[dict] = []
+            for p, at, line in zip(pdf["p"], pdf["at"], pdf["line"], strict=True):
+                if at == 0:
+                    rows += closed()
+                    path, order, held = p, 0, []
+                if _starts(line):
+                    rows += closed()
+                    order += bool(held)
+                    start, held = at + 1, [line]
+                elif held:
+                    held.append(line)
             if rows:
-                yield pd.DataFrame(rows)[["path", "order", "kind", "name", "context", "statement", "hash", "status", "body", "raw", "line"]]
+                yield pd.DataFrame(rows)[columns]
+        if held:
+            yield pd.DataFrame(closed())[columns]
 
-    return files.select(F.col(path).cast("string").alias("p"), F.col(text).alias("t")).mapInPandas(run, "path string, order int, kind string, name string, context array<string>, statement string, hash string, status string, body string, raw string, line int")
+    lines = files.select(F.col(path).cast("string").alias("p"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("at", "line"))
+    return lines.mapInPandas(run, "path string, order int, kind string, name string, context array<string>, statement string, hash string, status string, body string, raw string, line int")
 
 
 def dependencies(declared: DataFrame) -> DataFrame:
     """P-07: (path, from_order, to_order): declarations of a file that a declaration's text names; of equal names the last counts."""
+    declared = written(declared.select("path", "order", "name", "raw"), "declarations")
     plain = F.regexp_replace(F.regexp_replace("raw", r"(?s)/-.*?-/", " "), r"--[^\n]*", " ")
     words = declared.select("path", F.col("order").alias("from_order"), F.col("name").alias("self"), F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}_']+"), F.lit(0)))).alias("name"))
     named = declared.filter("name is not null").groupBy("path", "name").agg(F.max("order").alias("to_order"))

@@ -7,9 +7,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from axiomata.catalog import graphs, spaces, trust
-from axiomata.operators import clusters, cooccurrence, graph, hearst, provenance, vectors
+from axiomata.operators import clusters, cooccurrence, graph, hearst, keyphrases, provenance, vectors
 from axiomata.plans import stages
-from axiomata.sources import expressions
+from axiomata.sources import expressions, lean
 
 
 def enlarged(spark, sf_dir, folder, table, **columns):
@@ -126,7 +126,7 @@ def test_the_gate_joins_in_partitions_of_bounded_size(spark, monkeypatch):
         "supersedes_unknown": sum(k % 7 == 0 and k + 5 >= n for k in range(n)),
     }
     plan = provenance.violations(*rows_of(spark, n))._jdf.queryExecution().toString()
-    assert plan.count(f"hashpartitioning(assertion_id#") and f", {n // 50})" in plan
+    assert plan.count("hashpartitioning(assertion_id#") and f", {n // 50})" in plan
 
 
 def test_export_differences_count_duplicates_in_partitions_of_bounded_size(spark, monkeypatch):
@@ -137,3 +137,29 @@ def test_export_differences_count_duplicates_in_partitions_of_bounded_size(spark
     found = provenance.export_differences(frame(a), frame(b))
     assert Counter(map(tuple, found.collect())) == Counter({(*r, "written"): n for r, n in (Counter(a) - Counter(b)).items()} | {(*r, "derived"): n for r, n in (Counter(b) - Counter(a)).items()})
     assert parts(found) == -(-(len(a) + len(b)) // 10)
+
+
+def test_concentration_of_documents_with_several_labels(spark, monkeypatch):
+    monkeypatch.setattr(stages, "TASK_ROWS", 20)
+    labels = [(d, f) for d in range(120) for f in "abc" if d % 2 == 0 or f == "abc"[d % 3]]
+    links = [(d, p) for d in range(120) for p in ("even", "first") if p == "even" or d < 55] * 2
+    frames = spark.createDataFrame(links, "doc long, phrase string"), spark.createDataFrame(labels, "doc long, label string")
+    found = keyphrases.field_concentration(*frames, keyphrases.field_prior(frames[1], "doc", "label"))
+    of = Counter(d for d, _ in labels)
+    share = lambda docs: {f: sum(1 / of[d] for d, g in labels if g == f and d in docs) for f in "abc"}
+    q = {f: m / 120 for f, m in share(range(120)).items()}
+    for r in found.collect():
+        n = 120 if r.phrase == "even" else 55
+        p = {f: (c + 10 * q[f]) / (n + 10) for f, c in share(range(n)).items()}
+        assert r.labelled == n and abs(r.concentration - sum(p[f] * np.log(p[f] / q[f]) for f in p)) < 1e-9
+    assert "hashpartitioning(phrase#" in (plan := found._jdf.queryExecution().toString()) and f", {-(-len(links) // 20)})" in plan
+
+
+def test_a_lean_file_is_read_line_by_line(spark):
+    text = "-- head\n" + "".join(f"theorem t{k} (h : A) : x = x := by\n  /- theorem u : y -/\n  exact t{k - 1}\n" for k in range(300)) + "def last := 1"
+    files = spark.createDataFrame([("a", text), ("b", None), ("c", ""), ("d", text)], "path string, value string").coalesce(1)
+    found = lean.parsed(files)
+    assert "Generate posexplode" in found._jdf.queryExecution().toString()
+    rows = sorted(found.select("path", "order", "name", "line", "raw").collect())
+    want = [(p, k, d["name"], d["line"], d["raw"]) for p in "ad" for k, d in enumerate(lean.declarations(text))]
+    assert [tuple(r) for r in rows] == want and len(want) == 602
