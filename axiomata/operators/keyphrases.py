@@ -106,8 +106,21 @@ def rake_scores(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def phrase_rows(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, phrase) for each distinct candidate phrase of each row."""
-    return rake_scores(docs, doc, text).select("doc", "phrase")
+    """(doc, phrase) for each distinct candidate phrase of each row; no scores are made."""
+    schema = S.StructType([S.StructField("doc", docs.schema[doc].dataType), S.StructField("phrase", S.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                rows, phrases = [], []
+                for row, t in enumerate(part.column(1).to_pylist()):
+                    found = set(candidate_phrases(t))
+                    rows += [row] * len(found)
+                    phrases += map(" ".join, found)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int32())), pa.array(phrases, pa.string())], names=["doc", "phrase"])
+
+    return spread(docs.select(F.col(doc), F.col(text).cast("string"))).mapInArrow(run, schema)
 
 
 def accumulate(scored: DataFrame, min_docs: int = 3, samples: int = 3) -> DataFrame:

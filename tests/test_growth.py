@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from axiomata.catalog import graphs, spaces, trust
+from axiomata.functions import text as T
 from axiomata.operators import clusters, cooccurrence, graph, hearst, keyphrases, provenance, vectors
 from axiomata.plans import stages
 from axiomata.sources import expressions, lean
@@ -163,3 +164,14 @@ def test_a_lean_file_is_read_line_by_line(spark):
     rows = sorted(found.select("path", "order", "name", "line", "raw").collect())
     want = [(p, k, d["name"], d["line"], d["raw"]) for p in "ad" for k, d in enumerate(lean.declarations(text))]
     assert [tuple(r) for r in rows] == want and len(want) == 602
+
+
+def test_a_key_folds_each_word_once(spark):
+    df = spark.createDataFrame([("Kaehler-Manifolds of goedel",)], "p string").select(T.canonical_key(F.col("p")).alias("k"))
+    assert df.first().k == "kahler manifold of godel"
+    assert df._jdf.queryExecution().analyzed().toString().count("goedel$") == 1
+
+
+def test_phrases_are_found_without_scores(spark):
+    df = spark.createDataFrame([(1, "Finite groups of finite groups and finite rings"), (2, None)], "doc long, text string").coalesce(1)
+    assert sorted(map(tuple, keyphrases.phrase_rows(df, "doc", "text").collect())) == [(1, "finite groups"), (1, "finite rings")]
